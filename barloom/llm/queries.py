@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontamination import mark_contamination
+from .html_text import extract_text
 from .line_dedup import drop_frequent_lines
 from .mixing import mix_counts
+from .quality import fit_quality, judge_quality
+from .secrets import builtin_samples, corpus_words, digest, fit_ratios, scan_secrets
 from .sharding import shard_rows
 from .token_counts import count_tokens
 
@@ -48,12 +51,39 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
 
 
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    ratios = fit_ratios(builtin_samples(spark).unionByName(corpus_words(docs)))
+    found = scan_secrets(docs, ratios)
+    n = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        n(0).alias("n_assign"),
+        n(1).alias("n_access"),
+        n(2).alias("n_hex"),
+        F.sha2(digest(F.col("base")), 256).alias("base_sha256"),
+        digest(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return judge_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_line_dedup": op2_line_dedup,
     "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
     "op6_decontamination": op6_decontamination,
+    "op7_secret_scans": op7_secret_scans,
+    "op8_html_extraction": op8_html_extraction,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
