@@ -11,6 +11,7 @@ from .decontamination import mark_contamination
 from .html_text import extract_text
 from .line_dedup import drop_frequent_lines
 from .mixing import mix_counts
+from .near_dedup import link_documents
 from .quality import fit_quality, judge_quality
 from .secrets import builtin_samples, corpus_words, digest, fit_ratios, scan_secrets
 from .sharding import shard_rows
@@ -45,6 +46,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_documents(_table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mark_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13, min_share=20)
     digest = F.sha2(F.array_join("items", ","), 256)
@@ -80,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_mixing": op3_mixing,
     "op4_token_counts": op4_token_counts,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_secret_scans": op7_secret_scans,
     "op8_html_extraction": op8_html_extraction,
