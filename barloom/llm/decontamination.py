@@ -12,7 +12,6 @@ so a worker holds no more than that many however large the benchmark is.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -176,5 +175,8 @@ def mark_contamination(
     )
 
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, min_share: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that mark_contamination finds clean, with their columns, whatever they are called."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_body"), F.struct(*docs.columns).alias("_row"))
+    marked = mark_contamination(rows, benchmark, window, min_share, id_col="_id", text_col="_body", keep=("_row",))
+    return marked.where(~F.col("contaminated")).select("_row.*")

@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch, split_hot_join
 
@@ -332,3 +333,15 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, broadcast_
     out = out.unionByName(alone)
     # An id that repeats with different texts belongs to the smallest component of them.
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("_id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, that with the smallest id, with its columns. Of rows that share an id one stays, the
+    one whose text has the lowest hash; rows without an id all stay.
+    """
+    linked = link_documents(docs, size, percent, id_col=id_col, text_col=text_col)
+    kept = linked.where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_kept")).distinct()
+    rows = docs.join(kept, docs[id_col] == kept["_kept"], "left_semi")
+    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
+    rows = rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    return rows.unionByName(docs.where(F.col(id_col).isNull()))

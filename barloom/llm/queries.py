@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontamination import mark_contamination
 from .html_text import extract_text
+from .language_model import score_documents
 from .line_dedup import drop_frequent_lines
 from .mixing import mix_counts
 from .near_dedup import link_documents
@@ -75,6 +76,10 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return judge_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
@@ -89,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op6_decontamination": op6_decontamination,
     "op7_secret_scans": op7_secret_scans,
     "op8_html_extraction": op8_html_extraction,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_rules": op10_quality_rules,
 }
 
