@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,11 +27,22 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: The modules that register queries.
+MODULES = ("q_windows", "q_metrics")
+
+
+def _load() -> None:
+    for name in MODULES:
+        import_module(f"{__package__}.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_sql)
 
 
