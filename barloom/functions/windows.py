@@ -17,18 +17,20 @@ def ordered(keys: tuple[str, ...] = KEYS, order: str = ORDER) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(order)
 
 
-W = ordered()
+def spec() -> WindowSpec:
+    """By symbol, in time. Made when it is needed: a window needs a session."""
+    return ordered()
 
 
-def rows(a: int, b: int = 0, w: WindowSpec = W) -> WindowSpec:
-    return w.rowsBetween(a, b)
+def rows(a: int, b: int = 0, w: WindowSpec | None = None) -> WindowSpec:
+    return (w or spec()).rowsBetween(a, b)
 
 
-def upto(w: WindowSpec = W, last: int = 0) -> WindowSpec:
-    return w.rowsBetween(Window.unboundedPreceding, last)
+def upto(w: WindowSpec | None = None, last: int = 0) -> WindowSpec:
+    return (w or spec()).rowsBetween(Window.unboundedPreceding, last)
 
 
-def full(x: Column, n: int, aggregate: Callable[[Column], Column], first: int, last: int = 0, w: WindowSpec = W) -> Column:
+def full(x: Column, n: int, aggregate: Callable[[Column], Column], first: int, last: int = 0, w: WindowSpec | None = None) -> Column:
     """aggregate(x) over the frame, where that has n values."""
     f = rows(first, last, w)
     return F.when(F.count(x).over(f) == n, aggregate(x).over(f))
@@ -38,31 +40,31 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def lag(x: Column | str, n: int = 1, w: WindowSpec = W) -> Column:
-    return F.lag(_c(x), n).over(w)
+def lag(x: Column | str, n: int = 1, w: WindowSpec | None = None) -> Column:
+    return F.lag(_c(x), n).over(w or spec())
 
 
-def simple_return(x: Column | str = "close", n: int = 1, w: WindowSpec = W) -> Column:
+def simple_return(x: Column | str = "close", n: int = 1, w: WindowSpec | None = None) -> Column:
     return _c(x) / lag(x, n, w) - 1
 
 
-def log_return(x: Column | str = "close", w: WindowSpec = W) -> Column:
+def log_return(x: Column | str = "close", w: WindowSpec | None = None) -> Column:
     return F.log(_c(x) / lag(x, 1, w))
 
 
-def difference(x: Column | str = "close", w: WindowSpec = W) -> Column:
+def difference(x: Column | str = "close", w: WindowSpec | None = None) -> Column:
     return _c(x) - lag(x, 1, w)
 
 
-def sma(x: Column | str, n: int, w: WindowSpec = W) -> Column:
+def sma(x: Column | str, n: int, w: WindowSpec | None = None) -> Column:
     return full(_c(x), n, F.avg, 1 - n, 0, w)
 
 
-def std(x: Column | str, n: int, w: WindowSpec = W) -> Column:
+def std(x: Column | str, n: int, w: WindowSpec | None = None) -> Column:
     return full(_c(x), n, F.stddev_samp, 1 - n, 0, w)
 
 
-def prior_avg(x: Column | str, n: int, w: WindowSpec = W) -> Column:
+def prior_avg(x: Column | str, n: int, w: WindowSpec | None = None) -> Column:
     return full(_c(x), n, F.avg, -n, -1, w)
 
 
@@ -71,7 +73,7 @@ def ema_span(n: int) -> int:
     return math.ceil(-16 / math.log10(1 - 2 / (n + 1)))
 
 
-def ema(x: Column | str, n: int, w: WindowSpec = W) -> Column:
+def ema(x: Column | str, n: int, w: WindowSpec | None = None) -> Column:
     """Exponential mean of span n, weights normalised over the values there are; from the first row on.
 
     The frame ends where weights no longer count in double precision, so a task holds a bounded list for each row
@@ -84,12 +86,12 @@ def ema(x: Column | str, n: int, w: WindowSpec = W) -> Column:
     return F.aggregate(values, start, step, lambda a: a["num"] / a["den"])
 
 
-def rolling_sharpe(r: Column | str, n: int, periods: float, w: WindowSpec = W) -> Column:
+def rolling_sharpe(r: Column | str, n: int, periods: float, w: WindowSpec | None = None) -> Column:
     mean, sd = full(_c(r), n, F.avg, 1 - n, 0, w), std(r, n, w)
     return F.when(sd == 0, 0.0).otherwise(mean / F.nullif(sd, F.lit(0.0)) * periods**0.5)
 
 
-def rolling_max_drawdown(r: Column | str, n: int, w: WindowSpec = W) -> Column:
+def rolling_max_drawdown(r: Column | str, n: int, w: WindowSpec | None = None) -> Column:
     """The deepest fall from a peak inside the frame; equity starts anew in each frame, at its first return."""
     r = _c(r)
     path = F.when(F.count(r).over(rows(1 - n, 0, w)) == n, F.collect_list(r).over(rows(1 - n, 0, w)))
@@ -103,40 +105,35 @@ def rolling_max_drawdown(r: Column | str, n: int, w: WindowSpec = W) -> Column:
     return F.aggregate(path, start, step, lambda a: a["worst"])
 
 
-def true_range(w: WindowSpec = W) -> Column:
-    before = lag("close", 1, w)
-    return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
-
-
-def channel(n: int, w: WindowSpec = W) -> tuple[Column, Column]:
+def channel(n: int, w: WindowSpec | None = None) -> tuple[Column, Column]:
     """Highest high and lowest low of the n bars before this one."""
     return full(F.col("high"), n, F.max, -n, -1, w), full(F.col("low"), n, F.min, -n, -1, w)
 
 
-def volume_ratio(n: int, w: WindowSpec = W) -> Column:
+def volume_ratio(n: int, w: WindowSpec | None = None) -> Column:
     """Volume over the mean of the n bars before."""
     mean = prior_avg("volume", n, w)
     return F.col("volume") / F.nullif(mean, F.lit(0.0))
 
 
-def zscore_prior(x: Column | str, n: int, w: WindowSpec = W) -> Column:
+def zscore_prior(x: Column | str, n: int, w: WindowSpec | None = None) -> Column:
     """Against the n values before, this one left out."""
     x = _c(x)
     sd = full(x, n, F.stddev_samp, -n, -1, w)
     return (x - full(x, n, F.avg, -n, -1, w)) / F.nullif(sd, F.lit(0.0))
 
 
-def zscore(x: Column | str, n: int, aggregate: Callable[[Column], Column] = F.stddev_samp, w: WindowSpec = W) -> Column:
+def zscore(x: Column | str, n: int, aggregate: Callable[[Column], Column] = F.stddev_samp, w: WindowSpec | None = None) -> Column:
     """Against the last n values, this one included."""
     x = _c(x)
     sd = full(x, n, aggregate, 1 - n, 0, w)
     return (x - full(x, n, F.avg, 1 - n, 0, w)) / F.nullif(sd, F.lit(0.0))
 
 
-def forward_fill(x: Column | str, w: WindowSpec = W) -> Column:
+def forward_fill(x: Column | str, w: WindowSpec | None = None) -> Column:
     return F.last(_c(x), ignorenulls=True).over(upto(w))
 
 
-def running_equity(r: Column | str, w: WindowSpec = W) -> Column:
+def running_equity(r: Column | str, w: WindowSpec | None = None) -> Column:
     """The product of 1 + r up to each row; nulls count as no return."""
     return F.product(F.coalesce(_c(r), F.lit(0.0)) + 1).over(upto(w))

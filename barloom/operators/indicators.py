@@ -12,7 +12,7 @@ from ..functions import windows as win
 
 def with_returns(bars: DataFrame) -> DataFrame:
     """t (ordinal from 0), ret and log_ret."""
-    return bars.withColumns({"t": F.row_number().over(win.W) - 1, "ret": win.simple_return(), "log_ret": win.log_return()})
+    return bars.withColumns({"t": F.row_number().over(win.spec()) - 1, "ret": win.simple_return(), "log_ret": win.log_return()})
 
 
 def enrich(bars: DataFrame, lookback: int = 0) -> DataFrame:
@@ -114,7 +114,7 @@ def drawdowns(equity: DataFrame, value: str = "equity") -> DataFrame:
 
 def drawdown_periods(equity: DataFrame, value: str = "equity") -> DataFrame:
     """One row for each drawdown: its first and last bar under water, bars, depth, peak, trough, and when the peak was regained."""
-    marked = drawdowns(equity, value).withColumn("_next", F.lead("ts").over(win.W))
+    marked = drawdowns(equity, value).withColumn("_next", F.lead("ts").over(win.spec()))
     under = marked.where("drawdown < 0")
     return under.groupBy("symbol", "island").agg(
         F.min("ts").alias("start"),
@@ -130,7 +130,7 @@ def drawdown_periods(equity: DataFrame, value: str = "equity") -> DataFrame:
 def streaks(returns: DataFrame) -> DataFrame:
     """Longest runs of wins and losses of each symbol; a zero ends either."""
     sign = returns.where(F.col("ret").isNotNull()).withColumn("_sign", F.signum("ret"))
-    changed = sign.withColumn("_new", (F.col("_sign") != F.coalesce(F.lag("_sign").over(win.W), F.lit(9.0))).cast("long"))
+    changed = sign.withColumn("_new", (F.col("_sign") != F.coalesce(F.lag("_sign").over(win.spec()), F.lit(9.0))).cast("long"))
     runs = changed.withColumn("_run", F.sum("_new").over(win.upto())).groupBy("symbol", "_run", "_sign").agg(F.count("*").alias("n"))
     longest = lambda s: F.coalesce(F.max(F.when(F.col("_sign") == s, F.col("n"))), F.lit(0)).cast("long")
     return runs.groupBy("symbol").agg(longest(1).alias("max_wins"), longest(-1).alias("max_losses"))

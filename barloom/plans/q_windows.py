@@ -296,7 +296,7 @@ _PAIR = {
 
 @query("win27_28_31_joi02_src04_pair_windows", sql.bars("w", PAIR_SQL) + f"select {rounded_sql(['ts'], _PAIR)} from sp")
 def _(spark, sf):
-    p = ind.hedge_ratio(pair(spark, sf), "a", "b", 60).withColumns({"ra": win.simple_return("a"), "rb": win.simple_return("b"), "t": F.row_number().over(win.W) - 1})
+    p = ind.hedge_ratio(pair(spark, sf), "a", "b", 60).withColumns({"ra": win.simple_return("a"), "rb": win.simple_return("b"), "t": F.row_number().over(win.spec()) - 1})
     before = win.rows(-30, -1)
     p = p.withColumns(
         {

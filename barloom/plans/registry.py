@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 #: The modules that register queries.
-MODULES = ("q_windows", "q_metrics")
+MODULES = ("q_windows", "q_metrics", "q_signals")
 
 
 def _load() -> None:
@@ -47,4 +47,10 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Hourly bars of the events, traded by momentum with costs: the account of every bar."""
+    from ..operators.backtest import event_backtest
+    from ..operators.signals import momentum
+    from ..sources.bars import event_bars, table
+
+    run = event_backtest(momentum(event_bars(table(spark, sf_dir, "events"))))
+    return run.select("symbol", "ts", "close", "signal", "direction", "epoch", "equity", "exact")

@@ -18,6 +18,9 @@ _BARS = {
 }
 
 
+_BARS["x"] = f"""select symbol, ts, 100 * pow(open, 0.02) as open, 100 * pow(high, 0.02) as high, 100 * pow(low, 0.02) as low, 100 * pow(close, 0.02) as close, volume from ({_BARS["h"]})"""
+
+
 def bars(kind: str = "h", more: str = "") -> str:
     """with bars, and r: the bars with t, ret, log_ret and d (the difference of closes); then further CTEs."""
     return f"""with bars as ({_BARS[kind]}),
