@@ -10,15 +10,10 @@ from ..operators import indicators as ind
 from ..operators import metrics as m
 from ..operators import signals as sig
 from . import sql
-from .q_windows import ADX_SQL, PAIR_SQL, RSI_SQL, TR_SQL, daily, hourly, pair, r, rounded, weekly
+from .q_windows import ADX_SQL, PAIR_SQL, RSI_SQL, TR_SQL, daily, damped_hourly, damped_weekly, hourly, pair, r, rounded, weekly
 from .registry import query
 
-def damped(spark, sf):
-    """Hourly bars whose moves are damped, so that an account outlives them."""
-    return hourly(spark, sf).withColumns({c: F.pow(F.col(c), F.lit(0.02)) * 100 for c in ("open", "high", "low", "close")})
-
-
-BARS_OF = {"h": hourly, "d": daily, "w": weekly, "x": damped}
+BARS_OF = {"h": hourly, "d": daily, "w": weekly, "x": damped_hourly, "y": damped_weekly}
 
 
 def case(buy: str, sell: str | None = None) -> str:
@@ -211,7 +206,7 @@ _ALGEBRA = _SIG1 + f""", d0 as (select *, coalesce(last_value(case when signal <
 
 
 def _trades(spark, sf):
-    return bt.trades(bt.event_backtest(sig.momentum(damped(spark, sf))))
+    return bt.trades(bt.event_backtest(sig.momentum(damped_hourly(spark, sf))))
 
 
 @query("trd01_trades", sql.bars("x", _ALGEBRA) + "select symbol, cast(dir as int) as direction, entry_ts, exit_ts, round(entry, 6) as entry_price, round(exit, 6) as exit_price, round(size, 4) + 0.0 as size, round(pnl, 4) + 0.0 as pnl, round(pnl / abs(size * entry), 6) + 0.0 as return_pct, bars, date_diff('day', entry_ts, exit_ts) as days from tp")
@@ -239,7 +234,7 @@ def _(spark, sf):
     + """select symbol, round(arg_max(equity, ts) / arg_min(equity, ts) - 1, 6) as total_return, round(stddev_samp(er) * sqrt(252), 6) as volatility, round(min(dd), 6) as max_drawdown,
     round(case when arg_max(equity, ts) > 0 then pow(arg_max(equity, ts) / arg_min(equity, ts), 252.0 / count(er)) - 1 end, 6) as annualized_return, round(max(win_rate), 6) as win_rate, max(num_trades) as num_trades, round(max(atr), 6) as avg_trade_return from q1 join w using (symbol) group by 1""")
 def _(spark, sf):
-    run = bt.event_backtest(sig.momentum(damped(spark, sf)))
+    run = bt.event_backtest(sig.momentum(damped_hourly(spark, sf)))
     out = bt.run_metrics(run, bt.trades(run))
     return out.select("symbol", "num_trades", *[r(F.col(c)).alias(c) for c in ("total_return", "volatility", "max_drawdown", "annualized_return", "win_rate", "avg_trade_return")])
 

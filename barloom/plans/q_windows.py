@@ -30,6 +30,19 @@ def weekly(spark: SparkSession, sf: str) -> DataFrame:
     return src.line_bars(src.table(spark, sf, "lineitem"), "week")
 
 
+def damped(bars: DataFrame) -> DataFrame:
+    """The bars with moves like those of prices; the test tables hold noise, which would use up any account."""
+    return bars.withColumns({c: F.pow(F.col(c), F.lit(0.02)) * 100 for c in ("open", "high", "low", "close")})
+
+
+def damped_hourly(spark: SparkSession, sf: str) -> DataFrame:
+    return damped(hourly(spark, sf))
+
+
+def damped_weekly(spark: SparkSession, sf: str) -> DataFrame:
+    return damped(weekly(spark, sf))
+
+
 def rounded(df: DataFrame, keys: list[str], values: list[str], n: int = 6) -> DataFrame:
     return df.select(*keys, *[r(F.col(v), n).alias(v) for v in values])
 

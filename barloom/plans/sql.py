@@ -18,7 +18,9 @@ _BARS = {
 }
 
 
-_BARS["x"] = f"""select symbol, ts, 100 * pow(open, 0.02) as open, 100 * pow(high, 0.02) as high, 100 * pow(low, 0.02) as low, 100 * pow(close, 0.02) as close, volume from ({_BARS["h"]})"""
+# Damped: hourly (x) and weekly (y) bars whose moves are those of prices, not of noise.
+for _damped, _raw in (("x", "h"), ("y", "w")):
+    _BARS[_damped] = f"""select symbol, ts, 100 * pow(open, 0.02) as open, 100 * pow(high, 0.02) as high, 100 * pow(low, 0.02) as low, 100 * pow(close, 0.02) as close, volume from ({_BARS[_raw]})"""
 
 
 def bars(kind: str = "h", more: str = "") -> str:
