@@ -13,11 +13,14 @@ from .language_model import score_documents
 from .line_dedup import drop_frequent_lines
 from .mixing import mix_counts
 from .near_dedup import link_documents
+from .oracles import ORACLE_SQL
 from .quality import fit_quality, judge_quality
 from .secrets import builtin_samples, corpus_words, digest, fit_ratios, scan_secrets
 from .sharding import shard_rows
 from .token_counts import count_tokens
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -97,5 +100,3 @@ QUERIES: dict[str, Query] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_rules": op10_quality_rules,
 }
-
-ORACLE_SQL: dict[str, str] = {}
