@@ -5,10 +5,13 @@
    their XOR) tell how many samples differ, most precisely where few do.
 2. Documents with equal sets form classes; only one representative of each goes on.
 3. Representatives that share a band are candidates. A bucket's members are first compared with its smallest one, which is linear in
-   its size. Where a bucket still has several components afterwards, the members outside its largest
-   component are compared with all others of the bucket, in blocks. So no pair that could join two components is left out, however large a bucket is.
-4. Candidates whose sketches leave a similarity near the threshold possible are verified on their full sets.
-5. Components are found by passing on the smallest id and jumping to the label's own label; all state is in written tables.
+   its size; pairs whose sketches leave the threshold possible are verified on their full sets.
+4. Candidates that sketches find possible form families: the pairs of step 3, and where a bucket holds several families, what
+   joins them. Two documents that share a band and may be similar are thus in one family, and families of unrelated documents do not grow together.
+5. Where verified links leave a family in several components, the members outside its largest one are held against all of it, in
+   blocks, by sketches and then on full sets; a task emits only pairs that join components it has not joined yet. So no link that
+   matters is left out, however large a bucket or a family is, and what is emitted grows with the members, not with their pairs.
+6. Components are found by passing on the smallest id and jumping to the label's own label; all state is in written tables.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ BITS = 1024
 #: How far below the threshold a sketch's estimate may lie before the pair is dropped: six standard deviations.
 MARGIN = 0.2
 #: Members that are compared at once.
-BLOCK = 256
+BLOCK = 512
 
 _rng = np.random.default_rng(20240501)
 _FACTORS = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
@@ -170,35 +173,54 @@ def _compare(batches: Iterator[pa.RecordBatch], alike: Callable[[bytes, bytes],
         yield pa.RecordBatch.from_arrays([pa.array(left, kind), pa.array(right, kind)], ["a", "b"])
 
 
-def _cross(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (band, bx, by, minor first): pairs of a minor member and any other of another component whose sketches may be alike."""
-    group, minor = None, ([], [], [])
+class _Joined:
+    """Union-find over the labels of one group of rows."""
 
+    def __init__(self) -> None:
+        self.up: dict = {}
+
+    def root(self, x):
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+
+def _cross(batches: Iterator[pa.RecordBatch], most: int, percent: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (group, bx, by, minor first): pairs of a minor member and any other of another component, alike by their sketches and,
+    with a percent, by their sets. Pairs whose components the group's earlier pairs have joined are passed over.
+    """
+    group, minor, joined = None, ([], [], [], []), _Joined()
     for batch in batches:
         kind = batch.schema.field("_id").type
         left, right = [], []
-        columns = [batch.column(c).to_pylist() for c in ("band", "bx", "by", "side", "_id", "label", "sketch")]
-        at = 0
+        columns = [batch.column(c).to_pylist() for c in ("group", "bx", "by", "side", "_id", "label", "sketch", "payload")]
         rows = list(zip(*columns))
+        at = 0
         while at < len(rows):
             key = rows[at][:3]
             if key != group:
-                group, minor = key, ([], [], [])
+                group, minor, joined = key, ([], [], [], []), _Joined()
             end = at
             while end < len(rows) and rows[end][:3] == key:
                 end += 1
-            others = [r for r in rows[at:end] if r[3] == 1]
+            others = []
             for r in rows[at:end]:
-                if r[3] == 0:
-                    minor[0].append(r[4])
-                    minor[1].append(r[5])
-                    minor[2].append(r[6])
+                if r[3]:
+                    others.append(r)
+                else:
+                    for column, value in zip(minor, (r[4], r[5], r[6], np.frombuffer(r[7], np.uint64) if percent else None)):
+                        column.append(value)
             if others and minor[0]:
                 x = np.frombuffer(b"".join(minor[2]), np.uint64).reshape(-1, BITS // 64)
-                for _, _, _, _, i, label, sketch in others:
-                    near = np.bitwise_count(x ^ np.frombuffer(sketch, np.uint64)).sum(axis=1) <= most
-                    for k in np.flatnonzero(near):
-                        if minor[1][k] != label:
+                for _, _, _, _, i, label, sketch, payload in others:
+                    near = np.flatnonzero(np.bitwise_count(x ^ np.frombuffer(sketch, np.uint64)).sum(axis=1) <= most)
+                    own = np.frombuffer(payload, np.uint64) if percent and len(near) else None
+                    for k in near:
+                        p, q = joined.root(minor[1][k]), joined.root(label)
+                        if p != q and (percent is None or jaccard_at_least(minor[3][k], own, percent)):
+                            joined.up[p] = q
                             left.append(min(i, minor[0][k]))
                             right.append(max(i, minor[0][k]))
             at = end
@@ -290,40 +312,45 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, broadcast_
     alike = partial(_alike_sketches, most=most)
     likely = _verified(stars, sketches, alike, scratch, "likely")
 
-    def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
-        ids = scratch.write(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct(), "ids")
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """(_id, payload): the sets of some documents, made anew from their texts."""
+        ids = scratch.write(ids.distinct(), "ids")
         few = ids.count() <= broadcast_rows
         wanted = slim.join(F.broadcast(ids) if few else ids, "_id", "left_semi")
-        with _small_batches(spark):
-            sets = wanted.mapInArrow(partial(_sets, size=size), f"_id {kind}, payload binary")
-            return _verified(pairs, sets, partial(_alike_sets, percent=percent), scratch, tag)
+        return wanted.mapInArrow(partial(_sets, size=size), f"_id {kind}, payload binary")
 
-    links = confirmed(likely, "links")
+    both = likely.select(F.col("a").alias("_id")).union(likely.select("b"))
+    links = _verified(likely, sets_of(both), partial(_alike_sets, percent=percent), scratch, "links")
     labels = components(links, scratch)
 
-    # Buckets that still have several components: members outside the largest are held against all others.
-    known = members.select("band", "_id").join(labels, "_id", "left").withColumn("label", F.coalesce("label", "_id"))
-    known = scratch.write(known, "known")
-    parts = known.groupBy("band", "label").agg(F.count("*").alias("n"))
-    open_ = parts.groupBy("band").agg(F.sum("n").alias("size"), F.max("n").alias("largest"), F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("k")).where("k > 1")
-    open_ = scratch.write(open_.drop("k"), "open")
-    left = split_hot_join(known, open_, "band", "size", n_rows)
-    left = left.join(sketches.withColumnRenamed("payload", "sketch"), "_id")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    left = left.withColumn("nx", F.ceil((F.col("size") - F.col("largest")) / BLOCK).cast("int")).withColumn("ny", blocks("size"))
-    own = lambda n: F.pmod(F.xxhash64("_id"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    payload = ["_id", "label", "sketch"]
-    minor = left.where("label != major").select("band", own("nx").alias("bx"), each("ny").alias("by"), F.lit(0).alias("side"), *payload)
-    other = left.select("band", each("nx").alias("bx"), own("ny").alias("by"), F.lit(1).alias("side"), *payload)
-    dealt = minor.unionByName(other).repartition("band", "bx", "by").sortWithinPartitions("band", "bx", "by", "side")
-    with _small_batches(spark, 2000):
-        crossing = scratch.write(dealt.mapInArrow(partial(_cross, most=most), f"a {kind}, b {kind}").distinct(), "crossing")
-    new = scratch.write(crossing.join(likely, ["a", "b"], "left_anti"), "new")
-    if not new.isEmpty():
-        more = confirmed(new, "more")
-        if not more.isEmpty():
-            labels = components(scratch.write(links.unionByName(more).distinct(), "all"), scratch)
+    def bridges(rows: DataFrame, n: int, payloads: Callable[[DataFrame], DataFrame] | None, tag: str) -> DataFrame:
+        """Pairs that join the labels of a group. rows: (group, _id, label), n of them."""
+        parts = rows.groupBy("group", "label").agg(F.count("*").alias("n"))
+        several = parts.groupBy("group").agg(F.sum("n").alias("size"), F.max("n").alias("largest"), F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("k"))
+        several = scratch.write(several.where("k > 1").drop("k"), f"{tag}-several")
+        open_ = scratch.write(split_hot_join(rows, several, "group", "size", n), f"{tag}-open")
+        held = open_.join(sketches.withColumnRenamed("payload", "sketch"), "_id")
+        held = held.join(payloads(open_), "_id") if payloads else held.withColumn("payload", F.lit(None).cast("binary"))
+        held = held.withColumns({"nx": F.ceil((F.col("size") - F.col("largest")) / BLOCK).cast("int"), "ny": F.ceil(F.col("size") / BLOCK).cast("int")})
+        own = lambda c: F.pmod(F.xxhash64("_id"), F.col(c)).cast("int")
+        each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        carried = ["_id", "label", "sketch", "payload"]
+        minor = held.where("label != major").select("group", own("nx").alias("bx"), each("ny").alias("by"), F.lit(0).alias("side"), *carried)
+        other = held.select("group", each("nx").alias("bx"), own("ny").alias("by"), F.lit(1).alias("side"), *carried)
+        dealt = minor.unionByName(other).repartition("group", "bx", "by").sortWithinPartitions("group", "bx", "by", "side")
+        with _small_batches(spark):
+            found = dealt.mapInArrow(partial(_cross, most=most, percent=percent if payloads else None), f"a {kind}, b {kind}")
+            return scratch.write(found.distinct(), tag)
+
+    families = components(likely, scratch)
+    in_family = members.select(F.col("band").alias("group"), "_id").join(families, "_id", "left").withColumn("label", F.coalesce("label", "_id"))
+    more = bridges(scratch.write(in_family, "in-family"), n_rows, None, "bridges")
+    if not more.isEmpty():
+        families = components(scratch.write(likely.unionByName(more).distinct(), "possible"), scratch)
+    kin = families.withColumnRenamed("label", "group").join(labels, "_id", "left").withColumn("label", F.coalesce("label", "_id"))
+    more = bridges(scratch.write(kin, "kin"), n_rows, lambda rows: sets_of(rows.select("_id")), "joins")
+    if not more.isEmpty():
+        labels = components(scratch.write(links.unionByName(more).distinct(), "all"), scratch)
 
     named = classes.join(labels, "_id", "left").select("digest", "copies", F.coalesce("label", "_id").alias("component"))
     named = scratch.write(named, "named")
