@@ -217,8 +217,11 @@ def rebalancing(returns: DataFrame, weights: DataFrame, every: int, cost: float
     """(portfolio, ts, value) of a portfolio set back to its weights every `every` bars, less costs on what is traded.
 
     Within a segment the value is the weighted product of returns, so segments are evaluated apart and chained by a running product.
+    Only times at which every asset of the portfolio has a return count.
     """
-    r = returns.where("ret is not null").join(F.broadcast(weights), "symbol")
+    held = weights.withColumn("_assets", F.count("*").over(Window.partitionBy("portfolio")))
+    r = returns.where("ret is not null").join(F.broadcast(held), "symbol")
+    r = r.withColumn("_here", F.count("*").over(Window.partitionBy("portfolio", "ts"))).where("_here = _assets").drop("_here", "_assets")
     order = Window.partitionBy("portfolio", "symbol").orderBy("ts")
     r = r.withColumn("seg", F.floor((F.row_number().over(order) - 1) / every))
     inside = Window.partitionBy("portfolio", "symbol", "seg").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)

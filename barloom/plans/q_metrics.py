@@ -217,7 +217,7 @@ def _(spark, sf):
     return returns(daily(spark, sf)).where(ts & F.col("symbol").isin("A", "R") & (c != 0)).groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(c < 0).alias("losses"), r(F.avg(F.when(c > 0, c))).alias("mean_gain"))
 
 
-SPLIT_SQL = "s as (select *, case when t < floor(n * 0.7) then 'train' when t < floor(n * 0.85) then 'validation' else 'test' end as split from (select *, count(*) over (partition by symbol) as n from r))"
+SPLIT_SQL = "s as (select *, case when t < floor(n * 0.7::double) then 'train' when t < floor(n * 0.85::double) then 'validation' else 'test' end as split from (select *, count(*) over (partition by symbol) as n from r))"
 
 
 def split(df, train: float = 0.7, validation: float = 0.85):

@@ -69,7 +69,7 @@ def _(spark, sf):
     return rd(pf.weights_frame(spark, names, solved), ["portfolio", "symbol"])
 
 
-@query("ptf02_minimum_variance_two_assets", sql.bars("y", "c as (select var_samp(a.ret) as va, var_samp(b.ret) as vb, covar_samp(a.ret, b.ret) as k from r a join r b using (ts) where a.symbol = 'A' and b.symbol = 'N' and a.ret is not null and b.ret is not null), w as (select greatest(0, least(1, (vb - k) / (va + vb - 2 * k))) as w from c)") + "select 'A' as symbol, round(w, 5) as w from w union all select 'N', round(1 - w, 5) from w")
+@query("ptf02_minimum_variance_two_assets", sql.bars("y", "c as (select (select var_samp(ret) from r where symbol = 'A') as va, (select var_samp(ret) from r where symbol = 'N') as vb, covar_samp(a.ret, b.ret) as k from r a join r b using (ts) where a.symbol = 'A' and b.symbol = 'N' and a.ret is not null and b.ret is not null), w as (select greatest(0, least(1, (vb - k) / (va + vb - 2 * k))) as w from c)") + "select 'A' as symbol, round(w, 5) as w from w union all select 'N', round(1 - w, 5) from w")
 def _(spark, sf):
     names, cov = pf.matrix(m.covariance(rets(spark, sf).where(F.col("symbol").isin("A", "N"))))
     return pf.weights_frame(spark, names, {"x": pf.minimum_variance(cov)}).select("symbol", r(F.col("w"), 5).alias("w"))
@@ -89,7 +89,7 @@ def _(spark, sf):
     return rd(pf.attribution(rets(spark, sf), weights(spark)), ["portfolio", "symbol"])
 
 
-@query("ptf08_rebalancing", sql.bars("y", WSQL + """, a as (select portfolio, symbol, ts, w, ret, floor((row_number() over (partition by portfolio, symbol order by ts) - 1) / 21) as seg from r join wt using (symbol) where ret is not null), g as (select *, w * product(1 + ret) over (partition by portfolio, symbol, seg order by ts rows unbounded preceding) as g from a),
+@query("ptf08_rebalancing", sql.bars("y", WSQL + """, a0 as (select portfolio, symbol, ts, w, ret from r join wt using (symbol) where ret is not null qualify count(*) over (partition by portfolio, ts) = 3), a as (select portfolio, symbol, ts, w, ret, floor((row_number() over (partition by portfolio, symbol order by ts) - 1) / 21) as seg from a0), g as (select *, w * product(1 + ret) over (partition by portfolio, symbol, seg order by ts rows unbounded preceding) as g from a),
     v as (select portfolio, seg, ts, sum(g) as v from g group by 1, 2, 3), x as (select g.portfolio, g.seg, g.ts, max(v) * (1 - 0.001 * sum(abs(g / v - w))) as f from g join v on v.portfolio = g.portfolio and v.ts = g.ts group by 1, 2, 3), e as (select portfolio, seg, arg_max(f, ts) as f from x group by 1, 2), c as (select *, coalesce(product(f) over (partition by portfolio order by seg rows between unbounded preceding and 1 preceding), 1) as start from e)""")
     + "select portfolio, ts, round(v * start, 8) as value from v join c using (portfolio, seg)")
 def _(spark, sf):

@@ -215,7 +215,7 @@ def _(spark, sf):
     return t.select("symbol", "direction", "entry_ts", "exit_ts", r(F.col("entry_price")).alias("entry_price"), r(F.col("exit_price")).alias("exit_price"), r(F.col("size"), 4).alias("size"), r(F.col("pnl"), 4).alias("pnl"), r(F.col("return_pct")).alias("return_pct"), "bars", "days")
 
 
-@query("trd01_02_trade_metrics", sql.bars("x", _ALGEBRA) + """select symbol, count(*) as num_trades, round(avg((pnl > 0)::double), 6) as win_rate, round(sum(pnl) filter (where pnl > 0) / sum(-pnl) filter (where pnl < 0), 6) as profit_factor, round(avg(pnl) filter (where pnl > 0), 4) as avg_win, round(avg(pnl) filter (where pnl < 0), 4) as avg_loss,
+@query("trd01_02_trade_metrics", sql.bars("x", _ALGEBRA) + """select symbol, count(*) as num_trades, round(avg((pnl > 0)::double), 6) as win_rate, round(coalesce(sum(pnl) filter (where pnl > 0), 0) / sum(-pnl) filter (where pnl < 0), 6) as profit_factor, round(avg(pnl) filter (where pnl > 0), 4) as avg_win, round(avg(pnl) filter (where pnl < 0), 4) as avg_loss,
     round(max(pnl), 4) as largest_win, round(min(pnl), 4) as largest_loss, round(sum(pnl), 4) as total_pnl, round(avg(date_diff('day', entry_ts, exit_ts)), 6) as avg_days, round(stddev_pop(pnl), 4) as std_pnl, round(quantile_cont(pnl, 0.5), 4) as median_pnl, round(quantile_cont(pnl, 0.9), 4) as p90_pnl from tp group by 1""")
 def _(spark, sf):
     t = bt.trade_metrics(_trades(spark, sf))
