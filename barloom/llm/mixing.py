@@ -112,8 +112,8 @@ def mix_documents(docs: DataFrame, weights: DataFrame | None = None, max_epochs:
     counts = counts.groupBy(plain_id.alias("_id"), F.col("_stratum").alias("_in"), F.col("size").alias("_size")).agg(
         F.reverse(F.array_sort(F.collect_list("times"))).alias("_times")
     )
-    rows = docs.select("*", plain_id.alias("_id"), stratum(source_col).alias("_in"), n_words(text_col).alias("_size"))
-    nth = F.row_number().over(Window.partitionBy(*same).orderBy(F.xxhash64(text_col)))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), plain_id.alias("_id"), stratum(source_col).alias("_in"), n_words(text_col).alias("_size"), F.xxhash64(text_col).alias("_hash"))
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy("_hash"))
     rows = rows.withColumn("_nth", nth).join(counts, same)
     rows = rows.withColumn("_copies", F.when(F.col("_nth") <= F.size("_times"), F.element_at("_times", F.col("_nth"))).otherwise(0))
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(*[rows[c] for c in docs.columns])
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select("_row.*")

@@ -367,8 +367,8 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_c
     one whose text has the lowest hash; rows without an id all stay.
     """
     linked = link_documents(docs, size, percent, id_col=id_col, text_col=text_col)
-    kept = linked.where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_kept")).distinct()
-    rows = docs.join(kept, docs[id_col] == kept["_kept"], "left_semi")
-    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-    rows = rows.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
-    return rows.unionByName(docs.where(F.col(id_col).isNull()))
+    kept = linked.where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
+    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.struct(*docs.columns).alias("_row"))
+    nth = F.row_number().over(Window.partitionBy("_id").orderBy("_hash"))
+    chosen = rows.join(kept, "_id", "left_semi").withColumn("_nth", nth).where("_nth = 1")
+    return chosen.unionByName(rows.where("_id is null").withColumn("_nth", F.lit(1))).select("_row.*")

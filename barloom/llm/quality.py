@@ -251,5 +251,6 @@ def judge_quality(docs: DataFrame, trees: Trees, least_score: float = 0.0, id_co
 def filter_quality(docs: DataFrame, trees: Trees, least_score: float = 0.0, text_col: str = "text") -> DataFrame:
     """The rows of docs that judge_quality keeps, with their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
-    doubled = docs.withColumn("_text", F.col(text_col))
-    return doubled.mapInArrow(partial(_judge, trees=shared, least_score=least_score, only_kept=True, extra=False), docs.schema)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"))
+    kept = rows.mapInArrow(partial(_judge, trees=shared, least_score=least_score, only_kept=True, extra=False), rows.select("_row").schema)
+    return kept.select("_row.*")

@@ -74,17 +74,18 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, seed: int = 0, id_col:
     """
     docs = docs.drop("shard", "slot")
     placed = shard_rows(docs, n_shards, seed, id_col, text_col, source_col)
-    places = placed.groupBy(
-        F.coalesce(F.col(id_col).cast("string"), F.lit("-")).alias("_id"), "_stratum", F.col("text_crc32").alias("_crc"), F.col("size").alias("_size")
-    ).agg(F.array_sort(F.collect_list(F.struct("shard", "slot"))).alias("_places"))
+    plain_id = F.coalesce(F.col(id_col).cast("string"), F.lit("-"))
+    places = placed.groupBy(plain_id.alias("_id"), "_stratum", F.col("text_crc32").alias("_crc"), F.col("size").alias("_size")).agg(
+        F.array_sort(F.collect_list(F.struct("shard", "slot"))).alias("_places")
+    )
     same = ["_id", "_stratum", "_crc", "_size"]
     rows = docs.select(
-        "*",
-        F.coalesce(F.col(id_col).cast("string"), F.lit("-")).alias("_id"),
+        F.struct(*docs.columns).alias("_row"),
+        plain_id.alias("_id"),
         stratum(source_col).alias("_stratum"),
         F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).cast("long").alias("_crc"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("_size"),
     )
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(1))))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*same).orderBy("_size")))
     found = rows.join(places, same).withColumn("_place", F.element_at("_places", F.col("_nth")))
-    return found.select(*[docs[c] for c in docs.columns], F.col("_place.shard").alias("shard"), F.col("_place.slot").alias("slot"))
+    return found.select("_row.*", F.col("_place.shard").alias("shard"), F.col("_place.slot").alias("slot"))

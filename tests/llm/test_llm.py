@@ -1,0 +1,381 @@
+"""Each operator against a plain version of its contract, over rows with nulls, ties, repeats and clashing columns, and over no rows."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from barloom.llm import html_text, language_model, quality
+from barloom.llm.decontamination import decontaminate, mark_contamination, windows_of, words_of
+from barloom.llm.language_model import score_documents
+from barloom.llm.line_dedup import drop_frequent_lines
+from barloom.llm.mixing import mix_counts, mix_documents
+from barloom.llm.near_dedup import drop_near_duplicates, link_documents
+from barloom.llm.secrets import builtin_samples, digest, fit_ratios, scan_secrets
+from barloom.llm.sharding import shard_documents, shard_rows
+from barloom.llm.token_counts import count_tokens
+
+from .conftest import BASE, ROWS, SCHEMA, frame, words
+
+ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def tokens(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(ASCII_LOWER))
+
+
+def same_schema(df, docs):
+    assert [(f.name, f.dataType) for f in df.schema] == [(f.name, f.dataType) for f in docs.schema]
+
+
+def test_sharding(docs, empty):
+    out = shard_rows(docs, 4).collect()
+    assert len(out) == len(ROWS)
+    sizes = Counter(r.shard for r in out)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    for s in sizes:
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sizes[s]))
+        hot = sum(r._stratum == "0hot" for r in out if r.shard == s)
+        assert abs(hot - 30 / 4) <= 1
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in ROWS)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == want
+    key = lambda r: (str(r.doc_id), r.text_crc32, r.shard, r.slot)
+    assert sorted(map(key, out)) == sorted(map(key, shard_rows(docs.repartition(2), 4).collect()))
+    full = shard_documents(docs, 4)
+    assert full.columns == [c for c in docs.columns if c not in ("shard", "slot")] + ["shard", "slot"]
+    assert Counter((r.doc_id, r.shard, r.slot) for r in full.collect()) == Counter((r.doc_id, r.shard, r.slot) for r in out)
+    assert shard_rows(empty).count() == 0 and shard_documents(empty).count() == 0
+
+
+def test_mixing(docs, empty):
+    out = mix_counts(docs).collect()
+    assert len(out) == len(ROWS)
+    size = defaultdict(int)
+    for _, t, s in ROWS:
+        size[s] += len(tokens(t))
+    names = sorted((s for s in size if s is not None)) + [None]
+    weight = {s: k % 3 + 1 for k, s in enumerate(names)}
+    target, full = {}, set()
+    while True:  # clamp and share again until none is above its cap
+        left = sum(size.values()) - sum(3 * size[s] for s in full)
+        open_ = sum(weight[s] for s in names if s not in full)
+        target = {s: 3.0 * size[s] if s in full else left * weight[s] / open_ for s in names}
+        over = {s for s in names if s not in full and target[s] > 3 * size[s]}
+        if not over:
+            break
+        full |= over
+    by = {("1" if s is None else "0" + s): s for s in names}
+    taken = defaultdict(int)
+    for r in out:
+        s = by[r._stratum]
+        assert r.source_size == size[s] and r.target == pytest.approx(target[s]) and r.taken <= 3 * r.size
+        taken[s] += r.taken
+    for s in names:
+        longest = max([len(tokens(t)) for _, t, o in ROWS if o == s])
+        assert abs(taken[s] - target[s]) <= longest / 2 + 1
+    mixed = mix_documents(docs)
+    same_schema(mixed, docs)
+    got = Counter((r.doc_id, r.text) for r in mixed.collect())
+    assert sum(got.values()) == sum(r.times for r in out)
+    assert mix_counts(empty).count() == 0 and mix_documents(empty).count() == 0
+
+
+def test_mixing_weights(spark, docs):
+    w = spark.createDataFrame([("a", 1.0), ("hot", 0.0)], "source string, weight double")
+    out = mix_counts(docs, w)
+    assert out.where("_stratum = '0b' and taken > 0").count() == 0
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_line_dedup(docs, empty, limit):
+    key = lambda x: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x).translate(ASCII_LOWER)
+    count = Counter(k for _, t, _ in ROWS for k in {key(x) for x in (t or "").split("\n")})
+    want = Counter()
+    for i, t, _ in ROWS:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if not (key(x) and count[key(x)] >= 2)]
+        want[i, len(lines), len(lines) - len(kept), "\n".join(kept)] += 1
+    out = drop_frequent_lines(docs, min_docs=2, n_batches=5, broadcast_rows=limit, keep=("kept",))
+    assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in out.collect()) == want
+    if limit:
+        assert drop_frequent_lines(empty, n_batches=2).count() == 0
+
+
+def test_token_counts(docs, empty):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    want = Counter((i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t, _ in ROWS)
+    for size in (50_000, 1):
+        out = count_tokens(docs, path, P.PATTERN, table_rows=size)
+        assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in out.collect()) == want
+    assert count_tokens(empty, path, P.PATTERN).count() == 0
+
+
+def near_by_hand(rows, size, percent=80):
+    sets = []
+    for i, t, _ in rows:
+        w = tokens(t)
+        k = min(size, len(w))
+        sets.append((i, frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if w else frozenset()))
+    up = {i: i for i, _ in sets if i is not None}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, (i, x) in enumerate(sets):
+        for j, y in sets[:a]:
+            if i is not None and j is not None and x and y and 100 * len(x & y) >= percent * len(x | y):
+                p, q = sorted((root(i), root(j)))
+                up[q] = p
+    return Counter((i, len(x), None if i is None else root(i)) for i, x in sets)
+
+
+def test_near_dedup(docs, empty):
+    out = link_documents(docs, size=4)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()) == near_by_hand(ROWS, 4)
+    kept = drop_near_duplicates(docs, size=4)
+    same_schema(kept, docs)
+    got = [r.doc_id for r in kept.collect()]
+    want = {i for i, _, c in near_by_hand(ROWS, 4) if i == c}
+    assert sorted(x for x in got if x is not None) == sorted(x for x in want if x is not None) and got.count(None) == 2
+    assert link_documents(empty).count() == 0
+
+
+def test_near_dedup_of_a_large_family(spark):
+    import random
+
+    r = random.Random(5)
+    base = words(70, 9).split()
+    rows = []
+    for i in range(260):  # copies that drift so far that many pairs lie around the threshold
+        w = list(base)
+        for _ in range(r.randrange(0, 6)):
+            w[r.randrange(len(w))] = f"new{r.randrange(10**6)}"
+        rows.append((i, " ".join(w), "a"))
+    out = link_documents(frame(spark, rows), size=4)
+    assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in out.collect()) == near_by_hand(rows, 4)
+
+
+def test_decontamination(spark, docs, empty):
+    items = [("i1", BASE + " more"), ("i2", "ONE, two"), ("i3", None), ("i4", ""), (None, words(20, 4)), ("i5", "common line own"), ("i1", "common line own")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = Counter()
+    for i, t, _ in ROWS:
+        w = words_of(t)
+        hit, names = set(), set()
+        for item, text in items:
+            for win in windows_of(text, 13):
+                for s in range(len(w) - len(win) + 1):
+                    if tuple(w[s : s + len(win)]) == win:
+                        hit.update(range(s, s + len(win)))
+                        names.add(item or "")
+        want[i, len(w), len(hit), ",".join(sorted(names)), bool(hit) and 20 * len(hit) >= len(w)] += 1
+    for block in (100_000, 3):  # in one pass over the texts, and in many
+        out = mark_contamination(docs, bench, block_windows=block)
+        assert Counter((r.doc_id, r.n_words, r.n_hit, ",".join(r.items), r.contaminated) for r in out.collect()) == want
+    clean = decontaminate(docs, bench)
+    same_schema(clean, docs)
+    assert clean.count() == sum(n for k, n in want.items() if not k[4])
+    assert decontaminate(docs, bench.limit(0)).count() == len(ROWS) and decontaminate(empty, bench).count() == 0
+
+
+def test_secrets(spark, docs, empty):
+    patterns = [
+        ("assign", re.compile(r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), lambda x: len(x[2]) >= 8),
+        ("access", re.compile("AKIA[A-Z0-9]+"), lambda x: len(x[0]) >= 16),
+        ("hex", re.compile("[0-9a-f]+"), lambda x: len(x[0]) >= 32),
+    ]
+    ratios = fit_ratios(builtin_samples(spark))
+    out = scan_secrets(docs, ratios)
+    got = Counter((r.doc_id, r.b) for r in out.select("doc_id", digest(F.col("base")).alias("b")).collect())
+    want = Counter()
+    for i, t, _ in ROWS:
+        spans = [(x.start(), k, x.end(), n) for k, (n, p, ok) in enumerate(patterns) for x in p.finditer(t or "") if ok(x)]
+        want[i, ",".join(f"{n}:{s}:{e}" for s, _, e, n in sorted(spans))] += 1
+    assert got == want
+    assert scan_secrets(empty, ratios).count() == 0
+    held = builtin_samples(spark, 6000).where("length(text) >= 20").select(F.monotonically_increasing_id().alias("doc_id"), F.concat(F.lit("x "), "text", F.lit(" y")).alias("text"), "random")
+    marked = scan_secrets(held, ratios).join(held, "doc_id").select("random", (F.size("added") + F.size("base") > 0).alias("found")).groupBy("random").agg(F.avg(F.col("found").cast("double")).alias("p")).collect()
+    share = {r.random: r.p for r in marked}
+    assert share[1] > 0.97 and share[0] < 0.02
+
+
+def test_html():
+    page = """<html><head><title>T</title><script>var a="</p>";</script></head><body><header><a href=x>Home</a></header><nav><ul><li><a>A</a></ul></nav>
+    <div class="cookie-notice">We use cookies on this site and others</div><article><h1>Head &amp; more</h1><p>First <b>para</b>graph&nbsp;&#x41;
+      goes on.</p><div class=ad>Buy now, buy this and that</div><p>Er.</p><section class="comments"><p>I say this is great and more</p></section></article>
+    <footer>&copy; me</footer></body></html>"""
+    assert html_text.main_text(page) == "Head & more\nFirst paragraph A goes on.\nEr."
+    assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav>only</nav>") == ""
+    assert html_text.main_text("<article><p>cut off <b>here") == "cut off here"
+    assert html_text.main_text("<article>" + "<p>word</p>" * 20000 + "</article>").count("word") == 20000
+    x = html_text.features_of(html_text.blocks_of(page))
+    assert x.shape[1] == len(html_text.FEATURES)
+
+
+def test_html_extraction(spark):
+    rows = [(1, "u", "<article><p>a</p></article>", "t", "n"), (1, "u", "<article><p>a</p></article>", "t", "n"), (None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars string")
+    out = html_text.extract_text(pages)
+    assert Counter((r.page_id, r.text, r.n_chars) for r in out.collect()) == {(1, "a", 1): 2, (None, "", 0): 1}
+    assert html_text.extract_text(pages.limit(0)).count() == 0
+
+
+def test_language_model(docs, empty):
+    out = score_documents(docs, order=2).collect()
+    lower = lambda t: (t or "").encode().lower()
+    train = [t for i, t, _ in ROWS if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1]
+    c = Counter()
+    for t in train:
+        c.update(lower(t).split())
+        c["end"] += 1
+    n, v = sum(c.values()), len(c)
+    grams = [defaultdict(Counter) for _ in range(3)]
+    for t in train:
+        s = [256] * 2 + list(lower(t)) + [256]
+        for j in range(2, len(s)):
+            for k in range(3):
+                grams[k][tuple(s[j - k : j])][s[j]] += 1
+
+    def ppm(t):
+        s, total = [256] * 2 + list(lower(t)) + [256], 0.0
+        for j in range(2, len(s)):
+            gone = set()
+            for k in (2, 1, 0):
+                seen = grams[k].get(tuple(s[j - k : j]))
+                if not seen:
+                    continue
+                left = {a: m for a, m in seen.items() if a not in gone}
+                all_ = sum(left.values()) + len(left)
+                if s[j] in left:
+                    total += math.log10(left[s[j]] / all_)
+                    break
+                if left:
+                    total += math.log10(len(left) / all_)
+                gone |= set(seen)
+            else:
+                total -= math.log10(257 - len(gone))
+        return total
+
+    want = {}
+    for i, t, _ in ROWS:
+        w = lower(t).split() + ["end"]
+        want[i, t] = (zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1, len(w), sum(c[x] > 0 for x in w), n, sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), ppm(t))
+    assert len(out) == len(ROWS)
+    for (i, _), x in want.items():
+        assert any(r.doc_id == i and (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == x[:4] and r.base_score == pytest.approx(x[4], rel=1e-9) and r.score == pytest.approx(x[5], rel=1e-6) for r in out), i
+    joined = score_documents(docs, order=2, frequent_words=3).collect()  # most words by the join
+    key = lambda r: (str(r.doc_id), r.n_tokens)
+    assert [r.base_score for r in sorted(joined, key=key)] == pytest.approx([r.base_score for r in sorted(out, key=key)], rel=1e-9)
+    assert score_documents(empty).count() == 0
+    untrained = score_documents(docs, training=F.lit(False), order=2).where("doc_id = 7").first()
+    assert untrained.n_known == 0 and untrained.score == pytest.approx(-8 * math.log10(257))
+
+
+def test_language_model_probabilities_sum_to_one():
+    keys, _ = language_model.gram_keys([b"abracadabra", b"abc", b""], 2)
+    model = language_model.PPM(*np.unique(keys, return_counts=True), 2)
+    for context in (b"ab", b"ra", b"zz", b"az"):
+        base = (context[0] << 18) | (context[1] << 9)
+        assert (10 ** model.log10(np.array([base | s for s in range(257)]))).sum() == pytest.approx(1, rel=1e-5)
+
+
+def by_hand_statistics(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    hit = {k for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for k in range(i, i + 5)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(hit)
+
+
+def test_quality(spark, docs, empty):
+    labels = spark.createDataFrame([(i, 0 if i in (7, 8, 15) else 1, None) for i in list(range(16)) + [None, 9]], "doc_id long, quality int, toxic int")
+    trees = quality.fit_quality(docs, labels, n_trees=5)
+    out = quality.judge_quality(docs, trees)
+    want = Counter()
+    for i, t, _ in ROWS:
+        c = by_hand_statistics(t)
+        want[i, *c, c[0] < 10 or 100 * c[4] > 20 * c[0]] += 1
+    rows = out.collect()
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows) == want
+    assert all(r.kept == (not r.base_failed and r.score >= 0) for r in rows)
+    kept = quality.filter_quality(docs, trees)
+    same_schema(kept, docs)
+    assert kept.count() == sum(r.kept for r in rows)
+    none = quality.fit_quality(docs, labels.limit(0))
+    assert quality.judge_quality(docs, none).where("not kept and not base_failed").count() == 0
+    assert quality.judge_quality(empty, trees).count() == 0
+
+
+def test_trees_learn_and_keep_their_signs():
+    r = np.random.default_rng(0)
+    x = r.random((3000, 3))
+    y = ((x[:, 0] < 0.6) & (x[:, 1] > 0.2)).astype(float)
+    m = quality.fit_trees(x[:2000], y[:2000], np.array([-1, 1, 0]))
+    assert ((m.score(x[2000:]) >= 0) == (y[2000:] > 0)).mean() > 0.97
+    at = np.linspace(0, 1, 50)
+    for base in r.random((20, 3)):
+        down, up = np.tile(base, (50, 1)), np.tile(base, (50, 1))
+        down[:, 0], up[:, 1] = at, at
+        assert (np.diff(m.score(down)) <= 1e-12).all() and (np.diff(m.score(up)) >= -1e-12).all()
+
+
+def test_repeated_windows_of_many_words():
+    r = np.random.default_rng(1)
+    ids = r.integers(0, 20_000, 30_000)
+    ids[20_000:20_050] = ids[100:150]
+    assert quality.repeat_words(ids, 20_000) == 100
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    bench = [r.text for r in spark.read.parquet(f"{tmp_path}/benchmark.parquet").collect()]
+    text = {r.doc_id: r.text for r in docs.collect()}
+    columns = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs.collect()
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        after = docs.collect()
+        assert docs.columns == columns if name != "sharding" else docs.columns == [*columns, "shard", "slot"]
+        ids = Counter(r.doc_id for r in after)
+        assert all(r.text == text[r.doc_id] for r in after)
+        if name == "quality rules":
+            for r in before:
+                c = by_hand_statistics(r.text)
+                assert not (r.doc_id in ids and (c[0] < 10 or 100 * c[4] > 20 * c[0]))
+        if name == "near-dedup":
+            groups = near_by_hand([(r.doc_id, r.text, None) for r in before], 5)
+            assert ids == Counter(i for i, _, c in groups if i == c)
+        if name == "decontamination":
+            patterns = {w for b in bench for w in windows_of(b, 13)}
+            sizes = {len(p) for p in patterns}
+            for r in before:
+                w = words_of(r.text)
+                hit = {k for n in sizes for s in range(len(w) - n + 1) if tuple(w[s : s + n]) in patterns for k in range(s, s + n)}
+                assert (r.doc_id in ids) == (not (hit and 20 * len(hit) >= len(w)))
+        if name == "mixing":
+            assert max(ids.values()) <= 3 and abs(sum(len(tokens(r.text)) for r in after) / sum(len(tokens(r.text)) for r in before) - 1) < 0.2
+        if name == "sharding":
+            assert len(after) == len(before) and set(Counter(r.shard for r in after)) == set(range(16))
