@@ -21,21 +21,22 @@ from pyspark.sql import functions as F
 # Tag names of HTML and words that sites name their page furniture with.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = "script style noscript template svg iframe object select textarea button head title canvas audio video math"
-FURNITURE = frozenset("nav header footer aside form dialog menu".split())
+SKIPPED = "script style noscript template svg iframe object select textarea button title canvas audio video math"
+FURNITURE = frozenset("head nav header footer aside form dialog menu".split())
 MAIN = frozenset(("article", "main"))
 ADVERT_WORDS = frozenset(
     "ad ads adv advert advertisement adverts banner promo promotion promoted sponsor sponsored cookie cookies consent gdpr notice notices alert newsletter subscribe signup popup modal overlay "
     "menu nav navbar navigation breadcrumb breadcrumbs sidebar side toc related recommended share sharing social footer masthead topbar toolbar widget login search pagination pager tags copyright header complementary contentinfo".split()
 )
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies disqus discussion respond reviews".split())
+CONTENT_WORDS = frozenset("content main article articlebody post entry story".split())
 
 _SKIPPED = "|".join(SKIPPED.split())
 _TOKEN = re.compile(
     rf"<!--(.*?)(?:-->|\Z)|<(?:{_SKIPPED})\b[^>]*/>|<({_SKIPPED})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\2\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _NAME_WORD = re.compile(r"[a-z]+")
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "named", "comment", "article", "heading")
@@ -79,8 +80,10 @@ def _opened(tag: str, attributes: str, up: _Open) -> _Open:
         if words:
             if not words.isdisjoint(COMMENT_WORDS):
                 comment = True
-            elif tag not in MAIN and not words.isdisjoint(ADVERT_WORDS) and not (article and words & {"header"}):
-                named = True
+            elif not words.isdisjoint(ADVERT_WORDS) and not (article and words & {"header"}):
+                named = named or tag not in MAIN
+            elif not comment and not words.isdisjoint(CONTENT_WORDS):
+                article = True
     return _Open(tag, furniture, named, comment, article, up.link or tag == "a")
 
 
@@ -122,7 +125,7 @@ def blocks_of(html: str | None) -> list[Block]:
             if token[1] and token[1] in ("keep", "drop"):
                 close()
                 label = token[1]
-            elif token[2] and token[2].lower() not in ("svg", "math", "button", "select"):
+            elif token[2] and token[2].lower() == "title":
                 close()
             continue
         tag = tag.lower()
@@ -154,7 +157,7 @@ def blocks_of(html: str | None) -> list[Block]:
                         del stack[k:]
                         break
             else:
-                while len(stack) > 1 and (stack[-1].tag in INLINE or stack[-1].tag == "p"):
+                while len(stack) > 1 and (stack[-1].tag in INLINE or stack[-1].tag == "p" or tag == "body"):
                     stack.pop()
                 stack.append(_opened(tag, token[5], stack[-1]))
                 heading = tag[0] == "h" and tag[1:].isdigit()
@@ -171,8 +174,17 @@ def features_of(blocks: list[Block]) -> np.ndarray:
     return np.stack([words, links, *around, *flags], axis=1)
 
 
-#: Small pages whose blocks are labelled by the comments keep and drop. L is some long text, S a short one.
+#: Small pages whose blocks are labelled by the comments keep and drop. L is a long text, M a sentence, S a few words.
 LABELLED = [
+    "<!--drop--><nav><a>S</a></nav><article><!--keep--><p>S</p></article>",
+    "<!--drop--><div class='ad'>M</div><article><!--keep--><p>S</p><p>M</p><p>S</p>",
+    "<article><!--keep--><p>L</p><ul><li><a>S S</a></li></ul><p>S</p></article>",
+    "<!--keep--><p>M</p><p>L</p><p>M</p>",
+    "<!--drop--><div><a>S</a></div><!--keep--><div>L</div><div>S</div><div>M</div>",
+    "<main><!--keep--><h1>S</h1><p>M</p></main>",
+    "<!--drop--><div><a>S</a> S</div><!--keep--><p>M</p><p>S</p><p>M</p><p>M</p><!--drop--><div><a>M</a></div><div>S</div>",
+    "<!--drop--><table><tr><td><a>S</a></td></tr></table><!--keep--><div>M</div><div>M <a>S</a></div><div>S</div><div>M</div><!--drop--><p>S</p>",
+    "<!--drop--><div class='notice'>M</div><!--keep--><p>M</p><p>L</p><!--drop--><div class='comments'><p>M</p><p>M</p></div>",
     "<!--drop--><nav><ul><li><a>S</a></li><li><a>S</a></li></ul></nav><div class='ad'>S S S</div><article><!--keep--><h1>S S</h1><p>L</p><p>S</p><p>L</p></article><!--drop--><footer>S S</footer>",
     "<!--drop--><header><a>S</a> S</header><div id='cookie-notice'>L</div><main><!--keep--><h1>S</h1><p>S</p><p>L <a>S</a></p><ul><li>S</li><li>S</li></ul><!--drop--><aside>L</aside><!--keep--><p>L</p></main>"
     "<!--drop--><section class='comments'><h2>S</h2><p>L</p><p>S</p></section><footer><a>S</a> <a>S</a></footer>",
@@ -184,10 +196,11 @@ LABELLED = [
     "<article><!--keep--><p>S</p><p><a>S S</a></p><p>L</p></article><!--drop--><section id='comments'><article><p>L</p></article><article><p>S</p></article></section>",
     "<!--drop--><div>S</div><div><a>S</a></div><!--keep--><p>L</p><p>S S</p><p>L</p><!--drop--><ul><li><a>S S</a></li><li><a>S S</a></li></ul><div>S</div>",
     "<article><!--keep--><h2>S</h2><p>L</p><p>S</p><!--drop--><section class='comments'><h3>S</h3><div>L</div><p>S</p></section><form>S</form><footer>S</footer></article>",
+    "<!--drop--><div class='main-menu'><a>S</a></div><div id='content'><!--keep--><h1>S</h1><div>L</div><p>S</p><!--drop--><ul class='related'><li><a>S</a></li></ul></div><div class='footer'>S</div>",
     "<main><!--keep--><p>L</p><p>S</p><!--drop--><div id='comments'><p>L</p><div><p>S</p></div></div></main><div class='related'><a>S S</a><p>L</p></div>",
     "<!--drop--><header><h1>S</h1><p>L</p></header><!--keep--><h2>S S</h2><p>L</p><p>L</p><p>L</p><!--drop--><footer>L</footer>",
 ]
-_TEXT = {"S": "one or two", "L": " ".join(["a sentence of an ordinary length that says something."] * 4)}
+_TEXT = {"S": "one or two", "M": "a sentence of about fifteen words that a page may have as a paragraph of its own", "L": " ".join(["a sentence of an ordinary length that says something."] * 4)}
 
 
 class Tree(NamedTuple):
@@ -244,7 +257,7 @@ def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 7) -> Tree:
 def default_tree() -> Tree:
     xs, ys = [], []
     for page in LABELLED:
-        blocks = blocks_of(re.sub(r"(?<![<a-zA-Z/])[SL](?![a-zA-Z])", lambda m: _TEXT[m[0]], page))
+        blocks = blocks_of(re.sub(r"(?<![<a-zA-Z/])[SML](?![a-zA-Z])", lambda m: _TEXT[m[0]], page))
         xs.append(features_of(blocks))
         ys.append(np.array([b.label == "keep" for b in blocks], float))
     return fit_tree(np.concatenate(xs), np.concatenate(ys))
