@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -16,5 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    _own[sc.applicationId] = made = "file://" + tempfile.mkdtemp(prefix="barloom-")
+    folder = tempfile.mkdtemp(prefix="barloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    _own[sc.applicationId] = made = "file://" + folder
     return made
