@@ -53,4 +53,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.bars import event_bars, table
 
     run = event_backtest(momentum(event_bars(table(spark, sf_dir, "events"))))
-    return run.select("symbol", "ts", "close", "signal", "direction", "epoch", "equity", "exact")
+    return run.select("symbol", "ts", "close", "signal", "direction", "epoch", "equity")
