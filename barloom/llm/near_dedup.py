@@ -257,27 +257,34 @@ def _verified(pairs: DataFrame, payloads: DataFrame, alike: Callable[[bytes, byt
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(_id, label): the smallest id that each end of an edge can reach. edges: (a, b), each once."""
-    both = scratch.write(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")), "arcs")
-    n = both.count()
-    degrees = both.groupBy(F.col("v").alias("_id")).agg(F.count("*").alias("degree"))
-    labels = scratch.write(degrees.withColumn("label", F.col("_id")), "labels")
-    while n:
-        ends = labels.select(F.col("_id").alias("v"), F.col("label").alias("other"), "degree")
-        least = split_hot_join(both, ends, "v", "degree", n).groupBy(F.col("u").alias("_id")).agg(F.min("other").alias("other"))
-        passed = labels.join(least, "_id").select("_id", "degree", F.col("label").alias("was"), F.least("label", "other").alias("label"))
-        passed = scratch.write(passed, "passed")
-        sizes = passed.groupBy("label").agg(F.count("*").alias("size"))
-        roots = sizes.join(passed.select(F.col("_id").alias("label"), F.col("label").alias("further")), "label")
-        jumped = split_hot_join(passed, roots, "label", "size", n).select("_id", "degree", F.col("further").alias("label"), (F.col("was") != F.col("further")).alias("moved"))
-        jumped = scratch.write(jumped, "jumped")
-        scratch.drop(passed)
-        scratch.drop(labels)
-        labels = jumped.drop("moved")
-        labels._barloom_path = jumped._barloom_path
-        if jumped.where("moved").isEmpty():
-            break
-    return labels.select("_id", "label")
+    """(_id, label): the smallest id that each end of an edge can reach. edges: (a, b).
+
+    Every node is hung under its smallest neighbour, or stays where it is smaller than all of them; the trees are
+    shortened once and drawn together, and what edges remain between them go on. A star is gone after two rounds, and the edges left shrink with every round.
+    """
+    live = scratch.write(edges.where("a <> b").select("a", "b").distinct(), "live")
+    labels = None
+    while n := live.count():
+        arcs = live.select(F.col("a").alias("u"), F.col("b").alias("v")).union(live.select("b", "a"))
+        hung = arcs.groupBy("u").agg(F.min("v").alias("_least"), F.count("*").alias("degree")).select("u", F.least("u", "_least").alias("parent"), "degree")
+        hung = scratch.write(hung, "hung")
+        sizes = hung.groupBy("parent").agg(F.count("*").alias("size"))
+        up = sizes.join(hung.select(F.col("u").alias("parent"), F.col("parent").alias("further")), "parent")
+        hung = scratch.write(split_hot_join(hung, up, "parent", "size", 2 * n).select("u", F.col("further").alias("parent"), "degree"), "hung")
+
+        ends = lambda c: hung.select(F.col("u").alias(c), F.col("parent").alias(f"p{c}"), F.col("degree").alias(f"d{c}"))  # noqa: B023, E731  used at once
+        drawn = split_hot_join(split_hot_join(live, ends("a"), "a", "da", n), ends("b"), "b", "db", n)
+        drawn = drawn.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a <> b").distinct()
+        next_live = scratch.write(drawn, "live")
+        if labels is None:
+            labels = scratch.write(hung.select(F.col("u").alias("_id"), F.col("parent").alias("label")), "labels")
+        else:
+            sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+            moved = sizes.join(hung.select(F.col("u").alias("label"), "parent"), "label", "left").withColumn("parent", F.coalesce("parent", "label"))
+            labels = scratch.write(split_hot_join(labels, moved, "label", "size", 2 * n).select("_id", F.col("parent").alias("label")), "labels")
+        scratch.drop(live)
+        live = next_live
+    return labels if labels is not None else live.select(F.col("a").alias("_id"), F.col("b").alias("label"))
 
 
 def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

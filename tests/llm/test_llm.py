@@ -168,6 +168,32 @@ def test_near_dedup_of_a_large_family(spark):
     assert Counter((x.doc_id, x.n_shingles, x.component_id) for x in out.collect()) == near_by_hand(rows, 4)
 
 
+def test_components(spark):
+    import random
+
+    from barloom.llm.common import Scratch
+    from barloom.llm.near_dedup import components
+
+    r = random.Random(3)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(999, i) for i in range(200, 300)] + [(300, i) for i in range(301, 380)]
+    edges += [(r.randrange(400, 600), r.randrange(400, 600)) for _ in range(120)] + [(100, 101), (7, 7)]
+    up = {x: x for e in edges for x in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        p, q = sorted((root(a), root(b)))
+        up[q] = p
+    alone = {x for x in up if all(x not in e or e[0] == e[1] for e in edges)}
+    df = spark.createDataFrame([(min(e), max(e)) for e in edges], "a long, b long")
+    got = {x["_id"]: x.label for x in components(df, Scratch(spark, "t")).collect()}
+    assert got == {x: root(x) for x in up if x not in alone}
+    assert components(df.limit(0), Scratch(spark, "t")).count() == 0
+
+
 def test_decontamination(spark, docs, empty):
     items = [("i1", BASE + " more"), ("i2", "ONE, two"), ("i3", None), ("i4", ""), (None, words(20, 4)), ("i5", "common line own"), ("i1", "common line own")]
     bench = spark.createDataFrame(items, "item_id string, text string")
