@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import rng
 from ..functions import windows as win
-from ..operators import backtest as bt
 from ..operators import bayes
 from ..operators import indicators as ind
 from ..operators import metrics as m
@@ -18,7 +17,7 @@ from ..operators import signals as sig
 from ..operators import validate as val
 from . import sql
 from .q_metrics import rd
-from .q_signals import MOM20, case, lagged
+from .q_signals import lagged
 from .q_windows import damped_hourly, damped_weekly, hourly, r, rounded, weekly
 from .registry import query
 

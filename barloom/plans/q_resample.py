@@ -102,10 +102,6 @@ def _(spark, sf):
     return rd(rs.wasserstein(series(spark, sf), paths(spark, sf, "iid")), ["series", "sim"])
 
 
-def _kernel(a: str, b: str, more: str = "") -> str:
-    return f"(select sum(exp(-pow(u.ret - v.ret, 2) / (2 * s2))) from {a} u, {b} v where u.series = k.series and v.series = k.series {more})"
-
-
 _MMD = """d as (select u.series, median(pow(u.ret - v.ret, 2)) / (2 * ln(max(n))) as s2 from s u join s v on u.series = v.series and u.t < v.t join z on z.series = u.series group by 1),
     xx as (select u.series, sum(exp(-pow(u.ret - v.ret, 2) / (2 * s2))) as v from s u join s v on u.series = v.series join d on d.series = u.series group by 1),
     yy as (select u.series, u.sim, sum(exp(-pow(u.ret - v.ret, 2) / (2 * s2))) as v from p u join p v on u.series = v.series and u.sim = v.sim join d on d.series = u.series group by 1, 2),

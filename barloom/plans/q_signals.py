@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import windows as win
 from ..operators import backtest as bt
-from ..operators import indicators as ind
 from ..operators import metrics as m
 from ..operators import signals as sig
 from . import sql
