@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 import zlib
@@ -22,7 +21,7 @@ from barloom.llm.secrets import builtin_samples, digest, fit_ratios, scan_secret
 from barloom.llm.sharding import shard_documents, shard_rows
 from barloom.llm.token_counts import count_tokens
 
-from .conftest import BASE, ROWS, SCHEMA, frame, words
+from .conftest import BASE, ROWS, frame, words
 
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
