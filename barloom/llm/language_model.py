@@ -7,6 +7,10 @@ equally likely. A text ends with a symbol of its own. Counts are complete at eve
 has seen its suffix has seen too, and every exclusion is a constant of the longer context: the trie is kept as sorted arrays and
 a hash table, and whole batches of texts are scored at once.
 
+The order never falls. All that a symbol needs from contexts of two bytes or more is in the contexts that share its last two bytes, so the trie
+falls into independent groups below the counts of single bytes (66,049 at most). The groups with the most symbols an entry are broadcast;
+the grams a text has in the others are scored where those groups lie, and joined.
+
 Beside it stands a smoothed unigram score over words. The counts of frequent words are broadcast; the others a text has are joined.
 """
 
@@ -25,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, split_hot_join
 
 #: Bits of a symbol in a key; 256 is the end of a text, and fills the contexts before its start.
 BITS, END = 9, 256
@@ -34,6 +38,10 @@ SYMBOLS = 257
 CHUNK, HELD = 1_000_000, 300_000
 GRAM, WORD = 0, 1
 END_WORD = -1
+#: Two bytes of context name a group of the trie.
+GROUPS = 1 << 2 * BITS
+#: Logarithms of grams that are joined are summed as integers, so that equal rows get equal scores.
+UNIT = 1 << 32
 
 
 def _data(text: str | None) -> bytes:
@@ -177,13 +185,14 @@ class _Order:
 
 
 class PPM:
-    """The trie, from the counts of its highest order."""
+    """The trie, from the counts of its highest order; or whole groups of it, with the counts of order 1 of all groups as `base`."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int, base: tuple[np.ndarray, np.ndarray] | None = None):
         self.order = order
         levels: list[tuple[np.ndarray, np.ndarray]] = [_summed(keys.astype(np.int64), counts.astype(np.int64))]
         for k in range(order, 0, -1):
-            levels.insert(0, _summed(levels[0][0] & ((1 << BITS * k) - 1), levels[0][1]))
+            low = base if base and k == 2 else (levels[0][0] & ((1 << BITS * k) - 1), levels[0][1])
+            levels.insert(0, _summed(*low))
         self.orders: list[_Order] = []
         for k, (own, n) in enumerate(levels):
             contexts, first, distinct = np.unique(own >> BITS, return_index=True, return_counts=True)
@@ -232,18 +241,38 @@ class PPM:
         out[todo] -= np.log10(np.where(total < 0, SYMBOLS, distinct))
         return out
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
+    def score(self, texts: list[bytes], left_out: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """The score of each text without its grams in groups that are left out; those grams, and how often each occurs."""
         keys, starts = gram_keys(texts, self.order)
-        return np.add.reduceat(self.log10(keys), starts) if len(texts) else np.empty(0)
+        if left_out is None:
+            none = [np.empty(0, np.int64)] * len(texts)  # no view: that would hold the keys
+            return np.add.reduceat(self.log10(keys), starts), none, none
+        is_open = left_out[_group(keys)]
+        logs = np.zeros(len(keys))
+        logs[~is_open] = self.log10(keys[~is_open])
+        at = np.append(starts, len(keys))
+        found = [np.unique(keys[a:b][is_open[a:b]], return_counts=True) for a, b in zip(at[:-1], at[1:])]
+        return np.add.reduceat(logs, starts), [k for k, _ in found], [n for _, n in found]
+
+
+def _group(keys: np.ndarray) -> np.ndarray:
+    return (keys >> BITS) & (GROUPS - 1)
+
+
+def _open_logs(keys: pa.Table, grams: pa.Table, order: int, base) -> pa.Table:
+    """The logarithms of open grams, from the groups of the trie that hold their contexts."""
+    ppm = PPM(grams["key"].to_numpy(), grams["n"].to_numpy(), order, base.value)
+    wanted = keys["key"].to_numpy()
+    return pa.table({"key": keys["key"], "copies": keys["copies"], "log": pa.array(ppm.log10(wanted), pa.float64())})
 
 
 def _score(batches: Iterator[pa.RecordBatch], model, frequent) -> Iterator[pa.RecordBatch]:
-    """Scores, with the words that `frequent` lacks left open. _row names a row of the written result."""
-    ppm, logs = model.value, _logs(frequent)
+    """Scores, with the words that `frequent` lacks and the grams of groups that the model leaves out left open. _row names a row of the written result."""
+    (ppm, left_out), logs = model.value, _logs(frequent)
     row = TaskContext.get().partitionId() << 33
     for batch in batches:
         texts = [_data(t.as_py()) for t in batch.column("_text")]
-        n_tokens, n_known, part, open_words, open_counts, scores = [], [], [], [], [], []
+        n_tokens, n_known, part, open_words, open_counts, scores, open_grams, gram_counts = [], [], [], [], [], [], [], []
         for data in texts:
             counts = Counter(map(xxhash.xxh3_64_intdigest, data.split()))
             known, total, words, times = 1, 0.0, [], []
@@ -266,7 +295,10 @@ def _score(batches: Iterator[pa.RecordBatch], model, frequent) -> Iterator[pa.Re
             while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
                 size += len(texts[end])
                 end += 1
-            scores.extend(ppm.score(texts[at:end]).tolist())
+            found, grams, times = ppm.score(texts[at:end], left_out)
+            scores.extend(found.tolist())
+            open_grams.extend(grams)
+            gram_counts.extend(times)
             at = end
         made = {
             "_row": pa.array(range(row, row + len(texts)), pa.int64()),
@@ -276,6 +308,8 @@ def _score(batches: Iterator[pa.RecordBatch], model, frequent) -> Iterator[pa.Re
             "score": pa.array(scores, pa.float64()),
             "_words": pa.array(open_words, pa.list_(pa.int64())),
             "_times": pa.array(open_counts, pa.list_(pa.int64())),
+            "_grams": pa.array(open_grams, pa.list_(pa.int64())),
+            "_gram_times": pa.array(gram_counts, pa.list_(pa.int64())),
         }
         row += len(texts)
         kept = [n for n in batch.schema.names if n != "_text"]
@@ -323,8 +357,9 @@ def score_documents(
 ) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the text's probability) of every row.
 
-    training: which rows to learn from, by default those that held_out() does not name. The trie has the highest order, up to
-    `order`, at which it has no more than max_entries entries; at order 1 no text has more than 66,049. Null texts count as empty: one end token.
+    training: which rows to learn from, by default those that held_out() does not name. The trie has the same order at every size.
+    max_entries decides on speed alone: so many of its entries are broadcast (below order 2 all, 66,049 at most), the others
+    stay in the written counts and are met by join. Null texts count as empty: one end token.
     With nothing to learn from, every symbol is equally likely and base_score is that of unseen tokens. Equal rows get equal scores.
     Words are told apart by 64-bit hashes.
     """
@@ -336,12 +371,23 @@ def score_documents(
     counted = scratch.write(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
 
     grams = counted.where(F.col("kind") == GRAM).select("key", "n")
-    for k in range(order, 0, -1):
-        held = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << BITS * (k + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")) if k < order else grams
-        if k == 1 or held.count() <= max_entries:
-            break
-    found = held.toPandas()
-    model = spark.sparkContext.broadcast(PPM(found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64), k))
+    base, left_out, n_entries, kept = None, None, 0, grams
+    if order >= 2:
+        low = grams.groupBy(F.col("key").bitwiseAND(F.lit(GROUPS - 1)).alias("key")).agg(F.sum("n").alias("n")).toPandas()
+        base = low["key"].to_numpy(np.int64), low["n"].to_numpy(np.int64)
+        group = F.shiftright("key", BITS).bitwiseAND(F.lit(GROUPS - 1))
+        sums = grams.groupBy(group.alias("g")).agg(F.count("*").alias("entries"), F.sum("n").alias("n")).toPandas()
+        n_entries = int(sums["entries"].sum())
+        if n_entries > max_entries:
+            g, entries = sums["g"].to_numpy(np.int64), sums["entries"].to_numpy(np.int64)
+            by = np.lexsort([g, -sums["n"].to_numpy(np.int64) / entries])
+            chosen = g[by[np.cumsum(entries[by]) <= max_entries]]
+            left_out = np.zeros(GROUPS, bool)
+            left_out[np.setdiff1d(g, chosen)] = True
+            names = spark.createDataFrame([(x,) for x in chosen.tolist()], "g long")
+            kept = grams.withColumn("g", group).join(F.broadcast(names), "g", "left_semi").select("key", "n")
+    found = kept.toPandas()
+    model = spark.sparkContext.broadcast((PPM(found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64), order, base), left_out))
     del found
 
     words = counted.where(F.col("kind") == WORD).select("key", "n")
@@ -354,7 +400,7 @@ def score_documents(
 
     slim = docs.select(id_col, F.coalesce(~training, F.lit(True)).alias("held_out"), F.col(text_col).alias("_text"))
     kind = slim.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, held_out boolean, _row long, n_tokens long, _known long, _part double, score double, _words array<long>, _times array<long>"
+    schema = f"`{id_col}` {kind}, held_out boolean, _row long, n_tokens long, _known long, _part double, score double, _words array<long>, _times array<long>, _grams array<long>, _gram_times array<long>"
     scored = scratch.write(slim.mapInArrow(partial(_score, model=model, frequent=frequent), schema), "scored")
 
     open_words = scored.select("_row", F.explode(F.arrays_zip("_words", "_times")).alias("w")).select("_row", F.col("w._words").alias("key"), F.col("w._times").alias("times"))
@@ -363,14 +409,26 @@ def score_documents(
         F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("_more"),
         F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("_rest"),
     )
-    base = F.col("_part") + F.coalesce("_rest", F.lit(0.0)) + math.log10(ends + 0.5) - F.col("n_tokens") * math.log10(train_tokens + 0.5 * (distinct + 1))
+    base_score = F.col("_part") + F.coalesce("_rest", F.lit(0.0)) + math.log10(ends + 0.5) - F.col("n_tokens") * math.log10(train_tokens + 0.5 * (distinct + 1))
     end_known = 0 if ends else 1
-    return scored.join(rest, "_row", "left").select(
+    joined, score = scored.join(rest, "_row", "left"), F.col("score")
+    if left_out is not None:
+        open_grams = scored.select("_row", F.explode(F.arrays_zip("_grams", "_gram_times")).alias("g")).select("_row", F.col("g._grams").alias("key"), F.col("g._gram_times").alias("times"))
+        shard = F.pmod(F.xxhash64(group), F.lit(8 + n_entries // 250_000)).alias("shard")
+        asked = open_grams.groupBy("key").agg(F.count("*").alias("copies")).select("key", "copies", shard)
+        others = grams.join(F.broadcast(names), group == F.col("g"), "left_anti").select("key", "n", shard)
+        logs = asked.groupBy("shard").cogroup(others.groupBy("shard")).applyInArrow(partial(_open_logs, order=order, base=spark.sparkContext.broadcast(base)), "key long, copies long, log double")
+        logs = scratch.write(logs, "logs")
+        n_open = logs.agg(F.sum("copies")).first()[0] or 0
+        met = split_hot_join(open_grams, logs, "key", "copies", n_open)
+        more = met.groupBy("_row").agg(F.sum(F.round(F.col("times") * F.col("log") * UNIT).cast("long")).alias("_open"))
+        joined, score = joined.join(more, "_row", "left"), score + F.coalesce("_open", F.lit(0)) / F.lit(float(UNIT))
+    return joined.select(
         id_col,
         "held_out",
         "n_tokens",
         (F.col("_known") + F.coalesce("_more", F.lit(0)) - end_known).cast("long").alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        "score",
+        base_score.alias("base_score"),
+        score.alias("score"),
     )

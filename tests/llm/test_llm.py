@@ -309,6 +309,18 @@ def test_language_model(docs, empty):
     assert untrained.n_known == 0 and untrained.score == pytest.approx(-8 * math.log10(257))
 
 
+@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("most", [0, 400])
+def test_language_model_keeps_its_order_past_max_entries(docs, order, most):
+    by = lambda r: (str(r["doc_id"]), r["n_tokens"], r["base_score"], r["score"])
+    whole = sorted(score_documents(docs, order=order).collect(), key=by)
+    dealt = sorted(score_documents(docs, order=order, max_entries=most).collect(), key=by)
+    assert [r["doc_id"] for r in dealt] == [r["doc_id"] for r in whole]
+    assert [r["score"] for r in dealt] == pytest.approx([r["score"] for r in whole], abs=1e-5)
+    twice = [r["score"] for r in dealt if r["doc_id"] == 9]
+    assert len(twice) == 2 and twice[0] == twice[1]
+
+
 def test_language_model_probabilities_sum_to_one():
     keys, _ = language_model.gram_keys([b"abracadabra", b"abc", b""], 2)
     model = language_model.PPM(*np.unique(keys, return_counts=True), 2)
