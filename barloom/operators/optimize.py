@@ -56,19 +56,23 @@ def top(scored: DataFrame, k: int = 10, score: str = "score", ordinal: str = "pa
 
 
 def folds(spark: SparkSession, n: int, start: int = 126, train: int = 252, test: int = 63, step: int = 63) -> DataFrame:
-    """Walk-forward folds over n bars: fold, train_lo, train_hi, test_lo, test_hi (ends exclusive)."""
+    """Walk-forward folds over n bars: fold, train_lo, train_hi, test_lo, test_hi (ends exclusive); the last test windows end with the bars."""
     rows, at = [], start
-    while at + train + test <= n:
-        rows.append((len(rows), at, at + train, at + train, at + train + test))
+    while at + train < n:
+        rows.append((len(rows), at, at + train, at + train, min(at + train + test, n)))
         at += step
     return spark.createDataFrame(rows, "fold int, train_lo long, train_hi long, test_lo long, test_hi long")
 
 
-def in_folds(bars: DataFrame, fold_table: DataFrame) -> DataFrame:
-    """Each bar once for every fold and part that holds its ordinal t; the few folds are broadcast."""
+def in_folds(bars: DataFrame, start: int = 126, train: int = 252, test: int = 63, step: int = 63, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Each bar once for every fold and part that holds its ordinal t; the folds() of each key's own number of bars."""
     t = F.col("t")
-    part = F.when((t >= F.col("train_lo")) & (t < F.col("train_hi")), "train").when((t >= F.col("test_lo")) & (t < F.col("test_hi")), "test")
-    return bars.join(F.broadcast(fold_table), (t >= F.col("train_lo")) & (t < F.col("test_hi"))).withColumn("part", part).drop("train_lo", "train_hi", "test_lo", "test_hi")
+    n = F.max("t").over(Window.partitionBy(*keys)) + 1
+    first = F.greatest(F.lit(0), F.floor((t - (start + train + test)) / step) + 1)
+    last = F.least(F.floor((t - start) / step), F.ceil((F.col("_n") - (start + train)) / step) - 1)
+    held = bars.withColumn("_n", n).where((t >= start) & (last >= first))
+    held = held.withColumn("fold", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    return held.withColumn("part", F.when(t < start + train + F.col("fold") * step, "train").otherwise("test")).drop("_n")
 
 
 def ranked(scored: DataFrame, keys: Sequence[str], score: str = "score", ordinal: str = "params_id") -> DataFrame:

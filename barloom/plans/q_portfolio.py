@@ -267,8 +267,7 @@ _FOLDS = "fo as (select unnest(range(9)) as fold), fb as (select fold, 126 + fol
 @query("opt05_walk_forward", sql.bars("x", _LONG + ", " + _FOLDS + """, ps as (select symbol, fold, params_id, lookback, threshold, avg(sr) filter (where part = 'train') / nullif(stddev_samp(sr) filter (where part = 'train'), 0) * sqrt(252) as score, avg(sr) filter (where part = 'test') / nullif(stddev_samp(sr) filter (where part = 'test'), 0) * sqrt(252) as oos from inf group by 1, 2, 3, 4, 5)""")
     + "select symbol, fold::int as fold, params_id, round(score, 6) as train_score, round(oos, 6) as test_score from ps qualify row_number() over (partition by symbol, fold order by score desc, params_id) = 1")
 def _(spark, sf):
-    folds = opt.folds(spark, 670)
-    inside = opt.in_folds(scored(damped_hourly(spark, sf), grid_of(spark)), folds)
+    inside = opt.in_folds(scored(damped_hourly(spark, sf), grid_of(spark)))
     part = lambda p: F.when(F.col("part") == p, F.col("sr"))
     s = inside.groupBy("symbol", "fold", "params_id", "lookback", "threshold").agg(m.sharpe(part("train")).alias("score"), m.sharpe(part("test")).alias("oos"))
     return opt.best(s, ["symbol", "fold"]).select("symbol", "fold", "params_id", r(F.col("score")).alias("train_score"), r(F.col("oos")).alias("test_score"))

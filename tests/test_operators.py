@@ -211,6 +211,18 @@ def test_search(spark):
     assert max(s for _, s in found) > -0.3
 
 
+def test_folds_reach_the_last_bar(spark):
+    sizes = {"a": 378, "b": 379, "c": 720, "d": 1000}
+    bars = spark.createDataFrame([(s, t) for s, n in sizes.items() for t in range(n)], "symbol string, t int")
+    got = sorted(map(tuple, optimize.in_folds(bars).select("symbol", "fold", "part", "t").collect()))
+    want = []
+    for s, n in sizes.items():
+        for f in optimize.folds(spark, n).collect():
+            want += [(s, f.fold, "train", t) for t in range(f.train_lo, f.train_hi)] + [(s, f.fold, "test", t) for t in range(f.test_lo, f.test_hi)]
+    assert got == sorted(want)
+    assert {s: max((t for x, _, _, t in got if x == s), default=None) for s in sizes} == {"a": None, "b": 378, "c": 719, "d": 999}
+
+
 def test_checks(spark):
     bad = spark.createDataFrame([("X", None), ("X", float("inf")), ("X", -2.0)], "symbol string, ret double")
     failed = {r.check for r in validate.returns(bad).where("failed").collect()}

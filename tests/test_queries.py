@@ -45,6 +45,21 @@ def test_equals_sql(name, spark, duck):
     assert rows(found) == rows(wanted)
 
 
+def at_larger(name, spark, text):
+    """The query's rows and those of the text over sf0.01."""
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{sf}/events.parquet'")
+    return rows(registry.queries()[name](spark, sf).toPandas()), rows(con.sql(text).df())
+
+
+def test_walk_forward_tests_all_bars(spark):
+    """The registered SQL ends at bar 670; here each symbol's folds end with its bars."""
+    text = registry.oracle_sql()["opt05_walk_forward"].replace("range(9)", "range(99)").replace("where a + 315 <= 670", "where a + 252 <= (select max(t) from r x where x.symbol = sv.symbol)")
+    found, wanted = at_larger("opt05_walk_forward", spark, text)
+    assert len(found) == 25 and found == wanted
+
+
 @pytest.mark.parametrize("name", sorted(set(registry._queries) - set(registry._sql)))
 def test_runs_without_sql(name, spark):
     assert registry.queries()[name](spark, SF).count() > 0
