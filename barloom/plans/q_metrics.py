@@ -244,8 +244,8 @@ def _(spark, sf):
     + "select symbol, ts, round(last_value(close ignore nulls) over (partition by symbol order by ts rows unbounded preceding), 6) as filled, round(coalesce(close, 0), 6) as zeroed from f")
 def _(spark, sf):
     bars = hourly(spark, sf)
-    hours = spark.sql("select explode(sequence(timestamp_ntz '2024-01-01', timestamp_ntz '2024-01-03', interval 1 hour)) as ts")
-    grid = bars.select("symbol").distinct().crossJoin(F.broadcast(hours))  # a row for each symbol and hour of the range
+    ends = bars.groupBy("symbol").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    grid = ends.select("symbol", F.explode(F.sequence("lo", "hi", F.expr("interval 1 hour"))).alias("ts"))  # a row for each hour of a symbol's bars
     f = grid.join(bars.select("symbol", "ts", "close"), ["symbol", "ts"], "left")
     return f.select("symbol", "ts", r(win.forward_fill("close")).alias("filled"), r(F.coalesce("close", F.lit(0.0))).alias("zeroed"))
 

@@ -60,6 +60,15 @@ def test_walk_forward_tests_all_bars(spark):
     assert len(found) == 25 and found == wanted
 
 
+def test_forward_fill_covers_all_bars(spark):
+    """The registered SQL fills 49 hours; here the hours run from each symbol's first bar to its last."""
+    text = registry.oracle_sql()["rsh02_03_forward_fill"]
+    text = text.replace("hrs as (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-03', interval 1 hour)) as ts), ", "")
+    text = text.replace("g as (select symbol, ts from (select distinct symbol from bars), hrs)", "g as (select symbol, unnest(generate_series(min(ts), max(ts), interval 1 hour)) as ts from bars group by symbol)")
+    found, wanted = at_larger("rsh02_03_forward_fill", spark, text)
+    assert len(found) > 3000 and found == wanted
+
+
 @pytest.mark.parametrize("name", sorted(set(registry._queries) - set(registry._sql)))
 def test_runs_without_sql(name, spark):
     assert registry.queries()[name](spark, SF).count() > 0
