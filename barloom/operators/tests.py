@@ -101,6 +101,22 @@ def ks_two_sample(values: DataFrame, group: str, a: str, b: str, value: str = "r
     return at.withColumn("_d", F.abs(fa - fb)).groupBy(*keys).agg(F.max("_d").alias("statistic"))
 
 
+def mann_whitney_two_sample(values: DataFrame, group: str, a: str, b: str, value: str = "ret", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, statistic, p_value): U of group a against b by mean ranks over the union, two-sided by the normal law with ties and continuity corrected."""
+    v = values.where(F.col(group).isin(a, b) & F.col(value).isNotNull())
+    at = v.groupBy(*keys, value).agg(F.count_if(F.col(group) == a).alias("_a"), F.count("*").alias("_c"))
+    rank = F.sum("_c").over(Window.partitionBy(*keys).orderBy(value)) - (F.col("_c") - 1) / 2
+    c = F.col("_c").cast("double")
+    n = at.withColumn("_r", rank).groupBy(*keys).agg(F.sum(F.col("_r") * F.col("_a")).alias("_s"), F.sum("_a").cast("double").alias("_n"), F.sum(c).alias("_all"), F.sum(c * c * c - c).alias("_ties"))
+    n = n.withColumn("_m", F.col("_all") - F.col("_n")).where("_n > 0 and _m > 0")
+    nm = F.col("_n") * F.col("_m")
+    var = nm / 12 * (F.col("_all") + 1 - F.col("_ties") / (F.col("_all") * (F.col("_all") - 1)))
+    u = F.col("_s") - F.col("_n") * (F.col("_n") + 1) / 2
+    z = F.when(var > 0, (F.abs(u - nm / 2) - 0.5) / F.sqrt(F.when(var > 0, var))).otherwise(0.0)
+    p = _pandas_column(lambda z, _: min(1.0, 2 * (1 - stats._N.cdf(max(0.0, z)))))
+    return n.select(*keys, u.alias("statistic"), p(z, F.lit(0)).alias("p_value"))
+
+
 def reality_check(performance: DataFrame, simulated: DataFrame) -> DataFrame:
     """White's check over strategies: performance (strategy, f), simulated (sim, strategy, f). One row: best, statistic and p_value."""
     joined = simulated.join(F.broadcast(performance.select("strategy", F.col("f").alias("_f"))), "strategy")

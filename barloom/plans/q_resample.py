@@ -225,6 +225,14 @@ def _(spark, sf):
     return rd(ts.ks_two_sample(h, "part", "in", "out", keys=["series"]), ["series"])
 
 
+@query("tst14_mann_whitney")
+def _(spark, sf):
+    s = series(spark, sf)
+    n = s.groupBy("series").agg(F.count("*").alias("n"))
+    h = s.join(n, "series").withColumn("part", F.when(F.col("t") < F.col("n") * 0.7, "in").otherwise("out"))
+    return rd(ts.mann_whitney_two_sample(h, "part", "in", "out", keys=["series"]), ["series"])
+
+
 @query("tst16_17_edge_scores", sql.bars("y", samples("block") + ", " + _stats_sql() + ", " + _OWN + ", ps as (select series, avg((total_return > 0)::double) as pp, avg((sharpe <= 0)::double) as pv from st group by 1), wr as (select series, avg((ret > 0)::double) as wr from s group by 1), e as (select series, (pv < 0.05)::int * 3 + (sharpe > 1)::int * 2 + (wr > 0.55)::int * 2 + (pp > 0.7)::int * 2 + (max_drawdown > -0.2)::int as sc from ow join ps using (series) join wr using (series))")
     + "select series, sc as edge_score, case when sc >= 8 then 'strong' when sc >= 6 then 'moderate' when sc >= 4 then 'weak' else 'none' end as band from e")
 def _(spark, sf):

@@ -223,6 +223,19 @@ def test_folds_reach_the_last_bar(spark):
     assert {s: max((t for x, _, _, t in got if x == s), default=None) for s in sizes} == {"a": None, "b": 378, "c": 719, "d": 999}
 
 
+def test_mann_whitney_of_two_samples(spark):
+    from barloom.functions import stats
+    from barloom.operators import tests as ts
+
+    data = {"a": ([0.1, 0.2, 0.2, 0.5, -1.0], [0.2, 0.3, 0.9]), "b": ([1.0, 1.0], [1.0]), "c": ([3.0, 4.0, 5.0, 6.0], [0.0, 1.0, 2.0])}
+    rows = [(s, p, x) for s, two in data.items() for p, xs in zip(("in", "out"), two) for x in xs] + [("a", "in", None), ("d", "in", 1.0)]
+    got = {r.series: (r.statistic, r.p_value) for r in ts.mann_whitney_two_sample(spark.createDataFrame(rows, "series string, part string, ret double"), "part", "in", "out", keys=["series"]).collect()}
+    assert set(got) == set(data)
+    for s, (x, y) in data.items():
+        wins = sum((p > q) + (p == q) / 2 for p in x for q in y)
+        assert got[s] == pytest.approx((wins, stats.mann_whitney(x, y)[1]))
+
+
 def test_checks(spark):
     bad = spark.createDataFrame([("X", None), ("X", float("inf")), ("X", -2.0)], "symbol string, ret double")
     failed = {r.check for r in validate.returns(bad).where("failed").collect()}
