@@ -13,13 +13,20 @@ from ..sources.shared import shared_dir
 #: `[\x20\x09-\x0D]`, the white space of every contract here; bytes.split() and bytes.strip() use the same six.
 SPACE = b" \t\n\x0b\x0c\r"
 
+_folders: dict[str, list[str]] = {}
+
+
 class Scratch:
-    """Written tables of one query, in the shared folder. They cut the lineage and survive lost executors."""
+    """Written tables of one query, in the shared folder. They cut the lineage and survive lost executors.
+
+    A query's result reads them when it is used, so they stay until clear_scratch().
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        _folders.setdefault(spark.sparkContext.applicationId, []).append(self.root)
 
     def write(self, df: DataFrame, tag: str = "t", partition_by: tuple[str, ...] = ()) -> DataFrame:
         self.count += 1
@@ -32,9 +39,18 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing will read again."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._barloom_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, df._barloom_path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables of all queries of this session. For the caller, once the results are written: a DataFrame that is not would lose its input."""
+    for folder in _folders.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, folder)
 
 
 def stratum(source: str = "source") -> Column:
@@ -56,16 +72,17 @@ def bucket_offsets(df: DataFrame, group: list[str], bucket: str, amount: Column,
     )
 
 
-def split_hot_join(left: DataFrame, right: DataFrame, key: str, copies: str, rows: int, parts: int = 4096) -> DataFrame:
+def split_hot_join(left: DataFrame, right: DataFrame, key: str, copies: str, rows: int, parts: int = 4096, how: str = "inner") -> DataFrame:
     """left join right on key, where right has each key once and `copies` counts the rows of left that have it.
 
     Keys of more than max(64, rows / parts) rows are fewer than `parts`, whatever the data, so they
-    are broadcast; the others are dealt by key and none of them fills a task.
+    are broadcast; the others are dealt by key and none of them fills a task. how: inner or left; rows of left without a key
+    are left out by either.
     """
     limit = max(64, rows // parts)
     hot = right.where(F.col(copies) > limit)
     rest = right.where(F.col(copies) <= limit)
-    marked = left.join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"))), key, "left")
+    marked = left.where(F.col(key).isNotNull()).join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"))), key, "left")
     common = marked.where("_hot").drop("_hot").join(F.broadcast(hot), key)
-    others = marked.where("_hot is null").drop("_hot").join(rest, key)
+    others = marked.where("_hot is null").drop("_hot").join(rest, key, how)
     return common.unionByName(others)

@@ -9,9 +9,9 @@
 4. Candidates that sketches find possible form families: the pairs of step 3, and where a bucket holds several families, what
    joins them. Two documents that share a band and may be similar are thus in one family, and families of unrelated documents do not grow together.
 5. Where verified links leave a family in several components, the members outside its largest one are held against all of it, in
-   blocks, by sketches and then on full sets; a task emits only pairs that join components it has not joined yet. So no link that
+   blocks, by sketches and then on full sets, which only go where a sketch has found a partner; a task emits only pairs that join components it has not joined yet. So no link that
    matters is left out, however large a bucket or a family is, and what is emitted grows with the members, not with their pairs.
-6. Components are found by passing on the smallest id and jumping to the label's own label; all state is in written tables.
+6. An id with several texts is one document: it is linked with the representatives of all of them. Components are found by passing on the smallest id and jumping to the label's own label; all state is in written tables.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import Scratch, split_hot_join
 
@@ -189,7 +188,7 @@ class _Joined:
 
 def _cross(batches: Iterator[pa.RecordBatch], most: int, percent: int | None) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (group, bx, by, minor first): pairs of a minor member and any other of another component, alike by their sketches and,
-    with a percent, by their sets. Pairs whose components the group's earlier pairs have joined are passed over.
+    with a percent, by their sets. Pairs whose components the block's earlier pairs have joined are passed over.
     """
     group, minor, joined = None, ([], [], [], []), _Joined()
     for batch in batches:
@@ -227,6 +226,45 @@ def _cross(batches: Iterator[pa.RecordBatch], most: int, percent: int | None) ->
         yield pa.RecordBatch.from_arrays([pa.array(left, kind), pa.array(right, kind)], ["a", "b"])
 
 
+def _near_members(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (group, bx, by, minor first): those that are alike by their sketches to one of the other side with another label, each once."""
+    key, minor, sketches, labels, marked = None, [], np.empty((0, BITS // 64), np.uint64), np.empty(0), np.empty(0, bool)
+
+    def settled() -> Iterator[pa.RecordBatch]:
+        if marked.any():
+            whole = pa.Table.from_batches(minor).combine_chunks().filter(pa.array(marked))
+            yield from whole.to_batches()
+
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("group", "bx", "by"))))
+        side = np.array(batch.column("side").to_pylist())
+        own = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        label = np.array(batch.column("label").to_pylist())
+        at = 0
+        while at < len(keys):
+            end = at
+            while end < len(keys) and keys[end] == keys[at]:
+                end += 1
+            if keys[at] != key:
+                yield from settled()
+                key, minor, sketches, labels, marked = keys[at], [], own[:0], label[:0], np.empty(0, bool)
+            cut = at + int((side[at:end] == 0).sum())
+            if cut > at:
+                minor.append(batch.slice(at, cut - at))
+                sketches, labels = np.concatenate([sketches, own[at:cut]]), np.concatenate([labels, label[at:cut]])
+                marked = np.concatenate([marked, np.zeros(cut - at, bool)])
+            found = []
+            for i in range(cut, end if len(marked) else cut):
+                near = (np.bitwise_count(sketches ^ own[i]).sum(axis=1) <= most) & (labels != label[i])
+                if near.any():
+                    marked |= near
+                    found.append(i)
+            if found:
+                yield batch.take(pa.array(found))
+            at = end
+    yield from settled()
+
+
 @contextmanager
 def _small_batches(spark: SparkSession, rows: int = 500):
     """While it holds, Python gets so many rows at once: sets of long texts are large."""
@@ -292,7 +330,9 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, broadcast_
 
     Two documents are linked if 100 x intersection >= percent x union of their sets of `size`-word shingles. Null, empty and
     wordless texts have empty sets and are linked with nothing. An id that repeats stands for one document with the links of all
-    its texts. Rows without an id have no component_id and are kept. Only the id and the text are read.
+    its texts, and all its rows have the same component_id. Rows without an id have no component_id and are kept. Repeated rows are repeated in
+    the result, an empty table gives an empty one. Texts of any length are taken whole: one worker holds a few of them with their sets.
+    Only the id and the text are read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
@@ -328,6 +368,9 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, broadcast_
 
     both = likely.select(F.col("a").alias("_id")).union(likely.select("b"))
     links = _verified(likely, sets_of(both), partial(_alike_sets, percent=percent), scratch, "links")
+    several_texts, own = _own_links(signed, classes, scratch)
+    if own is not None:
+        links = scratch.write(links.unionByName(own).distinct(), "links")
     labels = components(links, scratch)
 
     def bridges(rows: DataFrame, n: int, payloads: Callable[[DataFrame], DataFrame] | None, tag: str) -> DataFrame:
@@ -337,16 +380,20 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, broadcast_
         several = scratch.write(several.where("k > 1").drop("k"), f"{tag}-several")
         open_ = scratch.write(split_hot_join(rows, several, "group", "size", n), f"{tag}-open")
         held = open_.join(sketches.withColumnRenamed("payload", "sketch"), "_id")
-        held = held.join(payloads(open_), "_id") if payloads else held.withColumn("payload", F.lit(None).cast("binary"))
         held = held.withColumns({"nx": F.ceil((F.col("size") - F.col("largest")) / BLOCK).cast("int"), "ny": F.ceil(F.col("size") / BLOCK).cast("int")})
         own = lambda c: F.pmod(F.xxhash64("_id"), F.col(c)).cast("int")
         each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-        carried = ["_id", "label", "sketch", "payload"]
-        minor = held.where("label != major").select("group", own("nx").alias("bx"), each("ny").alias("by"), F.lit(0).alias("side"), *carried)
-        other = held.select("group", each("nx").alias("bx"), own("ny").alias("by"), F.lit(1).alias("side"), *carried)
-        dealt = minor.unionByName(other).repartition("group", "bx", "by").sortWithinPartitions("group", "bx", "by", "side")
+        minor = held.where("label != major").select("group", own("nx").alias("bx"), each("ny").alias("by"), F.lit(0).alias("side"), "_id", "label", "sketch")
+        other = held.select("group", each("nx").alias("bx"), own("ny").alias("by"), F.lit(1).alias("side"), "_id", "label", "sketch")
+        deal = lambda rows: rows.repartition("group", "bx", "by").sortWithinPartitions("group", "bx", "by", "side")
+        rows, payload = minor.unionByName(other), F.lit(None).cast("binary")
+        if payloads:
+            # Sketches alone go to all blocks. The sets, which are larger by far, follow for those that have a partner there.
+            near = scratch.write(deal(rows).mapInArrow(partial(_near_members, most=most), rows.schema), f"{tag}-near")
+            rows, payload = near.join(payloads(near), "_id"), F.col("payload")
+        rows = rows.select("group", "bx", "by", "side", "_id", "label", "sketch", payload.alias("payload"))
         with _small_batches(spark):
-            found = dealt.mapInArrow(partial(_cross, most=most, percent=percent if payloads else None), f"a {kind}, b {kind}")
+            found = deal(rows).mapInArrow(partial(_cross, most=most, percent=percent if payloads else None), f"a {kind}, b {kind}")
             return scratch.write(found.distinct(), tag)
 
     families = components(likely, scratch)
@@ -363,19 +410,48 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, broadcast_
     named = scratch.write(named, "named")
     rows = full.select("_id", "n", "digest")
     out = split_hot_join(rows, named, "digest", "copies", signed.count()).select("_id", "n", "component")
-    alone = signed.where("digest is null or _id is null").select("_id", "n", F.col("_id").alias("component"))
+    alone = signed.where("digest is null or _id is null").select("_id", "n")
+    if several_texts is None:
+        alone = alone.withColumn("component", F.col("_id"))
+    else:  # a wordless text of an id that has others, too
+        of_id = several_texts.join(labels, "_id", "left").select("_id", "copies", F.coalesce("label", "_id").alias("component"))
+        of_id = scratch.write(of_id, "of-id")
+        named_alone = split_hot_join(alone, of_id, "_id", "copies", signed.count(), how="left").select("_id", "n", F.coalesce("component", "_id").alias("component"))
+        alone = named_alone.unionByName(alone.where("_id is null").withColumn("component", F.col("_id")))
     out = out.unionByName(alone)
-    # An id that repeats with different texts belongs to the smallest component of them.
     return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("_id").eqNullSafe(F.col("component")).alias("kept"))
 
 
+def _own_links(signed: DataFrame, classes: DataFrame, scratch: Scratch) -> tuple[DataFrame | None, DataFrame | None]:
+    """(_id, copies) of the ids that have different sets, and links (a, b) from each of them to the representatives of its sets' classes."""
+    name = F.coalesce("digest", F.lit("").cast("binary"))
+    several = signed.where("_id is not null").groupBy("_id").agg(F.count("*").alias("copies"), F.min(name).alias("_least"), F.max(name).alias("_most"))
+    several = scratch.write(several.where("_least != _most").select("_id", "copies"), "several-texts")
+    if several.isEmpty():
+        return None, None
+    n = signed.count()
+    texts = split_hot_join(signed.where("digest is not null").select("_id", "digest"), several, "_id", "copies", n).select("_id", "digest").distinct()
+    met = split_hot_join(texts, classes.select("digest", F.col("_id").alias("first"), "copies"), "digest", "copies", n)
+    own = met.select(F.least("_id", "first").alias("a"), F.greatest("_id", "first").alias("b")).where("a <> b").distinct()
+    return several, scratch.write(own, "own-links")
+
+
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, that with the smallest id, with its columns. Of rows that share an id one stays, the
-    one whose text has the lowest hash; rows without an id all stay.
+    """One document of each component, that with the smallest id, with its columns. Of rows that share that id one stays, the
+    one with the longest text, for an id is one document; rows without an id all stay, and so do wordless texts of different ids.
+    An empty table gives an empty one; columns may have any names.
     """
-    linked = link_documents(docs, size, percent, id_col=id_col, text_col=text_col)
-    kept = linked.where(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct()
-    rows = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.struct(*docs.columns).alias("_row"))
-    nth = F.row_number().over(Window.partitionBy("_id").orderBy("_hash"))
-    chosen = rows.join(kept, "_id", "left_semi").withColumn("_nth", nth).where("_nth = 1")
-    return chosen.unionByName(rows.where("_id is null").withColumn("_nth", F.lit(1))).select("_row.*")
+    scratch = Scratch(docs.sparkSession, "kept")
+    linked = link_documents(docs, size, percent, id_col=id_col, text_col=text_col).select(F.col(id_col).alias("_id"), "kept")
+    kept = scratch.write(linked.where("kept and _id is not null").groupBy("_id").agg(F.count("*").alias("copies")), "kept")
+    rows = docs.select(F.col(id_col).alias("_id"), F.struct((-F.coalesce(F.length(text_col), F.lit(-1))).alias("n"), F.xxhash64(text_col).alias("h")).alias("_hash"), F.struct(*docs.columns).alias("_row"))
+    n = docs.count()
+    out = split_hot_join(rows, kept.where("copies = 1"), "_id", "copies", n).select("_row").unionByName(rows.where("_id is null").select("_row"))
+    again = kept.where("copies > 1")
+    if not again.isEmpty():
+        # Which text stays is found first; of the rows that have it, which are alike in their texts, the one with the least hash is taken.
+        repeated = split_hot_join(rows, again, "_id", "copies", n)
+        least = repeated.groupBy("_id").agg(F.min("_hash").alias("_least"), F.max("copies").alias("copies"))
+        chosen = split_hot_join(repeated.drop("copies"), least, "_id", "copies", n).where("_hash = _least")
+        out = out.unionByName(chosen.groupBy("_id").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row"))
+    return out.select("_row.*")

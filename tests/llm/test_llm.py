@@ -155,6 +155,25 @@ def test_near_dedup(docs, empty):
     assert link_documents(empty).count() == 0
 
 
+def test_near_dedup_of_ids_with_several_texts(spark):
+    x, y, z = words(30, 21), words(30, 22), words(30, 23)
+    rows = [(3, x, "a"), (9, x, "a"), (9, y, "a"), (12, y, "a"), (12, "", "a"), (20, z, "a"), (20, None, "a"), (20, z + " " + words(30, 24), "a"), (21, "", "a"), (21, "", "b"), (30, y, "a"), (30, z, "a"), (None, x, "a")]
+    out = link_documents(frame(spark, rows), size=4)
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in out.collect())
+    assert got == Counter((i, None if i is None else 21 if i == 21 else 3, i in (3, 21, None)) for i, _, _ in rows)
+    kept = drop_near_duplicates(frame(spark, rows), size=4).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, x), (3, x), (21, "")]
+    apart = [(9, y, "a"), (9, x + " " + x[::-1], "a"), (9, None, "a"), (9, y, "b")]
+    kept = drop_near_duplicates(frame(spark, apart), size=4).collect()
+    assert [(r.doc_id, r.text) for r in kept] == [(9, x + " " + x[::-1])]
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_near_dedup_joins_sets_on_either_side(docs, limit):
+    out = link_documents(docs, size=4, broadcast_rows=limit)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()) == near_by_hand(ROWS, 4)
+
+
 def test_near_dedup_of_a_large_family(spark):
     r = random.Random(5)
     base = words(70, 9).split()
