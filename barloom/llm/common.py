@@ -37,6 +37,9 @@ class Scratch:
         out._barloom_path = path
         return out
 
+    def delete(self, name: str) -> None:
+        _delete(self.spark, f"{self.root}/{name}")
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing will read again."""
         _delete(self.spark, df._barloom_path)
@@ -86,3 +89,16 @@ def split_hot_join(left: DataFrame, right: DataFrame, key: str, copies: str, row
     common = marked.where("_hot").drop("_hot").join(F.broadcast(hot), key)
     others = marked.where("_hot is null").drop("_hot").join(rest, key, how)
     return common.unionByName(others)
+
+
+def least_count(counts: DataFrame, most: int) -> int:
+    """The lowest n that at most `most` rows reach; found from a few thousand sums at most. counts: (n)."""
+    step = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(F.pow(F.lit(2.0), F.floor(F.log2("n") * 16) / 16)))
+    found = 0
+    least = 1 << 62
+    for r in sorted(counts.groupBy(step.cast("long").alias("at")).count().collect(), key=lambda r: -r["at"]):
+        found += r["count"]
+        if found > most:
+            break
+        least = r["at"]
+    return least

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, split_hot_join
+from .common import Scratch, least_count, split_hot_join
 
 #: Bits of a symbol in a key; 256 is the end of a text, and fills the contexts before its start.
 BITS, END = 9, 256
@@ -42,6 +42,8 @@ END_WORD = -1
 GROUPS = 1 << 2 * BITS
 #: Logarithms of grams that are joined are summed as integers, so that equal rows get equal scores.
 UNIT = 1 << 32
+#: What a word adds that no training text has.
+UNSEEN = math.log10(0.5)
 
 
 def _data(text: str | None) -> bytes:
@@ -266,8 +268,8 @@ def _open_logs(keys: pa.Table, grams: pa.Table, order: int, base) -> pa.Table:
     return pa.table({"key": keys["key"], "copies": keys["copies"], "log": pa.array(ppm.log10(wanted), pa.float64())})
 
 
-def _score(batches: Iterator[pa.RecordBatch], model, frequent) -> Iterator[pa.RecordBatch]:
-    """Scores, with the words that `frequent` lacks and the grams of groups that the model leaves out left open. _row names a row of the written result."""
+def _score(batches: Iterator[pa.RecordBatch], model, frequent, complete: bool) -> Iterator[pa.RecordBatch]:
+    """Scores, with the grams of groups that the model leaves out left open, and unless `frequent` is complete the words that it lacks. _row names a row of the written result."""
     (ppm, left_out), logs = model.value, _logs(frequent)
     row = TaskContext.get().partitionId() << 33
     for batch in batches:
@@ -278,7 +280,9 @@ def _score(batches: Iterator[pa.RecordBatch], model, frequent) -> Iterator[pa.Re
             known, total, words, times = 1, 0.0, [], []
             for h, n in counts.items():
                 log = logs.get(h)
-                if log is None:
+                if log is None and complete:
+                    total += n * UNSEEN
+                elif log is None:
                     words.append(h)
                     times.append(n)
                 else:
@@ -333,19 +337,6 @@ def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 1) -> Column:
     return F.crc32(name.cast("binary")) % folds == fold
 
 
-def _least_count(words: DataFrame, most: int) -> int:
-    """The lowest count that `most` words at most reach; found from at most a few thousand sums."""
-    step = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(F.pow(F.lit(2.0), F.floor(F.log2("n") * 16) / 16)))
-    found = 0
-    least = 1 << 62
-    for r in sorted(words.groupBy(step.cast("long").alias("at")).count().collect(), key=lambda r: -r["at"]):
-        found += r["count"]
-        if found > most:
-            break
-        least = r["at"]
-    return least
-
-
 def score_documents(
     docs: DataFrame,
     training: Column | None = None,
@@ -358,10 +349,11 @@ def score_documents(
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the text's probability) of every row.
 
     training: which rows to learn from, by default those that held_out() does not name. The trie has the same order at every size.
-    max_entries decides on speed alone: so many of its entries are broadcast (below order 2 all, 66,049 at most), the others
-    stay in the written counts and are met by join. Null texts count as empty: one end token.
+    max_entries decides on speed alone: so many of its entries are broadcast (below order 2 all, 66,049 at most), about 100 bytes each in the driver and in
+    every worker, and as many words as frequent_words says, about 150 bytes each; the others stay in the written counts and are met by join. Null texts count as empty: one end token.
     With nothing to learn from, every symbol is equally likely and base_score is that of unseen tokens. Equal rows get equal scores.
-    Words are told apart by 64-bit hashes.
+    Ids may repeat or be null; an empty table gives an empty one. A text of any length is scored whole, a million symbols or one text at a time.
+    Words are told apart by 64-bit hashes. order: 1 to 6; a higher one knows more of its context and has a larger trie.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
@@ -395,23 +387,29 @@ def score_documents(
     train_tokens, distinct = int(sums["n"] or 0), int(sums["v"])
     ends = words.where(F.col("key") == END_WORD).agg(F.sum("n")).first()[0] or 0
     plain = words.where((F.col("key") != END_WORD) & (F.col("n") > 0))
-    common = plain.where(F.col("n") >= _least_count(plain, frequent_words)).toPandas()
+    common = plain.where(F.col("n") >= least_count(plain, frequent_words)).toPandas()
+    complete = len(common) == plain.count()
     frequent = spark.sparkContext.broadcast((common["key"].to_numpy(np.int64), common["n"].to_numpy(np.int64)))
 
     slim = docs.select(id_col, F.coalesce(~training, F.lit(True)).alias("held_out"), F.col(text_col).alias("_text"))
     kind = slim.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, held_out boolean, _row long, n_tokens long, _known long, _part double, score double, _words array<long>, _times array<long>, _grams array<long>, _gram_times array<long>"
-    scored = scratch.write(slim.mapInArrow(partial(_score, model=model, frequent=frequent), schema), "scored")
-
-    open_words = scored.select("_row", F.explode(F.arrays_zip("_words", "_times")).alias("w")).select("_row", F.col("w._words").alias("key"), F.col("w._times").alias("times"))
-    met = open_words.join(plain.select("key", F.col("n").alias("c")), "key", "left")
-    rest = met.groupBy("_row").agg(
-        F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("_more"),
-        F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("_rest"),
-    )
+    scored = scratch.write(slim.mapInArrow(partial(_score, model=model, frequent=frequent, complete=complete), schema), "scored")
+
+    joined, score = scored, F.col("score")
+    if complete:
+        joined = scored.withColumns({"_more": F.lit(0).cast("long"), "_rest": F.lit(0.0)})
+    else:
+        open_words = scored.select("_row", F.explode(F.arrays_zip("_words", "_times")).alias("w")).select("_row", F.col("w._words").alias("key"), F.col("w._times").alias("times"))
+        wanted = open_words.groupBy("key").agg(F.count("*").alias("copies"))
+        wanted = scratch.write(wanted.join(plain.select("key", F.col("n").alias("c")), "key", "left").select("key", "copies", F.coalesce("c", F.lit(0)).alias("c")), "open-words")
+        n_open = wanted.agg(F.sum("copies")).first()[0] or 0
+        rest = split_hot_join(open_words, wanted, "key", "copies", n_open).groupBy("_row").agg(
+            F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("_more"), F.sum(F.col("times") * F.log10(F.col("c") + F.lit(0.5))).alias("_rest")
+        )
+        joined = scored.join(rest, "_row", "left")
     base_score = F.col("_part") + F.coalesce("_rest", F.lit(0.0)) + math.log10(ends + 0.5) - F.col("n_tokens") * math.log10(train_tokens + 0.5 * (distinct + 1))
     end_known = 0 if ends else 1
-    joined, score = scored.join(rest, "_row", "left"), F.col("score")
     if left_out is not None:
         open_grams = scored.select("_row", F.explode(F.arrays_zip("_grams", "_gram_times")).alias("g")).select("_row", F.col("g._grams").alias("key"), F.col("g._gram_times").alias("times"))
         shard = F.pmod(F.xxhash64(group), F.lit(8 + n_entries // 250_000)).alias("shard")

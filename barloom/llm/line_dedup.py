@@ -6,24 +6,30 @@ counting. The rest is written as a new sorted run of level 0, and whenever a lev
 they are compacted into one run of the next level, so that n batches leave O(log n) runs. At the end the runs
 are merged once into the frequent lines, which a second scan of the texts drops.
 
+Runs are tables bucketed and sorted by hash, all into the same number of buckets: joins and compactions meet bucket by bucket and
+shuffle nothing, and the joins merge what is sorted already.
+
 A line's key is the line without white space at its ends and with A-Z lower-cased, in UTF-8; its hash has 128 bits.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import partial
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch
+from .common import SPACE, Scratch, split_hot_join
 
 #: Keys that one worker holds before it passes on their counts.
 HELD = 200_000
-BITS63 = (1 << 63) - 1
+#: Buckets of the runs: at least, at most, and the counted rows that one is made for.
+LEAST_BUCKETS, MOST_BUCKETS, BUCKET_ROWS = 8, 50_000, 4_000_000
 
 
 def line_key(line: bytes) -> bytes:
@@ -63,15 +69,35 @@ def _count(batches: Iterator[pa.RecordBatch], n_batches: int, min_chars: int) ->
     yield from out()
 
 
+@contextmanager
+def _sorted_scans(spark: SparkSession):
+    """While it holds, the scan of a bucket that is one sorted file counts as sorted."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class LineRuns:
-    """The runs: tables (hash, n), sorted by hash inside each part, in levels."""
+    """The runs: tables (hash, n), bucketed and sorted by hash, in levels. They are tables of the session's catalog with files in the shared folder."""
 
-    def __init__(self, scratch: Scratch, threshold: int, fanout: int = 4):
-        self.scratch, self.threshold, self.fanout = scratch, threshold, fanout
-        self.levels: list[list[DataFrame]] = []
+    def __init__(self, scratch: Scratch, threshold: int, buckets: int = LEAST_BUCKETS, fanout: int = 4):
+        self.scratch, self.threshold, self.buckets, self.fanout = scratch, threshold, buckets, fanout
+        self.spark = scratch.spark
+        self.levels: list[list[str]] = []
 
     def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+        return [self.spark.table(name) for level in self.levels for name in level]
+
+    def unsettled(self, batch: DataFrame) -> DataFrame:
+        """The batch's sums, without what one of the runs has as frequent. Dealt by hash once, like the runs."""
+        new = batch.repartition(self.buckets, "hash").groupBy("hash").agg(F.sum("n").alias("n"))
+        for run in self.runs():
+            new = new.join(run.where(F.col("n") >= self.threshold).select("hash").hint("merge"), "hash", "left_anti")
+        return new
 
     def merged(self, runs: list[DataFrame]) -> DataFrame:
         out = runs[0]
@@ -82,37 +108,48 @@ class LineRuns:
     def _write(self, df: DataFrame, level: int) -> None:
         if level == len(self.levels):
             self.levels.append([])
-        self.levels[level].append(self.scratch.write(df.sortWithinPartitions("hash"), f"level{level}"))
+        name = f"barloom_run_{uuid.uuid4().hex}"
+        with _sorted_scans(self.spark):
+            df.write.bucketBy(self.buckets, "hash").sortBy("hash").option("path", f"{self.scratch.root}/{name}").saveAsTable(name)
+        self.levels[level].append(name)
 
     def add(self, batch: DataFrame) -> None:
         """batch: (hash, n). What one of the runs has as frequent is settled and dropped; the rest is added."""
-        new = batch.groupBy("hash").agg(F.sum("n").alias("n"))
-        for run in self.runs():
-            new = new.join(run.where(F.col("n") >= self.threshold).select("hash"), "hash", "left_anti")
-        self._write(new, 0)
+        self._write(self.unsettled(batch), 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._write(self.merged(full), level + 1)
-            for run in full:
-                self.scratch.drop(run)
+            self._write(self.merged([self.spark.table(name) for name in full]), level + 1)
+            self._drop(full)
             level += 1
 
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"drop table {name}")
+            self.scratch.delete(name)
+
     def frequent(self) -> DataFrame:
         return self.merged(self.runs()).where(F.col("n") >= self.threshold).select("hash")
 
+    def clear(self) -> None:
+        for level in self.levels:
+            self._drop(level)
+        self.levels = []
+
 
-def frequent_lines(docs: DataFrame, min_docs: int, min_chars: int, n_batches: int, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
-    """The hashes of the lines that at least min_docs documents have."""
+def frequent_lines(docs: DataFrame, min_docs: int, min_chars: int, n_batches: int, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The hashes of the lines that at least min_docs documents have; and (hash, n), the counts of all lines in parts."""
     slim = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     counted = slim.mapInArrow(partial(_count, n_batches=n_batches, min_chars=min_chars), "batch int, hash binary, n long")
     # Counts of one batch meet in the same few files, so that each batch then reads only its own.
     counted = scratch.write(counted, "lines", partition_by=("batch",))
-    runs = LineRuns(scratch, min_docs)
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, counted.count() // BUCKET_ROWS))
+    runs = LineRuns(scratch, min_docs, buckets)
     for b in range(n_batches):
         runs.add(counted.where(F.col("batch") == b).select("hash", "n"))
-    scratch.drop(counted)
-    return scratch.write(runs.frequent(), "frequent")
+    frequent = scratch.write(runs.frequent(), "frequent")
+    runs.clear()
+    return frequent, counted.select("hash", "n")
 
 
 def _drop_lines(batches: Iterator[pa.RecordBatch], frequent) -> Iterator[pa.RecordBatch]:
@@ -134,6 +171,7 @@ def _drop_lines(batches: Iterator[pa.RecordBatch], frequent) -> Iterator[pa.Reco
 
 
 def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (_key, hash): the lines of a text, which goes by its own hash. Texts without any have no row."""
     for batch in batches:
         names, hashes = [], []
         for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -141,7 +179,7 @@ def _line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if key:
                     names.append(name)
                     hashes.append(_hash(key))
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(hashes, pa.binary())], ["_id", "hash"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(hashes, pa.binary())], ["_key", "hash"])
 
 
 def drop_frequent_lines(
@@ -158,20 +196,28 @@ def drop_frequent_lines(
 
     Returns id, the columns named in keep, kept_text (the other lines joined by \\n), n_lines (before) and n_dropped. A null or empty
     text is one empty line, and stays as an empty text. Each row counts as a document of its own, also where ids
-    repeat or are null. Up to broadcast_rows frequent lines (17 bytes each) are broadcast; more of them are joined
-    to the documents' lines, and each document fetches those it has.
+    repeat or are null. An empty table gives an empty one; keep may not name the results. A text of any length is taken whole by one worker.
+    Up to broadcast_rows frequent lines are broadcast, as a set of about 100 bytes each in every worker; more of them are joined
+    to the texts' lines, and each text fetches those it has.
     """
+    if {"kept_text", "n_lines", "n_dropped"} & set(keep):
+        raise ValueError("kept_text, n_lines and n_dropped are results; keep can't name them")
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
-    frequent = frequent_lines(docs, min_docs, min_chars, n_batches, id_col, text_col, scratch)
+    frequent, counted = frequent_lines(docs, min_docs, min_chars, n_batches, id_col, text_col, scratch)
     out = docs.select(id_col, *keep, F.col(text_col).alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[:-1])
     schema = f"{fields}, kept_text string, n_lines long, n_dropped long"
     if frequent.count() <= broadcast_rows:
         known = spark.sparkContext.broadcast(frozenset(bytes(r.hash) for r in frequent.toLocalIterator()))
         return out.mapInArrow(partial(_drop_lines, frequent=known), schema)
-    plain_id = F.coalesce(F.col(id_col).cast("string"), F.lit("-"))
-    lines = docs.select(plain_id.alias("_id"), F.col(text_col).alias("text")).mapInArrow(_line_hashes, "_id string, hash binary")
-    marks = lines.join(frequent, "hash", "left_semi").groupBy("_id").agg(F.collect_set("hash").alias("_frequent"))
-    out = out.withColumn("_id", plain_id).join(marks, "_id", "left").drop("_id")
-    return out.mapInArrow(partial(_drop_lines, frequent=None), schema)
+    # Equal texts have equal lines, so lines are fetched once a text. What holds for a line in a third of all texts, or a text in a third of all rows, is broadcast.
+    key = F.md5(F.col("_text").cast("binary")).alias("_key")
+    sizes = scratch.write(counted.groupBy("hash").agg(F.sum("n").alias("copies")).join(frequent, "hash", "left_semi"), "sizes")
+    lines = scratch.write(out.select(key, "_text").mapInArrow(_line_hashes, "_key string, hash binary").distinct(), "text-lines")
+    marks = split_hot_join(lines, sizes, "hash", "copies", lines.count()).groupBy("_key").agg(F.collect_set("hash").alias("_frequent"))
+    copies = out.select(key).groupBy("_key").agg(F.count("*").alias("_copies"))
+    marks = scratch.write(marks.join(copies, "_key"), "marks")
+    found = split_hot_join(out.withColumn("_key", key), marks, "_key", "_copies", docs.count(), how="left").drop("_copies")
+    found = found.unionByName(out.where("_text is null").withColumn("_key", F.lit(None).cast("string")), allowMissingColumns=True).drop("_key")
+    return found.mapInArrow(partial(_drop_lines, frequent=None), schema)
