@@ -3,11 +3,11 @@
 A pattern is a window of a benchmark item: `window` consecutive words, or all of an item that has fewer. Patterns are grouped
 by length. For each length, a table tells for every block of two words that occurs in a pattern how far
 its last occurrence lies before the pattern's end; any other block lets the search move on by the
-whole pattern. Only where a block ends a pattern (shift 0) is the bucket of that suffix looked up and its patterns
+whole pattern. Only where a block ends a pattern (shift 0) is the bucket of that suffix and of the first block looked up and its patterns
 compared word by word.
 
-Patterns are taken to the texts in groups of at most `block_windows`, each a pass of its own over the texts,
-so a worker holds no more than that many however large the benchmark is.
+Patterns are taken to the texts in groups of about `block_windows`. Each group is a pass of its own over the texts, and its result is written before the
+next begins, so that the driver and every worker hold one group at a time (about half a kilobyte a window) however large the benchmark is.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 _LOWER = bytes(range(256)).lower()
 #: Every byte of `[\x00-\x2F\x3A-\x60\x7B-\x7F]`, once A-Z are lower-cased, parts words; all bytes of other characters belong to words.
 _WORDS = bytes(32 if c < 0x30 or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in _LOWER)
@@ -41,7 +43,7 @@ class WuManber:
             for end in range(self.block, length + 1):
                 b = p[end - self.block : end]
                 self.shift[b] = min(self.shift.get(b, self.most), length - end)
-            self.bucket.setdefault(p[-self.block :], []).append(p)
+            self.bucket.setdefault(p[-self.block :] + p[: self.block], []).append(p)
 
     def search(self, ids: list[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
         """(start, pattern) of every occurrence."""
@@ -49,7 +51,7 @@ class WuManber:
         n, at = len(ids), self.length
         if self.block == 1:
             for i, x in enumerate(ids):
-                if (x,) in bucket:
+                if (x, x) in bucket:
                     yield i, (x,)
             return
         while at <= n:
@@ -59,8 +61,8 @@ class WuManber:
                 at += step
                 continue
             start = at - length
-            for p in bucket[block]:
-                if ids[start] == p[0] and tuple(ids[start:at]) == p:
+            for p in bucket.get((*block, ids[start], ids[start + 1]), ()):
+                if tuple(ids[start:at]) == p:
                     yield start, p
             at += 1
 
@@ -153,15 +155,25 @@ def mark_contamination(
 
     contaminated: a word is hit and min_share x n_hit >= n_words. Null and empty texts have no words and are not
     contaminated; items without words have no window; a null item_id counts as an empty one. Rows with the same text get the same
-    answer. An empty benchmark hits nothing.
+    answer, ids may repeat or be null. An empty benchmark hits nothing, an empty table gives an empty one. A text of any length is searched whole by one worker.
     """
     spark = docs.sparkSession
     empty = F.lit(None).cast("array<string>")
     out = docs.select(id_col, *keep, F.col(text_col).alias("_text"), empty.alias("_spans"), empty.alias("_items"), F.lit(0).cast("long").alias("_n_words"))
     schema = out.schema
-    groups = list(_groups(benchmark, window, block_windows, item_col, item_text_col)) or [{}]
-    for windows in groups:
-        out = out.mapInArrow(partial(_search, patterns=spark.sparkContext.broadcast(Patterns(windows))), schema)
+    scratch, before = Scratch(spark, "contamination"), None
+    groups = _groups(benchmark, window, block_windows, item_col, item_text_col)
+    windows = next(groups, {})
+    while True:
+        patterns = spark.sparkContext.broadcast(Patterns(windows))
+        out = out.mapInArrow(partial(_search, patterns=patterns), schema)
+        if (windows := next(groups, None)) is None:
+            break
+        out = scratch.write(out, "pass")
+        patterns.destroy()
+        if before is not None:
+            scratch.drop(before)
+        before = out
     n_hit = F.expr("aggregate(_spans, 0L, (n, s) -> n + bigint(split_part(s, ':', 2)) - bigint(split_part(s, ':', 1)))")
     out = out.withColumn("_n_hit", n_hit)
     return out.select(
@@ -176,7 +188,7 @@ def mark_contamination(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, min_share: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that mark_contamination finds clean, with their columns, whatever they are called."""
+    """The rows of docs that mark_contamination finds clean, with their columns, whatever they are called; null and empty texts are clean."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_body"), F.struct(*docs.columns).alias("_row"))
     marked = mark_contamination(rows, benchmark, window, min_share, id_col="_id", text_col="_body", keep=("_row",))
     return marked.where(~F.col("contaminated")).select("_row.*")
