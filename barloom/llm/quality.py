@@ -197,20 +197,35 @@ def _arrays(nodes: list[list[float]], roots: list[int], bias: float, depth: int)
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [list(statistics(t.as_py())[1]) for t in batch.column("_text")]
-        yield pa.RecordBatch.from_arrays([batch.column("_y"), pa.array(rows, pa.list_(pa.float64()))], ["y", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), pa.array(rows, pa.list_(pa.float64()))], ["id", "y", "x"])
+
+
+def lowest_digests(named: DataFrame, rows: int) -> DataFrame:
+    """The `rows` rows with the lowest digests of `_id`, which is unique. No more than a fifth over that many digests reach the driver."""
+    digest = F.md5(F.col("_id").cast("string"))
+    total = named.count()
+    if total <= rows:
+        return named
+    share = min(1.0, (1.2 * rows + 100) / total)
+    low = named.select(digest.alias("d")).where(F.col("d") < f"{int(share * (1 << 64)):016x}" if share < 1 else F.lit(True))
+    cut = sorted(r.d for r in low.collect())[rows - 1]
+    return named.where(digest <= cut)
 
 
 def fit_quality(
     docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **how
 ) -> Trees:
-    """Trees from labelled documents. fit_rows bounds how many labels are used; those with the lowest digests of their ids are.
+    """Trees from labelled documents. fit_rows bounds how many labelled ids are used; those with the lowest digests are.
 
-    Null ids, null labels and labels without a document are left out; without any, all documents pass.
+    Null ids, null labels, labels without a document, and ids whose labels disagree are left out; without any, all documents pass. An id that
+    several documents have counts once, with the least of their features.
     """
-    named = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("_y"))
-    named = named.orderBy(F.md5(F.col(id_col).cast("string")), id_col).limit(fit_rows)
-    rows = docs.select(id_col, F.col(text_col).alias("_text")).join(F.broadcast(named), id_col)
-    found = rows.select(F.col("_y").cast("int").alias("_y"), "_text").mapInArrow(_features, "y int, x array<double>").toPandas()
+    named = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_y"), F.max(label_col).alias("_most"))
+    named = lowest_digests(named.where("_y = _most").select("_id", "_y"), fit_rows)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(named), "_id")
+    kind = rows.schema["_id"].dataType.simpleString()
+    found = rows.select("_id", F.col("_y").cast("int").alias("_y"), "_text").mapInArrow(_features, f"id {kind}, y int, x array<double>")
+    found = found.groupBy("id").agg(F.min(F.struct("y", "x")).alias("one")).select("one.*").toPandas()
     x = np.stack(found["x"].to_list()) if len(found) else np.zeros((0, len(FEATURES)))
     y = found["y"].to_numpy(np.float64)
     order = np.lexsort((*x.T, y))  # the order in which rows arrive must not matter
@@ -239,7 +254,8 @@ def judge_quality(docs: DataFrame, trees: Trees, least_score: float = 0.0, id_co
     """id, COUNTS, base_failed, score and kept of every row's whole text.
 
     base_failed: fewer than 10 words, or more than 20 % of the words in repeated 5-word windows; that overrules the trees.
-    A null or empty text has no words and fails. Equal texts get equal verdicts.
+    A null or empty text has no words and fails. Equal texts get equal verdicts; ids may repeat or be null. An empty table gives an empty one. A text of
+    any length is judged whole by one worker.
     """
     slim = docs.select(id_col, F.col(text_col).alias("_text"))
     kind = slim.schema[id_col].dataType.simpleString()
@@ -249,7 +265,9 @@ def judge_quality(docs: DataFrame, trees: Trees, least_score: float = 0.0, id_co
 
 
 def filter_quality(docs: DataFrame, trees: Trees, least_score: float = 0.0, text_col: str = "text") -> DataFrame:
-    """The rows of docs that judge_quality keeps, with their columns."""
+    """The rows of docs that judge_quality keeps, with their columns, whatever they are called: not those with null, empty or short texts. Repeated
+    rows are judged alike; an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(trees)
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_text"))
     kept = rows.mapInArrow(partial(_judge, trees=shared, least_score=least_score, only_kept=True, extra=False), rows.select("_row").schema)
