@@ -28,19 +28,25 @@ def n_words(text_col: str = "text") -> Column:
 
 
 def targets(sources: DataFrame, max_epochs: int = 3) -> DataFrame:
-    """sources(_stratum, weight, source_size) with target double. One row per source; all sources share 100 % of all sizes."""
-    capped = sources.withColumn("_cap", F.col("source_size") * max_epochs).withColumn("_ratio", F.col("_cap") / F.col("weight"))
+    """sources(_stratum, weight, source_size) with target double. One row per source; all sources share 100 % of all sizes.
+
+    A source without a weight above 0 has target 0. Where all others are at their caps, what is left of the budget is not taken.
+    Windows over all sources run in one task, so sources are groups of documents, some thousands of them, and not, say, hosts.
+    """
+    weight = F.col("weight") > 0
+    capped = sources.withColumn("_cap", F.col("source_size") * max_epochs).withColumn("_ratio", F.when(weight, F.col("_cap") / F.when(weight, F.col("weight")).otherwise(1.0)))
     every = Window.partitionBy()
-    rising = Window.orderBy("_ratio", "_stratum")
+    rising = Window.orderBy(F.asc_nulls_last("_ratio"), "_stratum")
     filled = (
         capped.withColumn("_total", F.sum("source_size").over(every))
         .withColumn("_full", F.coalesce(F.sum("_cap").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_open", F.sum("weight").over(rising.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("_level", (F.col("_total") - F.col("_full")) / F.col("_open"))
+        .withColumn("_open", F.sum(F.when(weight, F.col("weight"))).over(rising.rowsBetween(0, Window.unboundedFollowing)))
+        .withColumn("_level", F.when(weight, (F.col("_total") - F.col("_full")) / F.col("_open")))
     )
     level = F.min(F.when(F.col("_ratio") >= F.col("_level"), F.struct("_ratio", "_stratum", "_level"))).over(every)["_level"]
     filled = filled.withColumn("_at", level)
-    target = F.when(F.col("_ratio") <= F.col("_at"), F.col("_cap").cast("double")).otherwise(F.col("weight") * F.col("_at"))
+    full = F.col("_at").isNull() | (F.col("_ratio") <= F.col("_at"))
+    target = F.when(~weight, F.lit(0.0)).when(full, F.col("_cap").cast("double")).otherwise(F.col("weight") * F.col("_at"))
     return filled.select("_stratum", "weight", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
@@ -53,15 +59,17 @@ def mix_counts(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """How often each document is taken: id, _stratum, size, source_size, target, times, taken.
+    """How often each document is taken: id, _stratum, _key, size, source_size, target, times, taken.
 
     weights(source, weight double) defaults to 1, 2, 3, 1, ... by code point of the source, null last. A source
-    that weights lacks gets none. Null or empty texts have size 0 and are not taken, nor is a source of size 0 (target 0).
-    Rows of one id are separate documents; equal rows are interchangeable. An empty table gives an empty one.
+    that weights lacks, or names with null or nothing above 0, has target 0 and is not taken; weights of a source that is named twice are added up. Null or
+    empty texts have size 0 and are not taken, nor is a source of size 0 (target 0).
+    Rows of one id are separate documents; equal rows are interchangeable (their slim keys meet in one task). An empty table gives an empty one. Other
+    columns are not read; texts of any length are only counted and hashed.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     sized = docs.select(
-        F.col(id_col).alias("_id"), stratum(source_col).alias("_stratum"), n_words(text_col).alias("_size"), shuffle_key(seed, id_col).alias("_key")
+        F.col(id_col).alias("_id"), stratum(source_col).alias("_stratum"), n_words(text_col).alias("_size"), shuffle_key(seed, id_col, text_col).alias("_key")
     ).withColumn("_bucket", F.substring("_key", 1, 3))
     sized = scratch.write(sized, "sized")
 
@@ -71,8 +79,8 @@ def mix_counts(
         order = F.row_number().over(Window.orderBy("_stratum"))
         sources = sources.withColumn("weight", ((order - 1) % 3 + 1).cast("double"))
     else:
-        given = weights.select(stratum("source").alias("_stratum"), F.col("weight").cast("double"))
-        sources = sources.join(given, "_stratum", "left").withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(1e-300)))
+        given = weights.groupBy(stratum("source").alias("_stratum")).agg(F.sum(F.col("weight").cast("double")).alias("weight"))
+        sources = sources.join(given, "_stratum", "left").withColumn("weight", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)))
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))).otherwise(0)
     plan = targets(sources, max_epochs).withColumn("_times", whole.cast("long"))
     plan = plan.withColumn("_rest", F.greatest(F.col("target") - F.col("_times") * F.col("source_size"), F.lit(0.0)))
@@ -97,23 +105,20 @@ def mix_counts(
     times = F.when(F.col("_size") > 0, F.least(F.col("_times") + extra.cast("long"), F.lit(max_epochs))).otherwise(0).cast("long")
     out = left.withColumn("times", times)
     return out.select(
-        F.col("_id").alias(id_col), "_stratum", F.col("_size").alias("size"), "source_size", "target", "times", (F.col("times") * F.col("_size")).alias("taken")
+        F.col("_id").alias(id_col), "_stratum", "_key", F.col("_size").alias("size"), "source_size", "target", "times", (F.col("times") * F.col("_size")).alias("taken")
     )
 
 
 def mix_documents(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixture itself: docs, each row as often as it is taken, all columns kept.
+    """The mixture itself: docs, each row as often as it is taken, all columns kept, whatever they are called.
 
-    Where an id has several rows of one source and size, each is taken as often as their k-th count says.
+    Rows of one id, source and text are interchangeable: the k-th of them is taken as often as their k-th count says (they meet in one task). Nulls, weights
+    and empty tables are handled as in mix_counts.
     """
     counts = mix_counts(docs, weights, max_epochs, seed, id_col, text_col, source_col).where("times > 0")
-    plain_id = F.coalesce(F.col(id_col).cast("string"), F.lit("-"))
-    same = ["_id", "_in", "_size"]
-    counts = counts.groupBy(plain_id.alias("_id"), F.col("_stratum").alias("_in"), F.col("size").alias("_size")).agg(
-        F.reverse(F.array_sort(F.collect_list("times"))).alias("_times")
-    )
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), plain_id.alias("_id"), stratum(source_col).alias("_in"), n_words(text_col).alias("_size"), F.xxhash64(text_col).alias("_hash"))
-    nth = F.row_number().over(Window.partitionBy(*same).orderBy("_hash"))
-    rows = rows.withColumn("_nth", nth).join(counts, same)
+    same = ["_in", "_key"]
+    counts = counts.groupBy(F.col("_stratum").alias("_in"), "_key").agg(F.reverse(F.array_sort(F.collect_list("times"))).alias("_times"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), stratum(source_col).alias("_in"), shuffle_key(seed, id_col, text_col).alias("_key"))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*same).orderBy("_key"))).join(counts, same)
     rows = rows.withColumn("_copies", F.when(F.col("_nth") <= F.size("_times"), F.element_at("_times", F.col("_nth"))).otherwise(0))
     return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select("_row.*")

@@ -27,7 +27,7 @@ def _crc_table() -> str:
 _CRC = f"""xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, 2 * octet_length(encode(coalesce(text, '')))), lambda i:
     instr('123456789ABCDEF', substr(hex(encode(coalesce(text, ''))), (i + 1 - 2 * (i % 2) + 1)::int, 1))::bigint)), lambda acc, v: xor(acc >> 4, ({_crc_table()})[(xor(acc, v) & 15) + 1])))"""
 
-SHARDING = f"""with k as (select doc_id, {_STRATUM} as st, octet_length(encode(coalesce(text, ''))) + 1 as size, {_CRC} as crc, md5('0:' || coalesce(doc_id::varchar, '-')) as key from documents),
+SHARDING = f"""with k as (select doc_id, {_STRATUM} as st, octet_length(encode(coalesce(text, ''))) + 1 as size, {_CRC} as crc, md5('0:' || coalesce(doc_id::varchar, '-') || ':' || md5(coalesce(text, ''))) as key from documents),
     f as (select *, (row_number() over (partition by st order by key, crc, size) - 0.5::double) / count(*) over (partition by st) as f from k),
     p as (select *, row_number() over (order by f, key, st, crc, size) - 1 as pos, count(*) over () as n from f)
     select doc_id, size::bigint as size, crc as text_crc32, 'rows' as law, (pos * 16 // n)::int as shard, pos - ((pos * 16 // n) * n + 15) // 16 as slot, null::int as grown_shard from p"""
@@ -36,7 +36,7 @@ LINES = f"""with d as (select doc_id, string_split(coalesce(text, ''), chr(10))
     k as (select *, {_lower(f"trim(line, {_SPACE})")} as key from l), f as (select key from k where length(key) >= 1 group by key having count(distinct doc_id) >= 10)
     select doc_id, count(*) as n_lines, count(f.key) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where f.key is null), '')) as kept_sha256 from k left join f using (key) group by 1"""
 
-MIXING = f"""with d as (select doc_id, {_STRATUM} as st, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as size, md5('0:' || coalesce(doc_id::varchar, '-')) as key from documents),
+MIXING = f"""with d as (select doc_id, {_STRATUM} as st, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as size, md5('0:' || coalesce(doc_id::varchar, '-') || ':' || md5(coalesce(text, ''))) as key from documents),
     s as (select st, sum(size)::double as s, ((row_number() over (order by st) - 1) % 3 + 1)::double as w from d group by 1),
     r as (select *, 3 * s as cap, 3 * s / w as ratio, sum(s) over () as total, coalesce(sum(3 * s) over (order by 3 * s / w, st rows between unbounded preceding and 1 preceding), 0) as full_, sum(w) over (order by 3 * s / w, st rows between current row and unbounded following) as open_ from s),
     v as (select arg_min((total - full_) / open_, ratio) as at_ from r where ratio >= (total - full_) / open_),

@@ -18,9 +18,10 @@ from .common import Scratch, bucket_offsets, stratum
 STRETCHES = 4096
 
 
-def shuffle_key(seed: int, id_col: str) -> Column:
-    """A hexadecimal digest that orders rows; its first three digits deal them to 4096 buckets."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("-"))))
+def shuffle_key(seed: int, id_col: str, text_col: str) -> Column:
+    """A hexadecimal digest of id and text that orders rows; its first three digits deal them to 4096 buckets. Only rows of one id and text share it."""
+    text = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit(":"), text).cast("binary"))
 
 
 def shard_rows(
@@ -29,9 +30,10 @@ def shard_rows(
     """id, size, text_crc32, shard and slot of every row.
 
     size is UTF-8 bytes plus 1 (null text: 1), text_crc32 the CRC of the UTF-8 bytes (null text: that
-    of no bytes, 0). Null sources form one stratum, null ids share a place in the order. Rows
-    that are equal in every respect are interchangeable. An empty table gives an empty one. Columns other
-    than the three named are not read.
+    of no bytes, 0). Null sources form one stratum. Rows of one id and text share a place in the order, and those
+    that are equal in every respect are interchangeable (their slim keys meet in one task). Equal texts of different ids may
+    fall into different shards: the method deals rows of a source evenly and knows no other groups. An empty table gives an empty one. Columns other
+    than the three named are not read; texts of any length are only hashed.
     """
     scratch = Scratch(docs.sparkSession, "sharding")
     keys = docs.select(
@@ -39,7 +41,7 @@ def shard_rows(
         stratum(source_col).alias("_stratum"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("_size"),
         F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).cast("long").alias("_crc"),
-        shuffle_key(seed, id_col).alias("_key"),
+        shuffle_key(seed, id_col, text_col).alias("_key"),
     ).withColumn("_bucket", F.substring("_key", 1, 3))
     keys = scratch.write(keys, "keys")
 
@@ -62,7 +64,7 @@ def shard_rows(
     placed = placed.withColumn("shard", F.expr(f"cast((_pos * {n_shards}) div _total as int)"))
     slot = F.expr(f"_pos - (shard * _total + {n_shards - 1}) div {n_shards}").cast("long")
     return placed.select(
-        F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard", slot.alias("slot"), "_stratum"
+        F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard", slot.alias("slot"), "_stratum", "_key"
     )
 
 
@@ -70,22 +72,13 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, seed: int = 0, id_col:
     """docs with two more columns, shard and slot; columns of those names are replaced.
 
     Long texts are moved once: the order is made from slim keys, and the rows then fetch their places.
-    Rows with the same id, source and text are interchangeable, so the k-th of them takes the k-th place.
+    Rows with the same id, source and text are interchangeable, so the k-th of them takes the k-th place (they meet in one task). Nulls and empty
+    tables are handled as in shard_rows.
     """
     docs = docs.drop("shard", "slot")
-    placed = shard_rows(docs, n_shards, seed, id_col, text_col, source_col)
-    plain_id = F.coalesce(F.col(id_col).cast("string"), F.lit("-"))
-    places = placed.groupBy(plain_id.alias("_id"), "_stratum", F.col("text_crc32").alias("_crc"), F.col("size").alias("_size")).agg(
-        F.array_sort(F.collect_list(F.struct("shard", "slot"))).alias("_places")
-    )
-    same = ["_id", "_stratum", "_crc", "_size"]
-    rows = docs.select(
-        F.struct(*docs.columns).alias("_row"),
-        plain_id.alias("_id"),
-        stratum(source_col).alias("_stratum"),
-        F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).cast("long").alias("_crc"),
-        (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("_size"),
-    )
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*same).orderBy("_size")))
+    same = ["_stratum", "_key"]
+    places = shard_rows(docs, n_shards, seed, id_col, text_col, source_col).groupBy(*same).agg(F.array_sort(F.collect_list(F.struct("shard", "slot"))).alias("_places"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), stratum(source_col).alias("_stratum"), shuffle_key(seed, id_col, text_col).alias("_key"))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*same).orderBy("_key")))
     found = rows.join(places, same).withColumn("_place", F.element_at("_places", F.col("_nth")))
     return found.select("_row.*", F.col("_place.shard").alias("shard"), F.col("_place.slot").alias("slot"))

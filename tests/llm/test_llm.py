@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
@@ -95,6 +96,22 @@ def test_mixing_weights(spark, docs):
     assert out.where("_stratum = '0b' and taken > 0").count() == 0
 
 
+def test_mixing_leaves_what_nobody_may_take(spark):
+    rows = [(i, "w " * 10, "a") for i in range(1)] + [(10 + i, "w " * 10, "b") for i in range(8)] + [(30, "w " * 10, None)]
+    for given, want in (
+        ([("a", 1.0)], {"a": 30.0, "b": 0.0, None: 0.0}),
+        ([("a", 1.0), ("a", 1.0), (None, 2.0)], {"a": 30.0, "b": 0.0, None: 30.0}),
+        ([("a", 1.0), ("b", 1.0), (None, None)], {"a": 30.0, "b": 70.0, None: 0.0}),
+        ([("a", -1.0), ("b", 0.0)], {"a": 0.0, "b": 0.0, None: 0.0}),
+    ):
+        out = mix_counts(frame(spark, rows), spark.createDataFrame(given, "source string, weight double")).collect()
+        assert {r._stratum[1:] if r._stratum[0] == "0" else None: r.target for r in out} == want
+        taken = Counter()
+        for r in out:
+            taken[r._stratum[1:] if r._stratum[0] == "0" else None] += r.taken
+        assert dict(taken) == {s: round(t / 10) * 10 for s, t in want.items()}
+
+
 @pytest.mark.parametrize("limit", [1_000_000, 0])
 def test_line_dedup(docs, empty, limit):
     key = lambda x: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x).translate(ASCII_LOWER)
@@ -225,7 +242,7 @@ def test_decontamination(spark, docs, empty):
                         hit.update(range(s, s + len(win)))
                         names.add(item or "")
         want[i, len(w), len(hit), ",".join(sorted(names)), bool(hit) and 20 * len(hit) >= len(w)] += 1
-    for block in (100_000, 3):  # in one pass over the texts, and in many
+    for block in (100_000, 30):  # in one pass over the texts, and in many
         out = mark_contamination(docs, bench, block_windows=block)
         assert Counter((r.doc_id, r.n_words, r.n_hit, ",".join(r.items), r.contaminated) for r in out.collect()) == want
     clean = decontaminate(docs, bench)
@@ -338,8 +355,9 @@ def test_html_extraction(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
-def test_language_model(docs, empty):
-    out = score_documents(docs, order=2).collect()
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model(docs, empty, order):
+    out = score_documents(docs, order=order).collect()
     lower = lambda t: (t or "").encode().lower()
     train = [t for i, t, _ in ROWS if zlib.crc32(("" if i is None else str(i)).encode()) % 5 != 1]
     c = Counter()
@@ -347,18 +365,18 @@ def test_language_model(docs, empty):
         c.update(lower(t).split())
         c["end"] += 1
     n, v = sum(c.values()), len(c)
-    grams = [defaultdict(Counter) for _ in range(3)]
+    grams = [defaultdict(Counter) for _ in range(order + 1)]
     for t in train:
-        s = [256] * 2 + list(lower(t)) + [256]
-        for j in range(2, len(s)):
-            for k in range(3):
+        s = [256] * order + list(lower(t)) + [256]
+        for j in range(order, len(s)):
+            for k in range(order + 1):
                 grams[k][tuple(s[j - k : j])][s[j]] += 1
 
     def ppm(t):
-        s, total = [256] * 2 + list(lower(t)) + [256], 0.0
-        for j in range(2, len(s)):
+        s, total = [256] * order + list(lower(t)) + [256], 0.0
+        for j in range(order, len(s)):
             gone = set()
-            for k in (2, 1, 0):
+            for k in range(order, -1, -1):
                 seen = grams[k].get(tuple(s[j - k : j]))
                 if not seen:
                     continue
@@ -381,12 +399,13 @@ def test_language_model(docs, empty):
     assert len(out) == len(ROWS)
     for (i, _), x in want.items():
         assert any(r.doc_id == i and (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == x[:4] and r.base_score == pytest.approx(x[4], rel=1e-9) and r.score == pytest.approx(x[5], rel=1e-6) for r in out), i
-    joined = score_documents(docs, order=2, frequent_words=3).collect()  # most words by the join
+    joined = score_documents(docs, order=order, frequent_words=3).collect()  # most words by the join
     key = lambda r: (str(r.doc_id), r.n_tokens)
     assert [r.base_score for r in sorted(joined, key=key)] == pytest.approx([r.base_score for r in sorted(out, key=key)], rel=1e-9)
-    assert score_documents(empty).count() == 0
-    untrained = score_documents(docs, training=F.lit(False), order=2).where("doc_id = 7").first()
-    assert untrained.n_known == 0 and untrained.score == pytest.approx(-8 * math.log10(257))
+    if order == 2:
+        assert score_documents(empty).count() == 0
+        untrained = score_documents(docs, training=F.lit(False), order=2).where("doc_id = 7").first()
+        assert untrained.n_known == 0 and untrained.score == pytest.approx(-8 * math.log10(257))
 
 
 @pytest.mark.parametrize("order", [2, 3])
@@ -435,6 +454,11 @@ def test_quality(spark, docs, empty):
     kept = quality.filter_quality(docs, trees)
     same_schema(kept, docs)
     assert kept.count() == sum(r.kept for r in rows)
+    mixed = labels.union(spark.createDataFrame([(100, 0, None), (100, 1, None)], labels.schema))
+    again = quality.fit_quality(docs, mixed, n_trees=5)  # labels that disagree change nothing
+    assert (again.value == trees.value).all() and (again.feature == trees.feature).all()
+    few = [r["_id"] for r in quality.lowest_digests(spark.range(500).withColumnRenamed("id", "_id"), 20).collect()]
+    assert sorted(few) == sorted(sorted(range(500), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[:20])
     none = quality.fit_quality(docs, labels.limit(0))
     assert quality.judge_quality(docs, none).where("not kept and not base_failed").count() == 0
     assert quality.judge_quality(empty, trees).count() == 0
