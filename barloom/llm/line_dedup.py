@@ -2,12 +2,12 @@
 
 Documents come in batches. A batch becomes a table of (hash of a line's key, number of its documents that
 have the line), merge-anti-joined against the runs: what the runs already hold as frequent needs no more
-counting. The rest is written as a new sorted run of level 0, and whenever a level has `fanout` runs
-they are compacted into one run of the next level, so that n batches leave O(log n) runs. At the end the runs
-are merged once into the frequent lines, which a second scan of the texts drops.
+counting. The rest is written as a new sorted run of level 0, and whenever a level has two runs
+they are compacted into one run of the next level, so that n batches leave O(log n) runs. At the end the runs left
+are compacted into one, whose frequent lines a second scan of the texts drops.
 
-Runs are tables bucketed and sorted by hash, all into the same number of buckets: joins and compactions meet bucket by bucket and
-shuffle nothing, and the joins merge what is sorted already.
+Runs are tables bucketed and sorted by hash, all into the same number of buckets: a batch's anti-joins and the full outer joins that compact are
+merge joins that meet bucket by bucket, and neither shuffle nor sort a run.
 
 A line's key is the line without white space at its ends and with A-Z lower-cased, in UTF-8; its hash has 128 bits.
 """
@@ -84,8 +84,8 @@ def _sorted_scans(spark: SparkSession):
 class LineRuns:
     """The runs: tables (hash, n), bucketed and sorted by hash, in levels. They are tables of the session's catalog with files in the shared folder."""
 
-    def __init__(self, scratch: Scratch, threshold: int, buckets: int = LEAST_BUCKETS, fanout: int = 4):
-        self.scratch, self.threshold, self.buckets, self.fanout = scratch, threshold, buckets, fanout
+    def __init__(self, scratch: Scratch, threshold: int, buckets: int = LEAST_BUCKETS):
+        self.scratch, self.threshold, self.buckets = scratch, threshold, buckets
         self.spark = scratch.spark
         self.levels: list[list[str]] = []
 
@@ -99,11 +99,9 @@ class LineRuns:
             new = new.join(run.where(F.col("n") >= self.threshold).select("hash").hint("merge"), "hash", "left_anti")
         return new
 
-    def merged(self, runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for run in runs[1:]:
-            out = out.unionByName(run)
-        return out.groupBy("hash").agg(F.sum("n").alias("n"))
+    def merged(self, a: str, b: str) -> DataFrame:
+        other = self.spark.table(b).withColumnRenamed("n", "m").hint("merge")
+        return self.spark.table(a).join(other, "hash", "full").select("hash", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
 
     def _write(self, df: DataFrame, level: int) -> None:
         if level == len(self.levels):
@@ -117,19 +115,28 @@ class LineRuns:
         """batch: (hash, n). What one of the runs has as frequent is settled and dropped; the rest is added."""
         self._write(self.unsettled(batch), 0)
         level = 0
-        while len(self.levels[level]) >= self.fanout:
-            full, self.levels[level] = self.levels[level], []
-            self._write(self.merged([self.spark.table(name) for name in full]), level + 1)
-            self._drop(full)
+        while len(self.levels[level]) == 2:
+            self._compact(level, level + 1)
             level += 1
 
+    def _compact(self, level: int, to: int) -> None:
+        pair, self.levels[level] = self.levels[level], []
+        self._write(self.merged(*pair), to)
+        self._drop(pair)
+
     def _drop(self, names: list[str]) -> None:
         for name in names:
             self.spark.sql(f"drop table {name}")
             self.scratch.delete(name)
 
     def frequent(self) -> DataFrame:
-        return self.merged(self.runs()).where(F.col("n") >= self.threshold).select("hash")
+        """The hashes that are frequent; compacts the runs into one."""
+        for level in range(len(self.levels) - 1):
+            self.levels[level + 1] += self.levels[level]
+            self.levels[level] = []
+            if len(self.levels[level + 1]) == 2:
+                self._compact(level + 1, level + 1)
+        return self.spark.table(self.levels[-1][0]).where(F.col("n") >= self.threshold).select("hash")
 
     def clear(self) -> None:
         for level in self.levels:

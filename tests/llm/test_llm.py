@@ -127,6 +127,29 @@ def test_line_dedup(docs, empty, limit):
         assert drop_frequent_lines(empty, n_batches=2).count() == 0
 
 
+def test_line_runs(spark):
+    """Counts over many batches and levels, and joins that shuffle the batch alone."""
+    from barloom.llm.common import Scratch
+    from barloom.llm.line_dedup import LineRuns, _sorted_scans
+
+    r = random.Random(2)
+    batches = [[(bytes([r.randrange(40), r.randrange(40)]), r.randrange(1, 4)) for _ in range(700)] for _ in range(7)]
+    runs, total = LineRuns(Scratch(spark, "runs"), 12), Counter()
+    for b in batches:
+        runs.add(spark.createDataFrame(b, "hash binary, n long"))
+        for h, n in b:
+            total[h] += n
+    assert [len(level) for level in runs.levels] == [1, 1, 1]
+    with _sorted_scans(spark):
+        plan = runs.unsettled(spark.createDataFrame(batches[0], "hash binary, n long"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+    with _sorted_scans(spark):
+        plan = runs.merged(runs.levels[0][0], runs.levels[1][0])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and "Exchange" not in plan and "Sort [" not in plan
+    assert {bytes(x.hash) for x in runs.frequent().collect()} == {h for h, n in total.items() if n >= 12}
+    runs.clear()
+
+
 def test_token_counts(docs, empty):
     P = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
