@@ -156,13 +156,14 @@ def run_metrics(run: DataFrame, t: DataFrame, periods: float = 252) -> DataFrame
     return out.join(won, "symbol", "left").na.fill(0, ["win_rate", "num_trades", "avg_trade_return"])
 
 
-def pair_backtest(signals: DataFrame, capital: float = CAPITAL, risk: float = 0.02) -> DataFrame:
+def pair_backtest(signals: DataFrame, capital: float = CAPITAL, risk: float | Column = 0.02) -> DataFrame:
     """Round trips of a pair rule: size from the capital, the first leg's variance and the legs' correlation; profit on the first leg at the exit.
 
     signals: a, b, signal, is_exit, var_a, corr_ab of one or more pairs.
     """
     marked = signals.where((F.col("signal") != 0) | F.col("is_exit"))
-    size = F.lit(capital * risk) / (F.sqrt("var_a") * 10 + 1) * F.abs("corr_ab") / F.col("a")
+    budget = F.lit(capital) * risk
+    size = budget / (F.sqrt("var_a") * 10 + 1) * F.abs("corr_ab") / F.col("a")
     marked = marked.withColumns({"_size": size, "_exit": F.lead("a").over(win.spec()), "_exit_ts": F.lead("ts").over(win.spec()), "_closes": F.lead("is_exit").over(win.spec())})
     done = marked.where((F.col("signal") != 0) & F.col("_closes"))
     pnl = (F.col("_exit") - F.col("a")) * F.col("_size") * F.col("signal")

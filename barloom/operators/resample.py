@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rng
+from ..sources.shared import written
 
 METHODS = ("iid", "block", "circular", "stationary", "wild")
 
@@ -53,6 +54,11 @@ def resample(series: DataFrame, n_sims: int, method: str = "iid", block: int = 2
     return picked.select("series", "sim", "t", value.alias("ret"))
 
 
+def shared(df: DataFrame, name: str) -> DataFrame:
+    """A table that an analysis reads several times, written once to the shared folder."""
+    return written(df, name)
+
+
 def permute(series: DataFrame, n_sims: int, block: int = 1, seed: int = 0) -> DataFrame:
     """Samples without replacement: the series in a drawn order, of single values or of whole blocks that do not overlap."""
     sims = series.sparkSession.range(n_sims).withColumnRenamed("id", "sim")
@@ -68,27 +74,44 @@ def wasserstein(series: DataFrame, samples: DataFrame) -> DataFrame:
     return b.join(a, ["series", "k"]).groupBy("series", "sim").agg(F.avg(F.abs(F.col("x") - F.col("y"))).alias("distance"))
 
 
-def _mmd(x: np.ndarray, y: np.ndarray, block: int = 1024) -> float:
-    n, m = len(x), len(y)
-    upper = np.square(np.subtract.outer(x, x))[np.triu_indices(n, 1)]
-    s2 = np.median(upper) / (2 * np.log(n)) if n > 1 else 1.0
-    s2 = s2 if s2 > 1e-9 else 1.0
+class _Kernel:
+    """The part of the kernel distance that a series has with itself: the kernel's width, and the sum over its pairs."""
+
+    def __init__(self, x: np.ndarray, block: int = 1024):
+        self.x, self.block, n = x, block, len(x)
+        self.s2 = float(np.median(np.square(np.subtract.outer(x, x))[np.triu_indices(n, 1)])) / (2 * np.log(n)) if n > 1 else 1.0
+        self.s2 = self.s2 if self.s2 > 1e-9 else 1.0
+        self.own = self.total(x, x)
 
-    def total(a: np.ndarray, b: np.ndarray) -> float:
-        return sum(float(np.exp(-np.square(np.subtract.outer(a[i : i + block], b)) / (2 * s2)).sum()) for i in range(0, len(a), block))
+    def total(self, a: np.ndarray, b: np.ndarray) -> float:
+        return sum(float(np.exp(-np.square(np.subtract.outer(a[i : i + self.block], b)) / (2 * self.s2)).sum()) for i in range(0, len(a), self.block))
 
-    value = (total(x, x) - n) / (n * (n - 1)) + (total(y, y) - m) / (m * (m - 1)) - 2 * total(x, y) / (n * m)
-    return float(np.sqrt(max(0.0, value)))
+    def distance(self, y: np.ndarray) -> float:
+        n, k = len(self.x), len(y)
+        if n < 2 or k < 2:
+            return 0.0
+        value = (self.own - n) / (n * (n - 1)) + (self.total(y, y) - k) / (k * (k - 1)) - 2 * self.total(self.x, y) / (n * k)
+        return float(np.sqrt(max(0.0, value)))
 
 
 def mmd(series: DataFrame, samples: DataFrame) -> DataFrame:
-    """(series, sim, mmd) with a Gaussian kernel whose width comes from the series; quadratic in its length, one path at a time."""
-    original = series.groupBy("series").agg(F.array_sort(F.collect_list("ret")).alias("x"))
-    paths = samples.groupBy("series", "sim").agg(F.collect_list("ret").alias("y")).join(original, "series")
+    """(series, sim, mmd) with a Gaussian kernel whose width comes from the series. Quadratic in its length, in blocks, one path at a time; what a series
+    has with itself is found once a task. Paths are dealt over the cluster, and each carries its own values only.
+    """
+    spark = series.sparkSession
+    originals = {r.series: np.sort(np.array(r.x)) for r in series.groupBy("series").agg(F.collect_list("ret").alias("x")).collect()}  # the series, which are few and short beside their paths
+    held = spark.sparkContext.broadcast(originals)
+    paths = samples.groupBy("series", "sim").agg(F.collect_list("ret").alias("y"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kernels: dict[str, _Kernel] = {}
         for f in frames:
-            yield pd.DataFrame({"series": f["series"], "sim": f["sim"], "mmd": [_mmd(np.asarray(x), np.asarray(y)) for x, y in zip(f["x"], f["y"])]})
+            out = []
+            for name, y in zip(f["series"], f["y"]):
+                if name not in kernels:
+                    kernels[name] = _Kernel(held.value[name])
+                out.append(kernels[name].distance(np.asarray(y)))
+            yield pd.DataFrame({"series": f["series"], "sim": f["sim"], "mmd": out})
 
     return paths.mapInPandas(run, "series string, sim long, mmd double")
 

@@ -252,17 +252,26 @@ RULES: dict[str, Callable[..., DataFrame]] = {
     )
 }
 
-#: Lowest and highest sensible value of each rule's parameters.
+#: Lowest and highest sensible value of each rule's parameters. Fixed values; the names are those of the rules here.
 BOUNDS: dict[str, dict[str, tuple[float, float]]] = {
-    "momentum": {"lookback": (5, 60), "threshold": (0.005, 0.1)},
+    "momentum": {"lookback": (5, 50), "threshold": (0.005, 0.1)},
+    "volume_momentum": {"lookback": (10, 50), "volume_window": (5, 20), "threshold": (0.01, 0.08), "ratio": (1.1, 2.0)},
+    "risk_adjusted_momentum": {"lookback": (10, 50), "vol_window": (15, 60), "threshold": (0.01, 0.08), "target": (0.05, 0.3)},
+    "dual_momentum": {"absolute": (6, 24), "relative": (3, 12)},
+    "cross_sectional_momentum": {"lookback": (10, 60), "n_long": (1, 5), "n_short": (1, 5), "every": (1, 20)},
+    "bollinger_rsi": {"n": (10, 50), "k": (1.5, 3.0), "rsi_window": (10, 20), "low": (20, 35), "high": (65, 80)},
     "statistical_arbitrage": {"n": (30, 120), "entry": (1.5, 3.0), "leave": (0.2, 1.0), "stop": (2.5, 4.0)},
     "pairs": {"formation": (40, 100), "refresh": (10, 40), "entry": (1.5, 3.0), "leave": (0.2, 1.0)},
-    "simple_pairs": {"n": (11, 61), "entry": (1.0, 3.0), "leave": (0.1, 1.0)},
-    "crossover": {"short": (5, 20), "long": (20, 60)},
+    "ornstein_uhlenbeck": {"n": (50, 200), "refresh": (10, 50)},
     "mean_reversion": {"n": (10, 60), "width": (0.005, 0.05)},
-    "bollinger_rsi": {"n": (10, 50), "k": (1.0, 3.0), "rsi_window": (7, 30)},
-    "donchian": {"entry": (10, 50), "leave": (5, 25)},
-    "volatility_breakout": {"n": (10, 60), "k": (1.0, 4.0)},
+    "crossover": {"short": (5, 20), "long": (20, 50)},
+    "triple_average": {"a": (3, 10), "b": (15, 30), "c": (40, 80)},
+    "breakout": {"n": (10, 40), "width": (0.01, 0.05), "volume": (1.2, 2.5)},
+    "donchian": {"entry": (15, 40), "leave": (5, 20)},
+    "trend_filter": {"short": (5, 20), "long": (30, 80), "adx": (20, 35), "high": (65, 80), "low": (20, 35)},
+    "simple_pairs": {"n": (10, 60), "entry": (1.0, 3.0), "leave": (0.1, 1.0)},
+    "trend_following": {"short": (5, 20), "long": (20, 50)},
+    "volatility_breakout": {"n": (10, 40), "k": (1.5, 3.0)},
 }
 
 

@@ -240,7 +240,7 @@ def _(spark, sf):
     return keep_first(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type", r(F.col("value")).alias("value"))
 
 
-@query("rsh02_03_forward_fill", sql.bars("h", "hrs as (select unnest(generate_series(timestamp '2024-01-01', timestamp '2024-01-03', interval 1 hour)) as ts), g as (select symbol, ts from (select distinct symbol from bars), hrs), f as (select g.symbol, g.ts, b.close from g left join bars b using (symbol, ts))")
+@query("rsh02_03_forward_fill", sql.bars("h", "g as (select symbol, unnest(generate_series(min(ts), max(ts), interval 1 hour)) as ts from bars group by symbol), f as (select g.symbol, g.ts, b.close from g left join bars b using (symbol, ts))")
     + "select symbol, ts, round(last_value(close ignore nulls) over (partition by symbol order by ts rows unbounded preceding), 6) as filled, round(coalesce(close, 0), 6) as zeroed from f")
 def _(spark, sf):
     bars = hourly(spark, sf)

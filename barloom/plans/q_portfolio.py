@@ -19,6 +19,7 @@ from . import sql
 from .q_metrics import rd
 from .q_signals import lagged
 from .q_windows import damped_hourly, damped_weekly, hourly, r, rounded, weekly
+from ..sources.shared import written
 from .registry import query
 
 WEIGHTS = {"equal": {"A": 1 / 3, "N": 1 / 3, "R": 1 / 3}, "tilted": {"A": 0.5, "N": 0.3, "R": 0.2}}
@@ -95,11 +96,17 @@ def _(spark, sf):
     return rounded(pf.rebalancing(rets(spark, sf), weights(spark), 21), ["portfolio", "ts"], ["value"], 8)
 
 
-@query("ptf09_joi06_turnover", "select 'x' as portfolio, 0.35::double as turnover")
+_DRIFT = "dw as (select portfolio, symbol, w * product(1 + ret) as g from r join wt using (symbol) where ret is not null group by portfolio, symbol, w), dn as (select portfolio, symbol, g / sum(g) over (partition by portfolio) as w from dw where symbol <> 'R')"
+
+
+@query("ptf09_joi06_turnover", sql.bars("y", WSQL + ", " + _DRIFT) + "select portfolio, round(sum(abs(coalesce(dn.w, 0) - wt.w)) / 2, 6) as turnover from wt left join dn using (portfolio, symbol) group by 1")
 def _(spark, sf):
-    old = spark.createDataFrame([("x", "A", 0.5), ("x", "N", 0.5)], "portfolio string, symbol string, w double")
-    new = spark.createDataFrame([("x", "A", 0.4), ("x", "N", 0.25), ("x", "R", 0.35)], "portfolio string, symbol string, w double")
-    return rd(pf.turnover(old, new), ["portfolio"])
+    """From weights to those that the returns have made of them, with one symbol sold."""
+    w = weights(spark)
+    grown = rets(spark, sf).where("ret is not null").groupBy("symbol").agg(F.product(F.col("ret") + 1).alias("g"))
+    new = w.join(grown, "symbol").where("symbol <> 'R'").select("portfolio", "symbol", (F.col("w") * F.col("g")).alias("g"))
+    new = new.select("portfolio", "symbol", (F.col("g") / F.sum("g").over(win.Window.partitionBy("portfolio"))).alias("w"))
+    return rd(pf.turnover(w, new), ["portfolio"])
 
 
 _POS = "ps as (select l_returnflag as symbol, sum(l_quantity) as units, avg(l_extendedprice / l_quantity) as entry_price from lineitem group by 1), px as (select symbol, arg_max(close, ts) as price from r where symbol <> 'R' group by 1)"
@@ -146,24 +153,24 @@ def _outcome_sql(source: str, keys: str = "portfolio", value: str = "total") ->
 
 
 _MCOUT = "select portfolio, round(avg(total), 6) as mean, round(max(p05), 6) as p05, round(max(p50), 6) as p50, round(max(p95), 6) as p95, round(avg((total < 0)::double), 6) as p_loss, round(avg(total) filter (where total <= p05), 6) as expected_shortfall from mc join oq using (portfolio) group by 1"
-_SIZE = "z as (select portfolio, avg(ret) as mu, stddev_samp(ret) as sd, count(*) as n from pr group by 1), sg as (select portfolio, mu, sd, n, sim, t from z, (select unnest(range(300)) as sim), (select unnest(range(52)) as t))"
+_SIZE = "z as (select portfolio, avg(ret) as mu, stddev_samp(ret) as sd, count(*) as n from pr group by 1), sg as (select portfolio, mu, sd, n, sim, t from z, (select unnest(range(10000)) as sim), (select unnest(range(252)) as t))"
 
 
-@query("scn02_agg11_monte_carlo_parametric", sql.bars("y", PSQL + ", " + _SIZE + f", mc as (select portfolio, sim, product(1 + mu + sd * {rng.normal_sql('sim', 't', 19)}) - 1 as total from sg group by 1, 2), " + _outcome_sql("mc")) + _MCOUT)
+@query("scn02_monte_carlo_parametric", sql.bars("y", PSQL + ", " + _SIZE + f", mc as (select portfolio, sim, product(1 + mu + sd * {rng.normal_sql('sim', 't', 19)}) - 1 as total from sg group by 1, 2), " + _outcome_sql("mc")) + _MCOUT)
 def _(spark, sf):
-    return rd(sc.outcomes(sc.monte_carlo(prets(spark, sf), 300, 52, "parametric", 19)), ["portfolio"])
+    return rd(sc.outcomes(sc.monte_carlo(prets(spark, sf), 10_000, 252, "parametric", 19)), ["portfolio"])
 
 
 @query("scn02_monte_carlo_bootstrap", sql.bars("y", PSQL + ", " + _SIZE + f", hk as (select portfolio, row_number() over (partition by portfolio order by ts) - 1 as k, ret from pr), mc as (select sg.portfolio, sim, product(1 + ret) - 1 as total from (select *, {rng.draw_sql('sim', 't', 19)} % n as k from sg) sg join hk on hk.portfolio = sg.portfolio and hk.k = sg.k group by 1, 2), " + _outcome_sql("mc")) + _MCOUT)
 def _(spark, sf):
-    return rd(sc.outcomes(sc.monte_carlo(prets(spark, sf), 300, 52, "bootstrap", 19)), ["portfolio"])
+    return rd(sc.outcomes(sc.monte_carlo(prets(spark, sf), 10_000, 252, "bootstrap", 19)), ["portfolio"])
 
 
-@query("scn03_stress_paths", sql.bars("y", PSQL + f""", z as (select portfolio, count(*) as n from pr group by 1), hk as (select portfolio, row_number() over (partition by portfolio order by ts) - 1 as k, ret from pr), sg as (select portfolio, sim, t, {rng.draw_sql('sim', 't', 23)} % n as k, {rng.uniform_sql('sim', 't', 24)} * (1 - 0.7::double) + 0.7::double as scale from z, (select unnest(range(200)) as sim), (select unnest(range(30)) as t)),
+@query("scn03_stress_paths", sql.bars("y", PSQL + f""", z as (select portfolio, count(*) as n from pr group by 1), hk as (select portfolio, row_number() over (partition by portfolio order by ts) - 1 as k, ret from pr), sg as (select portfolio, sim, t, {rng.draw_sql('sim', 't', 23)} % n as k, {rng.uniform_sql('sim', 't', 24)} * (1 - 0.7::double) + 0.7::double as scale from z, (select unnest(range(1000)) as sim), (select unnest(range(30)) as t)),
     pa as (select sg.portfolio, sim, t, ret * scale + case when t < 10 then -0.3::double / 10 else 0.3::double / 2 / 20 end as ret from sg join hk on hk.portfolio = sg.portfolio and hk.k = sg.k), pb as (select *, product(1 + ret) over (partition by portfolio, sim order by t rows unbounded preceding) as eq from pa), pc as (select *, eq / max(eq) over (partition by portfolio, sim order by t rows unbounded preceding) - 1 as dd from pb)""")
     + "select portfolio, sim, round(product(1 + ret) - 1, 6) as total, round(min(dd), 6) as max_drawdown from pc group by 1, 2")
 def _(spark, sf):
-    return rd(sc.stress_paths(prets(spark, sf), 200, -0.3, 10, 20, 0.7, 23), ["portfolio", "sim"])
+    return rd(sc.stress_paths(prets(spark, sf), 1000, -0.3, 10, 20, 0.7, 23), ["portfolio", "sim"])
 
 
 _CHANGES = [("more_a", "A", 0.1), ("no_n", "N", -1.0), ("more_r", "R", 0.25)]
@@ -199,13 +206,6 @@ def _(spark, sf):
     return rd(sc.path_rules(prets(spark, sf), 37), ["rule", "portfolio"])
 
 
-@query("agg31_risk_report")
-def _(spark, sf):
-    tails = m.tail_mean(prets(spark, sf), [0.95, 0.99], ["portfolio"]).select("portfolio", F.concat(F.lit("tail_"), (F.col("level") * 100).cast("int").cast("string")).alias("section"), F.col("var").alias("a"), F.col("cvar").alias("b"))
-    rules = sc.path_rules(prets(spark, sf), 37).select("portfolio", F.concat(F.lit("stress_"), "rule").alias("section"), F.col("total").alias("a"), F.col("volatility").alias("b"))
-    return rd(tails.unionByName(rules), ["portfolio", "section"])
-
-
 # Parameter search: momentum over a grid of lookbacks and thresholds, all candidates in one plan.
 _LOOK, _THR = [5, 10, 20], [0.005, 0.01, 0.02]
 
@@ -261,21 +261,26 @@ def _(spark, sf):
     return out.select("params_id", r(F.col("threshold"), 8).alias("threshold"), r(F.col("rate"), 8).alias("rate"), "lookback", "kind")
 
 
-_FOLDS = "fo as (select unnest(range(9)) as fold), fb as (select fold, 126 + fold * 63 as a from fo), inf as (select sv.*, fold, case when t >= a and t < a + 252 then 'train' when t >= a + 252 and t < a + 315 then 'test' end as part from sv join fb on t >= a and t < a + 315 where a + 315 <= 670)"
+_FOLDS = "fo as (select unnest(range(100000)) as fold), nb as (select symbol, max(t) + 1 as n from sv group by 1), fb as (select symbol, fold, 126 + fold * 63 as a from nb, fo where 126 + fold * 63 + 252 < n), inf as (select sv.*, fold, case when t < a + 252 then 'train' else 'test' end as part from sv join fb on sv.symbol = fb.symbol and t >= a and t < a + 315)"
+WALK_SQL = _LONG + ", " + _FOLDS + """, ps as (select symbol, fold, params_id, lookback, threshold, avg(sr) filter (where part = 'train') / nullif(stddev_samp(sr) filter (where part = 'train'), 0) * sqrt(252) as score, avg(sr) filter (where part = 'test') / nullif(stddev_samp(sr) filter (where part = 'test'), 0) * sqrt(252) as oos from inf group by 1, 2, 3, 4, 5)"""
 
 
-@query("opt05_walk_forward", sql.bars("x", _LONG + ", " + _FOLDS + """, ps as (select symbol, fold, params_id, lookback, threshold, avg(sr) filter (where part = 'train') / nullif(stddev_samp(sr) filter (where part = 'train'), 0) * sqrt(252) as score, avg(sr) filter (where part = 'test') / nullif(stddev_samp(sr) filter (where part = 'test'), 0) * sqrt(252) as oos from inf group by 1, 2, 3, 4, 5)""")
-    + "select symbol, fold::int as fold, params_id, round(score, 6) as train_score, round(oos, 6) as test_score from ps qualify row_number() over (partition by symbol, fold order by score desc, params_id) = 1")
-def _(spark, sf):
+def walk_forward(spark, sf):
+    """The best candidate of every symbol and fold, with its score in the fold's training and test bars."""
     inside = opt.in_folds(scored(damped_hourly(spark, sf), grid_of(spark)))
     part = lambda p: F.when(F.col("part") == p, F.col("sr"))
     s = inside.groupBy("symbol", "fold", "params_id", "lookback", "threshold").agg(m.sharpe(part("train")).alias("score"), m.sharpe(part("test")).alias("oos"))
-    return opt.best(s, ["symbol", "fold"]).select("symbol", "fold", "params_id", r(F.col("score")).alias("train_score"), r(F.col("oos")).alias("test_score"))
+    return opt.best(s, ["symbol", "fold"])
+
+
+@query("opt05_walk_forward", sql.bars("x", WALK_SQL) + "select symbol, fold::int as fold, params_id, round(score, 6) as train_score, round(oos, 6) as test_score from ps qualify row_number() over (partition by symbol, fold order by score desc, params_id) = 1")
+def _(spark, sf):
+    return walk_forward(spark, sf).select("symbol", "fold", "params_id", r(F.col("score")).alias("train_score"), r(F.col("oos")).alias("test_score"))
 
 
 @query("opt03_bayesian_search")
 def _(spark, sf):
-    bars = damped_hourly(spark, sf).cache()
+    bars = written(damped_hourly(spark, sf), "search-bars")
 
     def evaluate(points):
         rows = [(k, int(round(x[0])), float(x[1])) for k, x in enumerate(points)]
@@ -285,7 +290,6 @@ def _(spark, sf):
         return [by.get(k) if by.get(k) is not None else float("-inf") for k in range(len(points))]
 
     history = bayes.search(evaluate, [(3, 40), (0.002, 0.05)], rounds=3, batch=4, seed=3)
-    bars.unpersist()
     return spark.createDataFrame([(k, int(round(x[0])), float(x[1]), float(s)) for k, (x, s) in enumerate(history)], "step int, lookback int, threshold double, score double")
 
 

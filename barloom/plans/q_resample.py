@@ -14,8 +14,9 @@ from .q_metrics import rd
 from .q_windows import damped_weekly, r
 from .registry import query
 
-N = 100  # paths of each query
-LONG = 1000
+N = LONG = 1000  # paths of each query
+KERNEL = 100  # paths whose kernel distance SQL can find in time; bst08_full_analysis takes LONG
+FLIPS = 10_000
 
 SERIES = "s as (select symbol as series, row_number() over (partition by symbol order by ts) - 1 as t, ret from r where ret is not null), z as (select series, count(*) as n, avg(ret) as mu from s group by 1)"
 
@@ -76,11 +77,6 @@ def _(spark, sf):
     return rd(rs.intervals(path_stats(paths(spark, sf, "block")), _METRICS), ["series", "metric"])
 
 
-@query("bst08_full_simulation_1000_paths")
-def _(spark, sf):
-    return rd(rs.intervals(path_stats(paths(spark, sf, "block", LONG)), _METRICS), ["series", "metric"])
-
-
 @query("viz01_02_equity_fan", sql.bars("y", samples("iid") + ", " + _stats_sql()) + f"select series, t, {', '.join(f'round(quantile_cont(eq, {q}), 6) as q{int(q * 100):02d}' for q in (0.05, 0.25, 0.5, 0.75, 0.95))}, round(quantile_cont(dd, 0.5), 6) as median_drawdown from pd group by 1, 2")
 def _(spark, sf):
     p = m.with_path(paths(spark, sf, "iid"), ("series", "sim"), "t")
@@ -108,18 +104,18 @@ _MMD = """d as (select u.series, median(pow(u.ret - v.ret, 2)) / (2 * ln(max(n))
     xy as (select u.series, v.sim, sum(exp(-pow(u.ret - v.ret, 2) / (2 * s2))) as v from s u join p v on u.series = v.series join d on d.series = u.series group by 1, 2)"""
 
 
-@query("dst02_mmd", sql.bars("y", samples("iid", 5) + ", " + _MMD) + "select yy.series, yy.sim, round(sqrt(greatest(0, (xx.v - n) / (n * (n - 1)) + (yy.v - n) / (n * (n - 1)) - 2 * xy.v / (n * n))), 6) as mmd from yy join xx using (series) join xy using (series, sim) join z using (series)")
+@query("dst02_mmd", sql.bars("y", samples("iid", KERNEL) + ", " + _MMD) + "select yy.series, yy.sim, round(sqrt(greatest(0, (xx.v - n) / (n * (n - 1)) + (yy.v - n) / (n * (n - 1)) - 2 * xy.v / (n * n))), 6) as mmd from yy join xx using (series) join xy using (series, sim) join z using (series)")
 def _(spark, sf):
-    return rd(rs.mmd(series(spark, sf), paths(spark, sf, "iid", 5)), ["series", "sim"])
+    return rd(rs.mmd(series(spark, sf), paths(spark, sf, "iid", KERNEL)), ["series", "sim"])
 
 
 _FLIPS = f"""sg as (select series, count(*) filter (where ret > 0) as positive, count(*) as m from s where ret <> 0 group by 1), fl as (select series, sim, positive, m, sum({rng.draw_sql('sim', 't', 11)} % 2) as heads
-    from sg, (select unnest(range(200)) as sim), (select unnest(range(2000)) as t) where t < m group by 1, 2, 3, 4)"""
+    from sg, (select unnest(range({FLIPS})) as sim), (select unnest(range(2000)) as t) where t < m group by 1, 2, 3, 4)"""
 
 
 @query("prm01_sign_permutation", sql.bars("y", SERIES + ", " + _FLIPS) + "select series, positive, m, round((count(*) filter (where heads >= positive) + 1) / (count(*) + 1), 6) as p_greater, round((count(*) filter (where heads <= positive) + 1) / (count(*) + 1), 6) as p_less, round((count(*) filter (where abs(heads - m / 2) >= abs(positive - m / 2)) + 1) / (count(*) + 1), 6) as p_two_sided from fl group by 1, 2, 3")
 def _(spark, sf):
-    return rd(rs.sign_permutation(series(spark, sf), 200, 11), ["series", "positive", "m"])
+    return rd(rs.sign_permutation(series(spark, sf), FLIPS, 11), ["series", "positive", "m"])
 
 
 for _block in (1, 20):
@@ -233,7 +229,7 @@ def _(spark, sf):
     return rd(ts.mann_whitney_two_sample(h, "part", "in", "out", keys=["series"]), ["series"])
 
 
-@query("tst16_17_edge_scores", sql.bars("y", samples("block") + ", " + _stats_sql() + ", " + _OWN + ", ps as (select series, avg((total_return > 0)::double) as pp, avg((sharpe <= 0)::double) as pv from st group by 1), wr as (select series, avg((ret > 0)::double) as wr from s group by 1), e as (select series, (pv < 0.05)::int * 3 + (sharpe > 1)::int * 2 + (wr > 0.55)::int * 2 + (pp > 0.7)::int * 2 + (max_drawdown > -0.2)::int as sc from ow join ps using (series) join wr using (series))")
+@query("tst16_edge_score_10", sql.bars("y", samples("block") + ", " + _stats_sql() + ", " + _OWN + ", ps as (select series, avg((total_return > 0)::double) as pp, avg((sharpe <= 0)::double) as pv from st group by 1), wr as (select series, avg((ret > 0)::double) as wr from s group by 1), e as (select series, (pv < 0.05)::int * 3 + (sharpe > 1)::int * 2 + (wr > 0.55)::int * 2 + (pp > 0.7)::int * 2 + (max_drawdown > -0.2)::int as sc from ow join ps using (series) join wr using (series))")
     + "select series, sc as edge_score, case when sc >= 8 then 'strong' when sc >= 6 then 'moderate' when sc >= 4 then 'weak' else 'none' end as band from e")
 def _(spark, sf):
     own = path_stats(series(spark, sf).withColumn("sim", F.lit(0).cast("long")))

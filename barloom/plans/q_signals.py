@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import windows as win
 from ..operators import backtest as bt
+from ..operators import indicators as ind
 from ..operators import metrics as m
 from ..operators import signals as sig
 from . import sql
@@ -146,10 +147,22 @@ def _(spark, sf):
     return sig.composite_pair(pair(spark, sf), entry=1.5).select("ts", "position", "signal")
 
 
-@query("sig22_look_ahead_validator", "select 'none' as symbol, 0::bigint as violations where false")
+def peeking(bars):
+    """A rule that looks ahead on purpose: it knows the next close."""
+    after = F.lead("close").over(win.spec())
+    return ind.with_returns(bars).withColumn("signal", F.when(after > F.col("close"), 1).when(after < F.col("close"), -1).otherwise(0))
+
+
+@query("sig22_look_ahead_validator", sql.bars("h", "pk as (select symbol, t, case when lead(close) over w > close then 1 when lead(close) over w < close then -1 else 0 end as sig from r window w as (partition by symbol order by ts))") + "select rule, symbol, case rule when 'peeking' then count(*) filter (where sig <> 0) else 0 end as violations from pk, (select unnest(['momentum', 'bollinger_rsi', 'peeking']) as rule) where t in (25, 60, 200) group by 1, 2")
 def _(spark, sf):
-    found = sig.look_ahead_violations(hourly(spark, sf), sig.momentum, [25, 60, 200]).unionByName(sig.look_ahead_violations(hourly(spark, sf), sig.bollinger_rsi, [25, 60, 200]))
-    return found.groupBy("symbol").agg(F.count("*").alias("violations"))
+    """Rules without and with a look ahead, cut at three bars. SQL states that the last bar of a cut has no signal of the rule that peeks, and all bars those of the others."""
+    bars, at = hourly(spark, sf), [25, 60, 200]
+    out = None
+    for rule in (sig.momentum, sig.bollinger_rsi, peeking):
+        found = sig.look_ahead_violations(bars, rule, at).groupBy("symbol").agg(F.count("*").alias("violations"))
+        part = bars.select("symbol").distinct().join(found, "symbol", "left").select(F.lit(rule.__name__).alias("rule"), "symbol", F.coalesce("violations", F.lit(0)).cast("long").alias("violations"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 _SIG1 = f"sg as (select *, {case(f'{MOM20} > 0.02', f'{MOM20} < -0.02')} as signal from r)"
@@ -228,8 +241,11 @@ def _(spark, sf):
     return t.groupBy("symbol", "month").agg(F.count("*").alias("trades"), r(F.sum("pnl"), 4).alias("total_pnl"), r(F.avg((F.col("pnl") > 0).cast("double"))).alias("win_rate"))
 
 
-@query("trd04_backtest_metrics", sql.bars("x", _ALGEBRA + f""", q0 as (select d3.symbol, d3.ts, c * case d3.dir when 1 then 1 - (0.95 / 1.0011) * 1.0011 + (0.95 / 1.0011) * close / d3.entry when -1 then 1 - 0.0011 * (0.95 / 1.0011) + (0.95 / 1.0011) - (0.95 / 1.0011) * close / d3.entry else 1 end as equity from d3 join e2 using (symbol, epoch)),
-    q1 as (select *, equity / {lagged('equity', 1)} - 1 as er, equity / max(equity) {sql.over('u')} - 1 as dd from q0), w as (select symbol, avg((pnl > 0)::double) as win_rate, count(*) as num_trades, avg(pnl / abs(size * entry)) as atr from tp group by 1)""")
+_EQUITY = f"""q0 as (select d3.symbol, d3.ts, c * case d3.dir when 1 then 1 - (0.95 / 1.0011) * 1.0011 + (0.95 / 1.0011) * close / d3.entry when -1 then 1 - 0.0011 * (0.95 / 1.0011) + (0.95 / 1.0011) - (0.95 / 1.0011) * close / d3.entry else 1 end as equity from d3 join e2 using (symbol, epoch)),
+    q1 as (select *, equity / {lagged('equity', 1)} - 1 as er, equity / max(equity) {sql.over('u')} - 1 as dd from q0)"""
+
+
+@query("trd04_backtest_metrics", sql.bars("x", _ALGEBRA + ", " + _EQUITY + """, w as (select symbol, avg((pnl > 0)::double) as win_rate, count(*) as num_trades, avg(pnl / abs(size * entry)) as atr from tp group by 1)""")
     + """select symbol, round(arg_max(equity, ts) / arg_min(equity, ts) - 1, 6) as total_return, round(stddev_samp(er) * sqrt(252), 6) as volatility, round(min(dd), 6) as max_drawdown,
     round(case when arg_max(equity, ts) > 0 then pow(arg_max(equity, ts) / arg_min(equity, ts), 252.0 / count(er)) - 1 end, 6) as annualized_return, round(max(win_rate), 6) as win_rate, max(num_trades) as num_trades, round(max(atr), 6) as avg_trade_return from q1 join w using (symbol) group by 1""")
 def _(spark, sf):

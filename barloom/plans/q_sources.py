@@ -16,6 +16,7 @@ from ..streaming import bars as streaming
 from . import sql
 from .q_metrics import rd
 from .q_windows import _OHLCV, daily, damped_hourly, hourly, r, rounded, rounded_sql
+from .q_signals import _ALGEBRA
 from .registry import query
 
 
@@ -82,7 +83,7 @@ def _(spark, sf):
     return rd(reports.describe(ind.with_returns(daily(spark, sf)), ["close", "ret", "volume"], ["symbol"]), ["symbol", "column", "count"])
 
 
-@query("snk04_05_json_of_trades")
+@query("snk04_05_json_of_trades", sql.bars("x", _ALGEBRA) + "select symbol, cast(dir as int) as direction, entry_ts, exit_ts, round(pnl, 4) + 0.0 as pnl from tp")
 def _(spark, sf):
     from ..operators import backtest as bt
     from ..operators import signals as sig

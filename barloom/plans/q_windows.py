@@ -297,7 +297,11 @@ PAIR_SQL = """pr as (select 'A/N' as symbol, ts, max(case when symbol = 'A' then
 
 
 def pair(spark: SparkSession, sf: str) -> DataFrame:
-    wide = src.aligned(weekly(spark, sf), ["A", "N"])
+    return pair_of(weekly(spark, sf))
+
+
+def pair_of(bars: DataFrame) -> DataFrame:
+    wide = src.aligned(bars, ["A", "N"])
     return wide.select(F.lit("A/N").alias("symbol"), "ts", F.col("A").alias("a"), F.col("N").alias("b"))
 
 

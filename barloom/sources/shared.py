@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -22,3 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     _own[sc.applicationId] = made = "file://" + folder
     return made
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: made once, however often it is read, and safe from lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
