@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, St
 from pyspark.sql.window import Window
 
 from ..functions import windows as win
+from ..sources.shared import written
 
 CAPITAL, SHARE = 100_000.0, 0.95
 
@@ -49,6 +50,7 @@ def event_backtest(signals: DataFrame, cost: float = 0.001, slippage: float = 0.
     run = algebra(signals, cost, slippage, share, capital, compat)
     whole = Window.partitionBy("symbol")
     run = run.withColumn("_sound", F.min(F.col("exact").cast("int")).over(whole) == 1).drop("exact")
+    run = written(run, "backtest")  # the windows are computed once, though two branches read them
     sound = run.where("_sound").drop("_sound")
     rest = run.where("not _sound").drop("_sound")
     names = ["direction", "epoch", "entry_price", "epoch_capital", "equity"]

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import partial
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -184,12 +187,66 @@ def relative(pairs: DataFrame, keys: Sequence[str], periods: float = 252, rf: fl
     return out.withColumns({"alpha": alpha, "information_ratio": F.col("_ir") * math.sqrt(periods)}).drop("_ar", "_br", "_ir")
 
 
-def covariance(returns: DataFrame, periods: float = 252) -> DataFrame:
-    """(i, j, cov, corr) of all pairs of symbols with i <= j, from returns aligned on ts."""
-    a = returns.select("ts", F.col("symbol").alias("i"), F.col("ret").alias("x"))
-    b = returns.select("ts", F.col("symbol").alias("j"), F.col("ret").alias("y"))
-    both = a.join(b, "ts").where("i <= j and x is not null and y is not null")
-    return both.groupBy("i", "j").agg((F.covar_samp("x", "y") * periods).alias("cov"), F.corr("x", "y").alias("corr"))
+#: Symbols of a block of the covariance matrix, and the most that a matrix may have.
+GRAM_BLOCK, GRAM_SYMBOLS = 1024, 20_000
+_MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def _gram(frames: Iterator[pd.DataFrame], block: int) -> Iterator[pd.DataFrame]:
+    """Moments of all pairs of symbols of a pair of blocks over the times read: rows (i, j, n, sx, ...). Rows: (bi, bj, x, y), arrays of (k, ret)."""
+    held: dict[tuple[int, int], np.ndarray] = {}
+
+    def matrix(vectors: pd.Series) -> np.ndarray:
+        out = np.full((len(vectors), block), np.nan)
+        for row, vector in enumerate(vectors):
+            for cell in vector:
+                out[row, cell["k"] % block] = cell["ret"]
+        return out
+
+    for frame in frames:
+        for key, part in frame.groupby(["bi", "bj"]):
+            for at in range(0, len(part), 512):
+                rows = part.iloc[at : at + 512]
+                x, y = matrix(rows["x"]), matrix(rows["y"])
+                a, b = ~np.isnan(x), ~np.isnan(y)
+                x, y, a, b = np.where(a, x, 0.0), np.where(b, y, 0.0), a.astype(float), b.astype(float)
+                sums = np.stack([a.T @ b, x.T @ b, a.T @ y, (x * x).T @ b, a.T @ (y * y), x.T @ y])
+                held[key] = held[key] + sums if key in held else sums
+    for (bi, bj), sums in held.items():
+        i, j = np.nonzero(sums[0])
+        i, j = (i, j) if bi < bj else (i[i <= j], j[i <= j])
+        yield pd.DataFrame({"i": i + bi * block, "j": j + bj * block} | {name: sums[k][i, j] for k, name in enumerate(_MOMENTS)})
+
+
+def covariance(returns: DataFrame, periods: float = 252, block: int = GRAM_BLOCK) -> DataFrame:
+    """(i, j, cov, corr) of all pairs of symbols with i <= j that share a time, from returns aligned on ts.
+
+    Each time becomes one vector; tasks sum the products of whole vectors, a pair of blocks of symbols at a time, so that no pair of
+    rows is ever made. A task holds six matrices of block x block. A symbol that has a time twice counts with its lowest return. More than
+    GRAM_SYMBOLS symbols are refused.
+    """
+    spark = returns.sparkSession
+    names = sorted(r.symbol for r in returns.select("symbol").where("symbol is not null").distinct().limit(GRAM_SYMBOLS + 1).collect())
+    if len(names) > GRAM_SYMBOLS:
+        raise ValueError(f"a covariance matrix of more than {GRAM_SYMBOLS} symbols")
+    numbered = spark.createDataFrame(list(enumerate(names)), "k int, symbol string")
+    block = min(block, max(1, len(names)))
+    own = returns.where("ret is not null").groupBy("ts", "symbol").agg(F.min("ret").alias("ret")).join(F.broadcast(numbered), "symbol")
+    vectors = own.groupBy("ts", F.floor(F.col("k") / block).cast("int").alias("b")).agg(F.collect_list(F.struct("k", "ret")).alias("v"))
+    if len(names) <= block:
+        pairs = vectors.select(F.col("b").alias("bi"), F.col("b").alias("bj"), F.col("v").alias("x"), F.col("v").alias("y"))
+    else:  # few blocks: a time meets itself once for each pair of them
+        other = vectors.select("ts", F.col("b").alias("bj"), F.col("v").alias("y"))
+        pairs = vectors.select("ts", F.col("b").alias("bi"), F.col("v").alias("x")).join(other, "ts").where("bi <= bj").repartition("bi", "bj")
+    sums = pairs.select("bi", "bj", "x", "y").mapInPandas(partial(_gram, block=block), "i int, j int, " + ", ".join(f"{c} double" for c in _MOMENTS))
+    sums = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in _MOMENTS])
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    both, vx, vy = F.col("sxy") - sx * sy / n, F.col("sxx") - sx * sx / n, F.col("syy") - sy * sy / n
+    enough = F.nullif(n - 1, F.lit(0.0))
+    spread = F.when((vx > 0) & (vy > 0), F.sqrt(F.when(vx > 0, vx)) * F.sqrt(F.when(vy > 0, vy)))
+    name = lambda c: F.broadcast(numbered.select(F.col("k").alias(c), F.col("symbol").alias(f"_{c}")))
+    out = sums.join(name("i"), "i").join(name("j"), "j")
+    return out.select(F.col("_i").alias("i"), F.col("_j").alias("j"), (both / enough * periods).alias("cov"), F.when(n > 1, both / spread).alias("corr"))
 
 
 def compound(returns: DataFrame, unit: str, keys: Sequence[str] = win.KEYS) -> DataFrame:

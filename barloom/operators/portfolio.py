@@ -12,9 +12,16 @@ from pyspark.sql.window import Window
 from . import metrics as m
 
 
-def matrix(cov: DataFrame, value: str = "cov") -> tuple[list[str], np.ndarray]:
-    """Names and the full matrix from (i, j, value) with i <= j."""
-    rows = cov.select("i", "j", value).collect()
+#: The most assets whose matrix is solved on the driver.
+ASSETS = 2000
+
+
+def matrix(cov: DataFrame, value: str = "cov", most: int = ASSETS) -> tuple[list[str], np.ndarray]:
+    """Names and the full matrix from (i, j, value) with i <= j; no more than `most` assets."""
+    entries = most * (most + 1) // 2
+    rows = cov.select("i", "j", value).limit(entries + 1).collect()
+    if len(rows) > entries:
+        raise ValueError(f"a matrix of more than {most} assets")
     names = sorted({r.i for r in rows} | {r.j for r in rows})
     at = {n: k for k, n in enumerate(names)}
     out = np.zeros((len(names), len(names)))
@@ -24,7 +31,7 @@ def matrix(cov: DataFrame, value: str = "cov") -> tuple[list[str], np.ndarray]:
 
 
 def means(returns: DataFrame, names: list[str], periods: float = 252) -> np.ndarray:
-    found = {r.symbol: r.mu for r in returns.groupBy("symbol").agg((F.avg("ret") * periods).alias("mu")).collect()}
+    found = {r.symbol: r.mu for r in returns.where(F.col("symbol").isin(names)).groupBy("symbol").agg((F.avg("ret") * periods).alias("mu")).collect()}
     return np.array([found[n] for n in names])
 
 
@@ -170,8 +177,8 @@ def weights_frame(spark: SparkSession, names: list[str], solved: dict[str, np.nd
 
 
 def portfolio_returns(returns: DataFrame, weights: DataFrame, keys: tuple[str, ...] = ("portfolio",)) -> DataFrame:
-    """(keys, ts, ret): the weighted sum of what each time has. The few weights are broadcast."""
-    both = returns.where("ret is not null").join(F.broadcast(weights), "symbol")
+    """(keys, ts, ret): the weighted sum of what each time has. Whether the weights are broadcast is left to their size."""
+    both = returns.where("ret is not null").join(weights, "symbol")
     return both.groupBy(*keys, "ts").agg(F.sum(F.col("ret") * F.col("w")).alias("ret"))
 
 
@@ -182,8 +189,8 @@ def portfolio_metrics(returns: DataFrame, weights: DataFrame, periods: float = 2
 def diversification_ratio(cov: DataFrame, weights: DataFrame) -> DataFrame:
     """(portfolio, ratio): weighted volatilities over the volatility of the whole."""
     w = weights.select("portfolio", "symbol", "w")
-    pairs = cov.join(F.broadcast(w.select("portfolio", F.col("symbol").alias("i"), F.col("w").alias("wi"))), "i")
-    pairs = pairs.join(F.broadcast(w.select("portfolio", F.col("symbol").alias("j"), F.col("w").alias("wj"))), ["portfolio", "j"])
+    pairs = cov.join(w.select("portfolio", F.col("symbol").alias("i"), F.col("w").alias("wi")), "i")
+    pairs = pairs.join(w.select("portfolio", F.col("symbol").alias("j"), F.col("w").alias("wj")), ["portfolio", "j"])
     own = F.col("i") == F.col("j")
     variance = F.sum(F.col("wi") * F.col("wj") * F.col("cov") * F.when(own, 1.0).otherwise(2.0))
     return pairs.groupBy("portfolio").agg((F.sum(F.when(own, F.col("wi") * F.sqrt("cov"))) / F.nullif(F.sqrt(variance), F.lit(0.0))).alias("ratio"))
@@ -208,7 +215,7 @@ def attribution(returns: DataFrame, weights: DataFrame) -> DataFrame:
     """Brinson effects of each asset against equal weights, on summed returns."""
     per = returns.where("ret is not null").groupBy("symbol").agg(F.sum("ret").alias("r"))
     per = per.crossJoin(F.broadcast(per.agg(F.avg("r").alias("rb"), F.count("*").alias("n"))))
-    both = per.join(F.broadcast(weights), "symbol")
+    both = per.join(weights, "symbol")
     wb = F.lit(1.0) / F.col("n")
     return both.select("portfolio", "symbol", ((F.col("w") - wb) * F.col("rb")).alias("allocation"), (wb * (F.col("r") - F.col("rb"))).alias("selection"), ((F.col("w") - wb) * (F.col("r") - F.col("rb"))).alias("interaction"))
 
@@ -220,7 +227,7 @@ def rebalancing(returns: DataFrame, weights: DataFrame, every: int, cost: float
     Only times at which every asset of the portfolio has a return count.
     """
     held = weights.withColumn("_assets", F.count("*").over(Window.partitionBy("portfolio")))
-    r = returns.where("ret is not null").join(F.broadcast(held), "symbol")
+    r = returns.where("ret is not null").join(held, "symbol")
     r = r.withColumn("_here", F.count("*").over(Window.partitionBy("portfolio", "ts"))).where("_here = _assets").drop("_here", "_assets")
     order = Window.partitionBy("portfolio", "symbol").orderBy("ts")
     r = r.withColumn("seg", F.floor((F.row_number().over(order) - 1) / every))
@@ -247,9 +254,9 @@ def rebalance_trades(positions: DataFrame, prices: DataFrame, weights: DataFrame
 
     A position without a price counts at its entry price.
     """
-    priced = positions.join(F.broadcast(prices), "symbol", "left").withColumn("value", F.col("units") * F.coalesce("price", "entry_price"))
+    priced = positions.join(prices, "symbol", "left").withColumn("value", F.col("units") * F.coalesce("price", "entry_price"))
     total = F.sum("value").over(Window.partitionBy("portfolio"))
-    both = priced.withColumn("total", total).join(F.broadcast(weights), ["portfolio", "symbol"], "left")
+    both = priced.withColumn("total", total).join(weights, ["portfolio", "symbol"], "left")
     trade = F.coalesce("w", F.lit(0.0)) * F.col("total") - F.col("value")
     out = both.withColumn("_t", trade)
     return out.select("portfolio", "symbol", F.when(F.abs("_t") >= least, F.col("_t")).otherwise(0.0).alias("trade_value"), F.when(F.abs("_t") >= least, F.abs("_t") * cost).otherwise(0.0).alias("trade_cost"))

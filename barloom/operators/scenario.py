@@ -16,7 +16,7 @@ def historical(returns: DataFrame, scenarios: DataFrame) -> DataFrame:
     p = m.with_path(r, ("scenario", "portfolio"), "ts")
     cut = p.groupBy("scenario", "portfolio").agg(F.percentile("ret", F.lit(0.05)).alias("var_95"))
     c = F.col("ret")
-    return p.join(F.broadcast(cut), ["scenario", "portfolio"]).groupBy("scenario", "portfolio", "probability", "var_95").agg(
+    return p.join(cut, ["scenario", "portfolio"]).groupBy("scenario", "portfolio", "probability", "var_95").agg(
         m.total_return(c).alias("total_return"), m.volatility(c).alias("volatility"), F.min("drawdown").alias("max_drawdown"), F.avg(F.when(c <= F.col("var_95"), c)).alias("expected_shortfall"),
         F.count("*").alias("n"), F.count_if(c < 0).alias("losses"),
     )
@@ -36,7 +36,7 @@ def monte_carlo(returns: DataFrame, n_sims: int, horizon: int, method: str = "pa
 
 def outcomes(totals: DataFrame, value: str = "total", keys: tuple[str, ...] = ("portfolio",)) -> DataFrame:
     cut = totals.groupBy(*keys).agg(F.percentile(value, F.array(*map(F.lit, (0.05, 0.5, 0.95)))).alias("q"))
-    out = totals.join(F.broadcast(cut), list(keys))
+    out = totals.join(cut, list(keys))
     v = F.col(value)
     return out.groupBy(*keys, "q").agg(F.avg(v).alias("mean"), F.avg((v < 0).cast("double")).alias("p_loss"), F.avg(F.when(v <= F.col("q")[0], v)).alias("expected_shortfall")).select(
         *keys, "mean", F.col("q")[0].alias("p05"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p95"), "p_loss", "expected_shortfall"
@@ -57,7 +57,7 @@ def stress_paths(returns: DataFrame, n_sims: int, shock: float, duration: int, r
 def what_if(weights: DataFrame, changes: DataFrame) -> DataFrame:
     """(scenario, portfolio, symbol, w): weights with changes (scenario, symbol, change) added, set to sum to one again."""
     names = changes.select("scenario").distinct()
-    all_ = weights.crossJoin(F.broadcast(names)).join(F.broadcast(changes), ["scenario", "symbol"], "left")
+    all_ = weights.crossJoin(F.broadcast(names)).join(changes, ["scenario", "symbol"], "left")
     all_ = all_.withColumn("_w", F.greatest(F.col("w") + F.coalesce("change", F.lit(0.0)), F.lit(0.0)))
     return all_.select("scenario", "portfolio", "symbol", (F.col("_w") / F.nullif(F.sum("_w").over(Window.partitionBy("scenario", "portfolio")), F.lit(0.0))).alias("w"))
 

@@ -119,7 +119,7 @@ def mann_whitney_two_sample(values: DataFrame, group: str, a: str, b: str, value
 
 def reality_check(performance: DataFrame, simulated: DataFrame) -> DataFrame:
     """White's check over strategies: performance (strategy, f), simulated (sim, strategy, f). One row: best, statistic and p_value."""
-    joined = simulated.join(F.broadcast(performance.select("strategy", F.col("f").alias("_f"))), "strategy")
+    joined = simulated.join(performance.select("strategy", F.col("f").alias("_f")), "strategy")
     worst = joined.groupBy("sim").agg(F.max(F.col("f") - F.col("_f")).alias("v"))
     best = performance.agg(F.max("f").alias("statistic"), F.max_by("strategy", "f").alias("best"))
     return worst.crossJoin(F.broadcast(best)).groupBy("best", "statistic").agg(F.avg((F.col("v") >= F.col("statistic")).cast("double")).alias("p_value"), F.count("*").alias("n_sims"))
@@ -133,7 +133,7 @@ def step_m(performance: DataFrame, simulated: DataFrame, alpha: float = 0.05, st
     rejected: list[str] = []
     for _ in range(steps):
         left = performance.where(~F.col("strategy").isin(rejected)) if rejected else performance
-        joined = simulated.join(F.broadcast(left.select("strategy", F.col("f").alias("_f"))), "strategy")
+        joined = simulated.join(left.select("strategy", F.col("f").alias("_f")), "strategy")
         worst = joined.groupBy("sim").agg(F.max(F.col("f") - F.col("_f")).alias("v"))
         cut = worst.agg(F.percentile("v", F.lit(1 - alpha))).first()[0]
         new = [r.strategy for r in left.where(F.col("f") > F.lit(cut)).select("strategy").collect()] if cut is not None else []

@@ -135,6 +135,37 @@ def test_rules_do_not_look_ahead(spark):
         assert sig.look_ahead_violations(bars, sig.RULES[name], [70, 120]).count() == 0, name
 
 
+def test_asof_over_blocks(spark):
+    """A hot key over many days, with days that have no right row, ties, null keys and null times."""
+    from datetime import datetime, timedelta
+
+    r = random.Random(1)
+    start = datetime(2024, 1, 1)
+    when = lambda: start + timedelta(hours=r.randrange(24 * 20))
+    lefts = [(r.choice(["hot", "hot", "a", None]), when() if r.random() > 0.05 else None, k) for k in range(300)]
+    rights = [(r.choice(["hot", "a", None]), when(), r.randrange(100)) for _ in range(25)]
+    left, right = spark.createDataFrame(lefts, "k string, ts timestamp_ntz, v int"), spark.createDataFrame(rights, "k string, ts timestamp_ntz, x int")
+    got = {x.v: x.x for x in joins.asof(left, right, ["k"], "ts", ["x"]).collect()}
+    want = {v: max(((t, x) for k2, t, x in rights if k2 == k and ts and t <= ts), default=(None, None))[1] for k, ts, v in lefts}
+    assert got == want
+
+
+@pytest.mark.parametrize("block", [2, 1024])
+def test_covariance_of_incomplete_series(spark, block):
+    import pandas as pd
+
+    r = np.random.default_rng(2)
+    wide = pd.DataFrame(r.normal(0.001, 0.02, (80, 5)), columns=list("ABCDE"))
+    wide = wide.mask(r.random((80, 5)) < 0.3)
+    wide["E"] = wide["E"].where(wide.index < 1)
+    rows = [(c, int(t), None if pd.isna(v) else float(v)) for c in wide for t, v in wide[c].items()]
+    cov, corr = wide.cov() * 252, wide.corr()
+    for x in m.covariance(spark.createDataFrame(rows, "symbol string, ts long, ret double"), block=block).collect():
+        assert x.i <= x.j
+        for got, want in ((x["cov"], cov.loc[x.i, x.j]), (x["corr"], corr.loc[x.i, x.j])):
+            assert (got is None and pd.isna(want)) or got == pytest.approx(want, rel=1e-9)
+
+
 def test_asof(spark):
     left = spark.createDataFrame([(1, 5, "a"), (1, 1, "b"), (2, 9, "c")], "k int, ts int, v string")
     right = spark.createDataFrame([(1, 2, 20), (1, 5, 50), (1, 7, 70)], "k int, ts int, x int")
