@@ -543,3 +543,42 @@ def test_pipeline(spark, tmp_path):
             assert max(ids.values()) <= 3 and abs(sum(len(tokens(r.text)) for r in after) / sum(len(tokens(r.text)) for r in before) - 1) < 0.2
         if name == "sharding":
             assert len(after) == len(before) and set(Counter(r.shard for r in after)) == set(range(16))
+
+
+def test_pipeline_end_to_end(spark, tmp_path):
+    """run() over rows with nulls, repeats, ties and clashing columns against the stages by hand, and over no rows."""
+    import corpus_pipeline
+
+    extra = [(200 + i, words(40, 300 + i), "hot") for i in range(12)] + [(200, words(40, 300), "hot"), (230, words(40, 301), None), (231, BASE, "b"), (None, words(30, 400), "a"), (None, words(30, 400), "a")]
+    rows = [x for x in ROWS + extra if x[0] != 6]
+    items = [("i1", BASE), ("i2", None), (None, words(40, 302))]
+    for folder, given in (("some", rows), ("none", [])):
+        frame(spark, given).write.parquet(f"{tmp_path}/{folder}/documents.parquet")
+        spark.createDataFrame([(i, None, None) for i in range(5)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{folder}/labels.parquet")
+        spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/{folder}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/some")
+    docs = frame(spark, rows)
+    assert out.columns == [c for c in docs.columns if c not in ("shard", "slot")] + ["shard", "slot"]
+    got = out.collect()
+
+    good = [x for x in rows if not ((c := by_hand_statistics(x[1]))[0] < 10 or 100 * c[4] > 20 * c[0])]
+    kept, by_id = [], {}
+    for i, _, c in near_by_hand(good, 5):
+        by_id[i] = c
+    for x in good:
+        if x[0] is None or by_id[x[0]] == x[0] and x[0] not in [k[0] for k in kept]:
+            kept.append(x)
+    patterns = {w for _, t in items for w in windows_of(t, 13)}
+
+    def clean(text):
+        w = words_of(text)
+        hit = {k for n in {len(p) for p in patterns} for s in range(len(w) - n + 1) if tuple(w[s : s + n]) in patterns for k in range(s, s + n)}
+        return not (hit and 20 * len(hit) >= len(w))
+
+    left = [x for x in kept if clean(x[1])]
+    assert left and {(r.doc_id, r.text, r.source) for r in got} <= set(left)
+    counts, sizes = Counter((r.doc_id, r.text) for r in got), Counter(r.shard for r in got)
+    copies = Counter((i, t) for i, t, _ in left)
+    assert all(n <= 3 * copies[k] for k, n in counts.items()) and max(sizes.values()) - min(sizes.get(s, 0) for s in range(16)) <= 1
+    assert abs(sum(len(tokens(r.text)) for r in got) / sum(len(tokens(t)) for _, t, _ in left) - 1) < 0.3
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
