@@ -77,7 +77,7 @@ def ema(x: Column | str, n: int, w: WindowSpec | None = None) -> Column:
     """Exponential mean of span n, weights normalised over the values there are; from the first row on.
 
     The frame ends where weights no longer count in double precision, so a task holds a bounded list for each row
-    instead of a recurrence over the whole symbol.
+    instead of a recurrence over the whole symbol. Nulls are left out: a value's weight falls with the values after it, not with the rows.
     """
     decay = 1 - 2 / (n + 1)
     values = F.collect_list(_c(x)).over(rows(-ema_span(n), 0, w))  # a collected window is in order

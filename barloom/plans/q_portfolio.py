@@ -334,3 +334,13 @@ def _(spark, sf):
     wrong = val.correlation(corr) + val.parameters({"lookback": 100, "threshold": 0.02}, sig.BOUNDS["momentum"]) + val.bounds({"lookback": (5, 60), "threshold": (0.1, 0.1)})
     rows = spark.createDataFrame([("parameters", w, "error", True) for w in wrong], "subject string, check string, level string, failed boolean")
     return rows.unionByName(val.metrics(m.performance(base)))
+
+
+_VM = {"sharpe": "abs(sharpe) > 5", "total_return": "total_return > 10", "volatility": "volatility > 2", "drawdown": "max_drawdown < -0.9"}
+
+
+@query("val08_metric_warnings", sql.bars("h", "p0 as (select symbol, ts, ret, product(1 + ret) over (partition by symbol order by ts rows unbounded preceding) as eq from r where ret is not null), p as (select *, eq / max(eq) over (partition by symbol order by ts rows unbounded preceding) - 1 as dd from p0), q as (select symbol, product(1 + ret) - 1 as total_return, stddev_samp(ret) * sqrt(252) as volatility, (avg(ret) - 0.02 / 252) / nullif(stddev_samp(ret), 0) * sqrt(252) as sharpe, min(dd) as max_drawdown from p group by 1)")
+    + " union all ".join(f"select symbol as subject, '{n}' as \"check\", 'warning' as level, coalesce({e}, false) as failed from q" for n, e in _VM.items()))
+def _(spark, sf):
+    """Of raw bars, whose moves are large enough to be warned of."""
+    return val.metrics(m.performance(ind.with_returns(hourly(spark, sf))))

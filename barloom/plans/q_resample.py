@@ -202,7 +202,13 @@ def _(spark, sf):
     return out.select("best", r(F.col("statistic"), 8).alias("statistic"), r(F.col("p_value")).alias("p_value"), "n_sims")
 
 
-@query("tst12_step_m")
+def _step_sql(k: int) -> str:
+    """One step: the cut that the best of those left reaches by chance, and what exceeds it. A step without a rejection repeats itself, so three do for three series."""
+    left = "f0" if k == 1 else f"l{k}"
+    return f"v{k} as (select sim, max(fs.f - x.f) as v from fs join {left} x using (strategy) group by 1), c{k} as (select quantile_cont(v, 0.95) as c from v{k}), l{k + 1} as (select * from {left} where not coalesce(f > (select c from c{k}), false))"
+
+
+@query("tst12_step_m", sql.bars("y", samples("stationary") + ", " + _WRC + ", " + ", ".join(map(_step_sql, (1, 2, 3)))) + "select strategy, round(f, 8) as f, strategy not in (select strategy from l4) as rejected from f0")
 def _(spark, sf):
     f0 = series(spark, sf).groupBy(F.col("series").alias("strategy")).agg(F.avg("ret").alias("f"))
     fs = paths(spark, sf, "stationary").groupBy(F.col("series").alias("strategy"), "sim").agg(F.avg("ret").alias("f"))

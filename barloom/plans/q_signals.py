@@ -141,7 +141,10 @@ _COMPOSITE = PAIR_SQL + ", " + _TE + f""", cz as (select sp.*, case when sp.t >=
     y as materialized (select cz.symbol, cz.ts, cz.t, z, coalesce(greatest(te_xy, te_yx) >= 0.01, false) as open_, te_xy / (te_yx + 1e-8) as ratio from cz left join te on te.t = cz.t - 1)"""
 
 
-@query("sig19_composite_pair", (sql.bars("w", _COMPOSITE + ", " + machine("y", "(case when open_ and z > 1.5 and ratio < 1 then -1 when open_ and z < -1.5 and ratio > 1 then 1 else 0 end)", "(case when open_ and abs(z) < 0.5 then 0 else 1 end)", "(case when open_ and abs(z) < 0.5 then 0 else -1 end)"))).replace("with bars", "with recursive bars", 1)
+_COMPOSITE_WALK = (sql.bars("w", _COMPOSITE + ", " + machine("y", "(case when open_ and z > 1.5 and ratio < 1 then -1 when open_ and z < -1.5 and ratio > 1 then 1 else 0 end)", "(case when open_ and abs(z) < 0.5 then 0 else 1 end)", "(case when open_ and abs(z) < 0.5 then 0 else -1 end)"))).replace("with bars", "with recursive bars", 1)
+
+
+@query("sig19_composite_pair", _COMPOSITE_WALK
     + "select ts, cast(position as int) as position, cast(signal as int) as signal from walk")
 def _(spark, sf):
     return sig.composite_pair(pair(spark, sf), entry=1.5).select("ts", "position", "signal")
@@ -254,12 +257,15 @@ def _(spark, sf):
     return out.select("symbol", "num_trades", *[r(F.col(c)).alias(c) for c in ("total_return", "volatility", "max_drawdown", "annualized_return", "win_rate", "avg_trade_return")])
 
 
-@query("sim07_08_composite_pair_backtest")
+@query("sim07_08_composite_pair_backtest", _COMPOSITE_WALK + f""", wx as (select symbol, t, ts, signal, position = 0 and coalesce(lag(position) over (partition by symbol order by ts), 0) <> 0 as is_exit from walk),
+    pv as (select symbol, ts, a, var_samp(ra) {sql.over(-30, -1)} as va, corr(ra, rb) {sql.over(-30, -1)} as cab from sp), mk as (select wx.*, a, 2000 / (sqrt(va) * 10 + 1) * abs(cab) / a as size from wx join pv using (symbol, ts) where signal <> 0 or is_exit),
+    mn as (select *, lead(a) over (partition by symbol order by ts) as ea, lead(ts) over (partition by symbol order by ts) as ets, lead(is_exit) over (partition by symbol order by ts) as closes from mk), tr as (select *, (ea - a) * size * signal as pnl from mn where signal <> 0 and closes)"""
+    + "select symbol, ts as entry_ts, ets as exit_ts, cast(signal as int) as signal, round(size, 6) as size, round(pnl, 6) as pnl, round(100000 + sum(pnl) over (partition by symbol order by ts rows unbounded preceding), 6) as equity from tr")
 def _(spark, sf):
     p = sig.composite_pair(pair(spark, sf), entry=1.5)
     before = win.rows(-30, -1)
     p = p.withColumns({"var_a": F.var_samp("ra").over(before), "corr_ab": F.corr("ra", "rb").over(before)})
-    return bt.pair_backtest(p)
+    return rounded(bt.pair_backtest(p), ["symbol", "entry_ts", "exit_ts", "signal"], ["size", "pnl", "equity"])
 
 
 _BATCH = {"momentum": (f"{MOM20} > 0.02", f"{MOM20} < -0.02"), "mean_reversion": (f"close < {sql.sma('close', 21)} * 0.98", f"close > {sql.sma('close', 21)} * 1.02"), "trend_following": (f"{sql.sma('close', 10)} > {sql.sma('close', 31)}", f"{sql.sma('close', 10)} < {sql.sma('close', 31)}")}

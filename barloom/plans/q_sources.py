@@ -125,3 +125,29 @@ def _(spark, sf):
     run.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start().awaitTermination()
     out = spark.read.parquet(path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     return rounded(out, ["symbol", "ts"], _OHLCV)
+
+
+def _streamed(spark, sf, made):
+    """What a finished stream over the events has handed over in append mode, so that state is dropped behind the watermark. A last row far ahead moves the watermark past all others."""
+    place, path, marks = folder(spark, "stream-in"), folder(spark, "stream-out"), folder(spark, "stream-marks")
+    events = src.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_id", "user_id", F.col("event_type").alias("symbol"), F.col("value").alias("price"), "value")
+    end = events.agg((F.max("ts") + F.expr("interval 30 days")).alias("ts")).select("ts", F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("long").alias("user_id"), F.lit("end").alias("symbol"), F.lit(0.0).alias("price"), F.lit(0.0).alias("value"))
+    events.coalesce(1).write.mode("append").parquet(place)
+    ticks = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(place)
+    run = lambda: made(ticks).writeStream.outputMode("append").option("checkpointLocation", marks).option("path", path).format("parquet").trigger(availableNow=True).start().awaitTermination()
+    run()
+    end.coalesce(1).write.mode("append").parquet(place)  # comes after all others
+    run()
+    return spark.read.parquet(path)
+
+
+@query("ext_streaming_sliding_volume", "select event_type as symbol, date_trunc('hour', ts) - to_hours(k::int) as ts, count(*) as ticks, round(sum(value), 6) as total from events, (select unnest(range(6)) as k) group by 1, 2")
+def _(spark, sf):
+    out = _streamed(spark, sf, streaming.sliding_volume).where("symbol <> 'end'")
+    return rounded(out.withColumn("ts", F.col("ts").cast("timestamp_ntz")), ["symbol", "ts", "ticks"], ["total"])
+
+
+@query("ext_streaming_sessions", "with e as (select *, ts - lag(ts) over (partition by user_id order by ts) as gap from events), s as (select *, count(*) filter (where gap is null or gap > interval 30 minute) over (partition by user_id order by ts rows unbounded preceding) as k from e) select user_id, min(ts) as start, max(ts) + interval 30 minute as \"end\", count(*) as events, round(sum(value), 6) as total from s group by user_id, k")
+def _(spark, sf):
+    out = _streamed(spark, sf, streaming.sessions).where("user_id is not null")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "events", r(F.col("total")).alias("total"))
