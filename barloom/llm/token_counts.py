@@ -2,9 +2,9 @@
 
 A byte-level BPE splits a text into pre-tokens by a pattern and encodes each of them by itself, so a text has as many
 tokens as its pre-tokens have together. The lengths of the most frequent pre-tokens are broadcast as
-one table (at most `table_rows` entries, the bound of what is broadcast); what it lacks is encoded by the library and remembered in a
-cache of the worker. No pre-token is shuffled but the counts that choose the table, which come from `sample_rows`
-documents at most. The table decides on speed alone: with any table, or none, the counts are the same.
+one table (at most `table_rows` entries, the bound of what is broadcast and of what reaches the driver); what it lacks is encoded by the library and remembered in a
+cache of the worker. No pre-token of the documents is shuffled; the counts that choose the table are, and they come from a sample of about `sample_rows`
+documents at any size. The table decides on speed alone: with any table, or none, the counts are the same.
 
 Texts with a character that the pattern and the library could take for different things, or with the string of a special
 token, are given to the library whole.
@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import Scratch, least_count
+
 #: Entries that a worker's cache may reach before it starts anew.
 CACHE = 300_000
 
@@ -148,7 +150,8 @@ def count_tokens(
     """id, n_bytes (UTF-8) and n_tokens of every row's whole text, without added special tokens.
 
     tokenizer: the path of a byte-level BPE file, the same on all machines; pattern: its pre-token pattern.
-    Null texts count as empty: 0 and 0. Repeated rows and null ids are counted like any other. Other columns are not read.
+    Null texts count as empty: 0 and 0. Repeated rows and null ids are counted like any other, and an empty table gives an empty one. Other columns are not read.
+    A text of any length is split whole by one worker.
     """
     global _made
     spark = docs.sparkSession
@@ -156,8 +159,8 @@ def count_tokens(
     share = min(1.0, sample_rows / max(1, docs.count()))
     some = texts.select("_text").sample(withReplacement=False, fraction=share, seed=1) if share < 1 else texts.select("_text")
     pieces = some.mapInArrow(partial(_frequent, pattern=pattern, held=table_rows), "piece string, n long")
-    top = pieces.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(table_rows)
-    names = [r.piece for r in top.collect()]
+    counts = Scratch(spark, "tokens").write(pieces.groupBy("piece").agg(F.sum("n").alias("n")), "pieces")
+    names = sorted(r.piece for r in counts.where(F.col("n") >= least_count(counts, table_rows)).select("piece").collect())
     local = library(tokenizer)
     lengths = [len(e.ids) for e in local.encode_batch(names, add_special_tokens=False)]
     _made += 1
