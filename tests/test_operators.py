@@ -272,7 +272,7 @@ def test_checks(spark):
     failed = {r.check for r in validate.returns(bad).where("failed").collect()}
     assert {"nulls", "infinite", "too_few", "above_100_percent", "below_minus_100_percent"} <= failed
     assert validate.correlation(np.array([[1, 2], [2, 1]])) == ["out of range", "not positive semidefinite"]
-    assert validate.parameters({"lookback": 100}, sig.BOUNDS["momentum"]) == ["threshold is missing", "lookback = 100 is not in [5, 60]"]
+    assert validate.parameters({"lookback": 100}, sig.BOUNDS["momentum"]) == ["threshold is missing", "lookback = 100 is not in [5, 50]"]
 
 
 def test_profiles_and_reports(spark):
