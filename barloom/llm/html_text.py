@@ -60,12 +60,8 @@ _NAME_WORD = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "heading")
 
 
-class Token(NamedTuple):
-    """Text, the start or the end of an element, or an element's raw content that is left out."""
-
-    kind: str  # text, open, close, raw
-    value: str
-    attributes: str = ""
+#: (kind, value, attributes): text, the open or close of an element, or raw: an element whose content is left out. Plain tuples: there are many.
+Token = tuple[str, str, str]
 
 
 def tokens_of(html: str) -> Iterator[Token]:
@@ -103,21 +99,21 @@ def tokens_of(html: str) -> Iterator[Token]:
             at = start + 1
             continue
         if start > text_from:
-            yield Token("text", html[text_from:start])
+            yield "text", html[text_from:start], ""
         if kind == "open" and name in RAW and not attributes.endswith("/"):
             ended = _RAW_END[name].search(html, to)
-            yield Token("raw", name)
+            yield "raw", name, ""
             to = html.find(">", ended.start()) + 1 if ended else len(html)
             to = to or len(html)
         elif kind:
-            yield Token(kind, name, attributes)
+            yield kind, name, attributes
         at = text_from = to
     cut = html.find("<", at)
     while cut >= 0 and not (html[cut + 1 : cut + 2].isalpha() or html[cut + 1 : cut + 2] in ("/", "!", "?")):
         cut = html.find("<", cut + 1)
     rest = html[text_from : cut if cut >= 0 else len(html)]
     if rest:
-        yield Token("text", rest)
+        yield "text", rest, ""
 
 
 class Block(NamedTuple):
@@ -164,7 +160,13 @@ def _named(attributes: str, article: bool) -> str:
     return said
 
 
+#: Elements that mean something without an attribute.
+_TELLING = MAIN | FURNITURE | DROPPED | {"a"}
+
+
 def _opened(tag: str, attributes: str, up: _Open) -> _Open:
+    if not attributes and tag not in _TELLING:
+        return _Open(tag, *up[1:])
     aside, comment, article = up.aside, up.comment, up.article
     if tag in MAIN and not comment:
         aside, article = False, True  # an advert that was never closed doesn't hold the article
