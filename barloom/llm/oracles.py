@@ -63,4 +63,18 @@ NEAR = f"""with recursive d as (select doc_id, {_TOKENS} as w from documents), g
     reach as (select a as doc_id, b as other from arcs union select reach.doc_id, arcs.b from reach join arcs on arcs.a = reach.other), c as (select doc_id, least(doc_id, min(other)) as component_id from reach group by doc_id)
     select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(component_id, d.doc_id) as component_id, d.doc_id = coalesce(component_id, d.doc_id) as kept from d left join n using (doc_id) left join c using (doc_id)"""
 
-ORACLE_SQL = {"op1_sharding": SHARDING, "op2_line_dedup": LINES, "op3_mixing": MIXING, "op5_minhash_near_dedup": NEAR, "op6_decontamination": CONTAMINATION}
+_PLAIN = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+AUDIT = f"""with k as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, {_PLAIN} as w from documents),
+    l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by 1),
+    f as (select part, (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t))::int + 8 * regexp_matches(t, '[#$%&*|]')::int
+        + 16 * (doc_id > min(doc_id) over (partition by t))::int as mask, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic from k left join l using (doc_id)),
+    m as (select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by 1, 2), c as (select unnest(['A', 'B', 'C', 'D', 'E']) as f, unnest([1, 2, 4, 8, 16]) as bit),
+    o as (select a.f || b.f || c.f || d.f || e.f as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits from c a, c b, c c, c d, c e where a.bit + b.bit + c.bit + d.bit + e.bit = 31 and a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+    s as (select filter_order, step::int as step, bits[step] as own, coalesce(list_sum(bits[1:step - 1]), 0)::int as before_ from o, range(1, 6) r(step)),
+    x as (select *, mask & own > 0 as hit, mask & before_ > 0 as gone from m, s),
+    r as (select part, filter_order, step, own, sum(n) filter (where not hit and not gone) as kept, sum(n) filter (where hit and not gone) as removed, sum(n) filter (where hit and gone) as redundant, sum(n) filter (where mask = own) as unique_fails,
+        sum(good) filter (where hit and not gone) as good_lost, sum(toxic) filter (where hit and not gone) as toxic_lost from x group by 1, 2, 3, 4)
+    select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails, coalesce(good_lost, 0)::bigint as good_lost,
+        coalesce(toxic_lost, 0)::bigint as toxic_lost, coalesce(sum(removed) over (partition by part, own), 0)::bigint as shapley from r"""
+
+ORACLE_SQL = {"op1_sharding": SHARDING, "op2_line_dedup": LINES, "op3_mixing": MIXING, "op5_minhash_near_dedup": NEAR, "op6_decontamination": CONTAMINATION, "op11_filter_audit": AUDIT}
