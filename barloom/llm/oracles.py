@@ -77,4 +77,20 @@ AUDIT = f"""with k as (select doc_id, coalesce(source, '') as part, coalesce(tex
     select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails, coalesce(good_lost, 0)::bigint as good_lost,
         coalesce(toxic_lost, 0)::bigint as toxic_lost, coalesce(sum(removed) over (partition by part, own), 0)::bigint as shapley from r"""
 
-ORACLE_SQL = {"op1_sharding": SHARDING, "op2_line_dedup": LINES, "op3_mixing": MIXING, "op5_minhash_near_dedup": NEAR, "op6_decontamination": CONTAMINATION, "op11_filter_audit": AUDIT}
+_AFTER = "case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) else '' end"
+_HOST = _lower("regexp_extract({0}, '^[^/?#]*')")
+_RULES = "(values ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')) r(rule, rhost, rpath, action)"
+# Absolute links as pages commonly write them; tests hold the rest of the markup.
+_MARKUP = "regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->|<script.*?</script|<style.*?</style|<textarea.*?</textarea|<title.*?</title', '', 'g')"
+URLS = f"""with recursive r as (select * from {_RULES}), tags as (select url, unnest(regexp_extract_all({_MARKUP}, '(?is)<(?:link|meta)\\b[^>]*>')) as tag from pages),
+    links as (select url, regexp_extract(tag, '(?is)href\\s*=\\s*["'']?([^"''\\s>]+)', 1) as target from tags where regexp_matches(tag, '(?is)^<link\\b.*\\brel\\s*=\\s*["'']?[^"''>]*\\bcanonical\\b')
+        union all select url, regexp_extract(tag, '(?is)url\\s*=\\s*["'']?([^"''\\s>]+)', 1) from tags where regexp_matches(tag, '(?is)^<meta\\b.*http-equiv\\s*=\\s*["'']?refresh')),
+    pairs as (select regexp_replace(url, '#.*$', '', 's') as a, regexp_replace(target, '#.*$', '', 's') as b from links where position('://' in target) > 0), arcs as (select a, b from pairs where a <> b union select b, a from pairs where a <> b),
+    reach as (select a as node, b as other from arcs union select reach.node, arcs.b from reach join arcs on arcs.a = reach.other),
+    urls as (select url from pages union select a from arcs), u as (select url, {_HOST.format(_AFTER)} as host, regexp_extract({_AFTER}, '^[^/?#]*([^?#]*)', 1) as path from urls),
+    best as (select url, arg_max(rule, length(rule)) as rule, arg_max(action, length(rule)) as action from u join r on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by 1),
+    passed as (select node, min(action) as action from reach join best on best.url = reach.other group by 1)
+    select page_id, coalesce(host, '') as host, coalesce(path, '') as path, rule, coalesce(best.action, passed.action, 'allow') as verdict, case when best.action is not null then 'rule' when passed.action is not null then 'alias' else 'default' end as via
+    from pages left join u using (url) left join best using (url) left join passed on passed.node = regexp_replace(pages.url, '#.*$', '', 's')"""
+
+ORACLE_SQL = {"op1_sharding": SHARDING, "op2_line_dedup": LINES, "op3_mixing": MIXING, "op5_minhash_near_dedup": NEAR, "op6_decontamination": CONTAMINATION, "op11_filter_audit": AUDIT, "op12_url_filters": URLS}

@@ -19,6 +19,7 @@ from .quality import fit_quality, judge_quality
 from .secrets import builtin_samples, corpus_words, digest, fit_ratios, scan_secrets
 from .sharding import shard_rows
 from .token_counts import count_tokens
+from .url_filters import judge_urls
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -93,6 +94,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+#: Host, path, action.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, action string"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_line_dedup": op2_line_dedup,
@@ -105,4 +114,5 @@ QUERIES: dict[str, Query] = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_quality_rules": op10_quality_rules,
     "op11_filter_audit": op11_filter_audit,
+    "op12_url_filters": op12_url_filters,
 }
