@@ -93,4 +93,10 @@ URLS = f"""with recursive r as (select * from {_RULES}), tags as (select url, un
     select page_id, coalesce(host, '') as host, coalesce(path, '') as path, rule, coalesce(best.action, passed.action, 'allow') as verdict, case when best.action is not null then 'rule' when passed.action is not null then 'alias' else 'default' end as via
     from pages left join u using (url) left join best using (url) left join passed on passed.node = regexp_replace(pages.url, '#.*$', '', 's')"""
 
-ORACLE_SQL = {"op1_sharding": SHARDING, "op2_line_dedup": LINES, "op3_mixing": MIXING, "op5_minhash_near_dedup": NEAR, "op6_decontamination": CONTAMINATION, "op11_filter_audit": AUDIT, "op12_url_filters": URLS}
+SEARCH = f"""with d as (select doc_id, {_WORDS} as w from documents), t as (select doc_id, len(w) as n, unnest(w) as term from d where len(w) > 0), f as (select doc_id, term, n, count(*) as tf from t group by 1, 2, 3),
+    s as (select count(*) as n_docs, sum(len(w)) as l from d where len(w) > 0), df as (select term, count(*) as df from f group by 1), q as (select item_id, unnest({_WORDS}) as term from benchmark),
+    p as (select item_id, term, count(*) as times from q group by 1, 2), w as (select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)))::bigint as w from df, s),
+    x as (select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // l))))::bigint as score from p join w using (term) join f using (term), s group by 1, 2),
+    r as (select item_id, row_number() over (partition by item_id order by score desc, doc_id)::int as rank, doc_id, score from x where score > 0) select * from r where rank <= 20"""
+
+ORACLE_SQL = {"op1_sharding": SHARDING, "op2_line_dedup": LINES, "op3_mixing": MIXING, "op5_minhash_near_dedup": NEAR, "op6_decontamination": CONTAMINATION, "op11_filter_audit": AUDIT, "op12_url_filters": URLS, "op13_lexical_search": SEARCH}

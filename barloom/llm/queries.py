@@ -11,6 +11,7 @@ from .decontamination import mark_contamination
 from .filter_audit import audit_filters
 from .html_text import extract_text
 from .language_model import score_documents
+from .lexical_search import build_index, search
 from .line_dedup import drop_frequent_lines
 from .mixing import mix_counts
 from .near_dedup import link_documents
@@ -102,6 +103,10 @@ def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, action string"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_line_dedup": op2_line_dedup,
@@ -115,4 +120,5 @@ QUERIES: dict[str, Query] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_filter_audit": op11_filter_audit,
     "op12_url_filters": op12_url_filters,
+    "op13_lexical_search": op13_lexical_search,
 }
