@@ -31,9 +31,9 @@ from .common import Scratch
 from .filter_audit import buffers_of
 
 #: Bounds of a segment: documents (numbers fit two bytes, the last marks a missing child) and bytes of text; a longer document has its own.
-SEGMENT_DOCS, SEGMENT_BYTES = 8192, 24 << 20
+SEGMENT_DOCS, SEGMENT_BYTES = 8192, 16 << 20
 #: Ranges of so few documents are summed at once.
-LEAF = 512
+LEAF = 1024
 #: Bytes of text that are cut into terms at once.
 PIECE = 4 << 20
 #: A pass over the index takes queries of so many terms in all; more queries go in further passes.
@@ -100,45 +100,51 @@ def treap(priority: list[int]) -> tuple[list[int], list[int], int]:
     return left, right, path[0]
 
 
-def segment_of(docs: list[tuple[object, Counter[bytes]]], n_docs: int, n_terms: int) -> dict[str, object]:
-    """The columns of one segment. Document numbers follow the ids, nulls last."""
-    docs.sort(key=lambda d: (d[0] is None, d[0]))
-    number: dict[bytes, int] = defaultdict(count().__next__)
-    term = [np.fromiter(map(number.__getitem__, c), np.int64, len(c)) for _, c in docs]
-    freq = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for _, c in docs])
-    length = np.array([75 + 25 * c.total() * n_docs // n_terms for _, c in docs], np.int64)
-    doc = np.repeat(np.arange(len(docs)), [len(t) for t in term])
-    names = sorted(number)
-    place = np.empty(len(names), np.int64)
-    place[[number[n] for n in names]] = np.arange(len(names))
-    term = place[np.concatenate(term)]
-    order = np.argsort(term, kind="stable")
-    doc, freq, term = doc[order], freq[order], term[order]
-    impact = 1_000_000_000 * freq // (1000 * freq + 12 * length[doc])
-    starts = np.searchsorted(term, np.arange(len(names) + 1))
-    # Equal impacts are put in order by a scrambled number, so that no tree becomes a list.
-    priority = (impact << 16 | doc * 40503 & 0xFFFF).tolist()
-    left, right, roots = np.full(len(doc), NONE, np.uint16), np.full(len(doc), NONE, np.uint16), np.zeros(len(names), np.uint16)
-    bounds = starts.tolist()
-    for t in np.flatnonzero(np.diff(starts) > 1).tolist():
-        a, b = bounds[t], bounds[t + 1]
-        left[a:b], right[a:b], roots[t] = treap(priority[a:b])
-    return {
-        "ids": [i for i, _ in docs], "terms": b" ".join(names), "starts": starts.astype("<u4").tobytes(), "docs": doc.astype("<u2").tobytes(), "impacts": impact.astype("<u4").tobytes(),
-        "lefts": left.astype("<u2").tobytes(), "rights": right.astype("<u2").tobytes(), "roots": roots.astype("<u2").tobytes(),
-    }
+class Builder:
+    """Documents of a segment to be. Terms are numbered as they come, so that a document is held as two small arrays."""
+
+    def __init__(self):
+        self.docs: list[tuple[object, np.ndarray, np.ndarray]] = []
+        self.number: dict[bytes, int] = defaultdict(count().__next__)
+
+    def add(self, name: object, found: Counter[bytes]) -> None:
+        self.docs.append((name, np.fromiter(map(self.number.__getitem__, found), np.int32, len(found)), np.fromiter(found.values(), np.int32, len(found))))
+
+    def segment(self, n_docs: int, n_terms: int) -> dict[str, object]:
+        """The columns of the segment. Document numbers follow the ids, nulls last."""
+        docs = sorted(self.docs, key=lambda d: (d[0] is None, d[0]))
+        length = np.array([75 + 25 * int(n.sum(dtype=np.int64)) * n_docs // n_terms for _, _, n in docs], np.int64)
+        doc = np.repeat(np.arange(len(docs), dtype=np.int32), [len(t) for _, t, _ in docs])
+        names = sorted(self.number)
+        place = np.empty(len(names), np.int32)
+        place[[self.number[n] for n in names]] = np.arange(len(names), dtype=np.int32)
+        term = place[np.concatenate([t for _, t, _ in docs])]
+        order = np.argsort(term, kind="stable")
+        doc, term, freq = doc[order], term[order], np.concatenate([n for _, _, n in docs])[order].astype(np.int64)
+        impact = 1_000_000_000 * freq // (1000 * freq + 12 * length[doc])
+        starts = np.searchsorted(term, np.arange(len(names) + 1))
+        # Equal impacts are put in order by a scrambled number, so that no tree becomes a list.
+        priority = impact << 16 | doc.astype(np.int64) * 40503 & 0xFFFF
+        left, right, roots = np.full(len(doc), NONE, np.uint16), np.full(len(doc), NONE, np.uint16), np.zeros(len(names), np.uint16)
+        bounds = starts.tolist()
+        for t in np.flatnonzero(np.diff(starts) > 1).tolist():
+            a, b = bounds[t], bounds[t + 1]
+            left[a:b], right[a:b], roots[t] = treap(priority[a:b].tolist())
+        return {
+            "ids": [d[0] for d in docs], "terms": b" ".join(names), "starts": starts.astype("<u4").tobytes(), "docs": doc.astype("<u2").tobytes(), "impacts": impact.astype("<u4").tobytes(),
+            "lefts": left.astype("<u2").tobytes(), "rights": right.astype("<u2").tobytes(), "roots": roots.astype("<u2").tobytes(),
+        }
 
 
 COLUMNS = ("terms", "starts", "docs", "impacts", "lefts", "rights", "roots")
 
 
 def _index(batches: Iterator[pa.RecordBatch], n_docs: int, n_terms: int, segment_docs: int) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[object, Counter[bytes]]] = []
-    size = 0
+    held, size = Builder(), 0
     kind: pa.DataType = pa.null()
 
     def row() -> pa.RecordBatch:
-        made = segment_of(held, n_docs, n_terms)
+        made = held.segment(n_docs, n_terms)
         return pa.RecordBatch.from_arrays([pa.array([made["ids"]], pa.list_(kind)), *(pa.array([made[c]], pa.binary()) for c in COLUMNS)], ["ids", *COLUMNS])
 
     for batch in batches:
@@ -146,12 +152,12 @@ def _index(batches: Iterator[pa.RecordBatch], n_docs: int, n_terms: int, segment
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             text = text.as_py()
             if found := terms_of(text):
-                held.append((i, found))
+                held.add(i, found)
                 size += len(text)
-            if len(held) >= segment_docs or size >= SEGMENT_BYTES:
+            if len(held.docs) >= segment_docs or size >= SEGMENT_BYTES:
                 yield row()
-                held, size = [], 0
-    if held:
+                held, size = Builder(), 0
+    if held.docs:
         yield row()
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from barloom.llm import lexical_search
-from barloom.llm.lexical_search import NONE, build_index, count_terms, open_index, search, segment_of, terms_of, treap
+from barloom.llm.lexical_search import NONE, Builder, build_index, count_terms, open_index, search, terms_of, treap
 
 from .conftest import ROWS, frame, words
 
@@ -87,7 +87,10 @@ def test_segment_against_all_scores(leaf, monkeypatch):
     texts = [words(r.randrange(1, 60), i) for i in range(250)] + ["tie alpha0"] * 40 + ["the hot " * 3] * 60
     docs = [(i, terms_of(t)) for i, t in enumerate(texts)]
     n_docs, total = len(docs), sum(c.total() for _, c in docs)
-    row = segment_of(list(docs), n_docs, total)
+    held = Builder()
+    for doc in docs:
+        held.add(*doc)
+    row = held.segment(n_docs, total)
     for seed in range(25):
         query = dict.fromkeys(terms_of(words(r.randrange(1, 12), seed) + r.choice([" tie", " hot the", " none", ""])), 0)
         query = {t: r.randrange(0, 5000) for t in query}
