@@ -73,38 +73,11 @@ def ema_span(n: int) -> int:
     return math.ceil(-16 / math.log10(1 - 2 / (n + 1)))
 
 
-def ema(x: Column | str, n: int, w: WindowSpec | None = None) -> Column:
-    """Exponential mean of span n, weights normalised over the values there are; from the first row on.
-
-    The frame ends where weights no longer count in double precision, so a task holds a bounded list for each row
-    instead of a recurrence over the whole symbol. Nulls are left out: a value's weight falls with the values after it, not with the rows.
-    """
-    decay = 1 - 2 / (n + 1)
-    values = F.collect_list(_c(x)).over(rows(-ema_span(n), 0, w))  # a collected window is in order
-    start = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"))
-    step = lambda a, v: F.struct((v + a["num"] * decay).alias("num"), (F.lit(1.0) + a["den"] * decay).alias("den"))
-    return F.aggregate(values, start, step, lambda a: a["num"] / a["den"])
-
-
 def rolling_sharpe(r: Column | str, n: int, periods: float, w: WindowSpec | None = None) -> Column:
     mean, sd = full(_c(r), n, F.avg, 1 - n, 0, w), std(r, n, w)
     return F.when(sd == 0, 0.0).otherwise(mean / F.nullif(sd, F.lit(0.0)) * periods**0.5)
 
 
-def rolling_max_drawdown(r: Column | str, n: int, w: WindowSpec | None = None) -> Column:
-    """The deepest fall from a peak inside the frame; equity starts anew in each frame, at its first return."""
-    r = _c(r)
-    path = F.when(F.count(r).over(rows(1 - n, 0, w)) == n, F.collect_list(r).over(rows(1 - n, 0, w)))
-    start = F.struct(F.lit(1.0).alias("eq"), F.lit(0.0).alias("peak"), F.lit(0.0).alias("worst"))
-
-    def step(a: Column, v: Column) -> Column:
-        eq = a["eq"] * (v + 1)
-        peak = F.greatest(a["peak"], eq)
-        return F.struct(eq.alias("eq"), peak.alias("peak"), F.least(a["worst"], eq / peak - 1).alias("worst"))
-
-    return F.aggregate(path, start, step, lambda a: a["worst"])
-
-
 def channel(n: int, w: WindowSpec | None = None) -> tuple[Column, Column]:
     """Highest high and lowest low of the n bars before this one."""
     return full(F.col("high"), n, F.max, -n, -1, w), full(F.col("low"), n, F.min, -n, -1, w)

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from ..functions import windows as win
 from ..sources.shared import written
+from .blocks import BLOCK_ROWS, Running, in_blocks, scan, time_blocks
 
 CAPITAL, SHARE = 100_000.0, 0.95
 
@@ -171,3 +172,16 @@ def pair_backtest(signals: DataFrame, capital: float = CAPITAL, risk: float | Co
     pnl = (F.col("_exit") - F.col("a")) * F.col("_size") * F.col("signal")
     out = done.select("symbol", F.col("ts").alias("entry_ts"), F.col("_exit_ts").alias("exit_ts"), "signal", F.col("_size").alias("size"), pnl.alias("pnl"))
     return out.withColumn("equity", F.sum("pnl").over(Window.partitionBy("symbol").orderBy("entry_ts").rowsBetween(Window.unboundedPreceding, 0)) + capital)
+
+
+def vector_backtest_in_blocks(signals: DataFrame, fee: float = 0.0, rows: int = BLOCK_ROWS) -> DataFrame:
+    """vector_backtest with a symbol over many tasks: positions in blocks of rows, both equities by one scan of products."""
+    lag = lambda c, n, w: F.coalesce(F.lag(c, n).over(w), F.lit(0))
+
+    def positions(df: DataFrame, w) -> DataFrame:
+        turn = F.abs(lag("signal", 1, w) - lag("signal", 2, w))
+        return df.withColumn("strategy_ret", F.coalesce(lag("signal", 1, w) * F.col("ret"), F.lit(0.0)) - turn * fee)
+
+    held = in_blocks(signals, 2, positions, rows=rows)
+    growth = {"equity": "strategy_ret", "buy_hold": "ret"}
+    return scan(time_blocks(held, rows=rows), {k: Running(F.coalesce(c, F.lit(0.0)) + 1, "product") for k, c in growth.items()})
