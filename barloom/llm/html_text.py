@@ -1,9 +1,12 @@
 """Main text of web pages from flat text blocks.
 
 A page is cut into blocks at block-level tags. What the page itself marks as something else than article (menus, headers, footers,
-asides, forms, and elements named like adverts, notices or comments) is set aside. Every other block is described by its words and link
-density and those of the blocks before and after it, and a decision tree, trained on the small labelled table below, says which of
-them are article text. Inside an article element names count less: only those that say nothing but "advert" or "comments" set a block aside.
+asides, and comments) is set aside. Every other block is described by its words and link density and those of the blocks before and after
+it, and a decision tree, trained on the small labelled table below, says which of them are article text.
+
+The name of an element (as "sidebar", "banner") and a form are hints, which the whole page confirms or refutes: an element named so is set aside unless it holds most of
+the page's words and prose among them, as a wrapper does that is named after a part of it. Names of a state ("no-sidebar", "search-page") say nothing. Inside an article
+element names count less: only those that say nothing but "advert" or "comments" set a block aside.
 
 Reading a page takes time in proportion to its length, whatever its markup: every search for the end of a tag, a quote or a comment either moves
 on to what it finds, or is known beforehand to find nothing.
@@ -13,7 +16,7 @@ from __future__ import annotations
 
 import html as html_entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -33,7 +36,7 @@ RAW = frozenset("script style textarea title".split())
 #: Dropped with all they hold. Those of the first line end at the next block, too.
 DROPPED_INLINE = frozenset("svg iframe select button datalist".split())
 DROPPED = DROPPED_INLINE | frozenset("noscript template".split())
-FURNITURE = frozenset("nav header footer aside form dialog menu".split())
+FURNITURE = frozenset("nav header footer aside dialog menu".split())
 MAIN = frozenset(("article", "main"))
 #: What stays open at a block's start or end; a link may hold blocks.
 OWN_BLOCKS = BLOCK | DROPPED | {"", "a"}
@@ -48,6 +51,11 @@ ADVERT_WORDS = frozenset(
 PAGE_WORDS = frozenset("alert copyright footer header masthead topbar toolbar side toc widget login search tags complementary contentinfo".split())
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies disqus respond reviews".split())
 CONTENT_WORDS = frozenset("content main article articlebody post entry story".split())
+#: First and last words of names that tell a state, or what kind of page it is, and not what an element holds.
+STATE_FIRST = frozenset("no not has have with without is are hide hides show shows".split())
+STATE_LAST = frozenset("page layout template theme enabled disabled active open opened closed visible hidden site view mode".split())
+#: A part of a line that is named so is left out of it.
+INLINE_ADVERT = frozenset("ad ads adv advert adverts advertisement advertisements sponsored promoted".split())
 #: Words that change nothing in a name.
 FILLING = frozenset("area articles bar block body bottom box buttons column container content footer form group header inline inner item items left link links list main module outer panel posts right section slot stories the top unit widget wrap wrapper".split())
 
@@ -123,64 +131,135 @@ class Block(NamedTuple):
     aside: bool
     article: bool
     heading: bool
+    hint: int = -1  # the innermost element around it that its name, or being a form, may set aside
+    content: bool = False  # whether an element named as content stands between that one and the block
 
 
 class _Open(NamedTuple):
     tag: str
-    aside: bool
+    furniture: str  # the innermost tag around it that is page furniture
     comment: bool
     article: bool
     link: bool
     dropped: bool
+    hint: int
+    content: bool
+    inline: int  # in a part of a line that is named as an aside: 1, or as an advert: 2
+
+
+_ROOT = _Open("", "", False, False, False, False, -1, False, 0)
+
 
+class _Hint:
+    """An element that may be set aside: exact if its name says nothing else."""
 
-_ROOT = _Open("", False, False, False, False, False)
+    def __init__(self, parent: int, exact: bool):
+        self.parent, self.exact = parent, exact
+        self.words = self.content_words = self.prose = self.headings = 0  # words outside of links
 
+    def wrapper(self, page_words: int) -> bool:
+        """Whether it holds the page's text: most words, and prose or content that is named so, or nearly all words and a heading. If its name is exact it
+        must hold content that is named so, or nearly all words in several blocks of prose, or with a heading."""
+        if 2 * self.words < page_words or not self.words:
+            return False
+        named, nearly_all = 2 * self.content_words >= self.words, 10 * self.words >= 9 * page_words
+        if not self.exact:
+            return self.prose > 0 or named or nearly_all and self.headings > 0
+        return self.prose > 0 and (named or nearly_all and (self.prose >= 3 or self.headings > 0))
 
-def _named(attributes: str, article: bool) -> str:
-    """What the names of an element say: comment, aside, article or nothing."""
-    said = ""
+
+def _named(attributes: str, article: bool) -> tuple[str, bool, bool]:
+    """What the names of an element say: comment, aside, article or nothing; whether one says nothing else; whether it is an advert's."""
+    said, exact, advert = "", False, False
     for found in _NAMES.findall(attributes):
         for name in "".join(found).split():
-            words = {w.lower() for w in _NAME_WORD.findall(name)}
-            if not words:
+            in_order = [w.lower() for w in _NAME_WORD.findall(name)]
+            words = set(in_order)
+            if not words or len(in_order) > 1 and (in_order[0] in STATE_FIRST or in_order[-1] in STATE_LAST):
                 continue
+            telling = words - FILLING
             if article:
                 # A name of the article's own may hold such a word: related-work is no list of related pages.
                 if words & COMMENT_WORDS and words <= COMMENT_WORDS | FILLING | CONTENT_WORDS | {"user", "reader"}:
-                    return "comment"
+                    return "comment", True, False
                 if words & ADVERT_WORDS and words <= ADVERT_WORDS | PAGE_WORDS | FILLING | {"bottom", "top"}:
-                    return "aside"
+                    return "aside", True, bool(words & INLINE_ADVERT)
             elif words & COMMENT_WORDS:
-                return "comment"
+                return "comment", True, False
             elif words & (ADVERT_WORDS | PAGE_WORDS):
-                said = "aside"
+                said, exact, advert = "aside", exact or telling <= ADVERT_WORDS | PAGE_WORDS, advert or bool(words & INLINE_ADVERT)
             elif words & CONTENT_WORDS and not said:
                 said = "article"
-    return said
+    return said, exact, advert
 
 
 #: Elements that mean something without an attribute.
-_TELLING = MAIN | FURNITURE | DROPPED | {"a"}
+_TELLING = MAIN | FURNITURE | DROPPED | {"a", "form"}
 
 
-def _opened(tag: str, attributes: str, up: _Open) -> _Open:
+def _opened(tag: str, attributes: str, up: _Open, hints: list[_Hint], closed: Callable[[str], bool]) -> _Open:
+    """An element under `up`. closed: whether every open element of a tag has its end tag still to come."""
     if not attributes and tag not in _TELLING:
         return _Open(tag, *up[1:])
-    aside, comment, article = up.aside, up.comment, up.article
-    if tag in MAIN and not comment:
-        aside, article = False, True  # an advert that was never closed doesn't hold the article
-    if tag in FURNITURE and not (tag == "header" and article):
-        aside = True
-    if "=" in attributes and tag not in PLAIN:
-        said = _named(attributes, article)
-        if said == "comment":
-            comment = True
-        elif said == "aside" and tag not in MAIN:
-            aside = True
-        elif said == "article" and not comment:
-            article = True
-    return _Open(tag, aside, comment, article, up.link or tag == "a", up.dropped or tag in DROPPED)
+    furniture, comment, article, hint, content, inline = up.furniture, up.comment, up.article, up.hint, up.content, up.inline
+
+    def hinted(exact: bool) -> None:
+        nonlocal hint, content
+        hints.append(_Hint(hint, exact))
+        hint, content = len(hints) - 1, False
+
+    said, exact, advert = _named(attributes, article) if "=" in attributes and tag not in PLAIN else ("", False, False)
+    if tag in MAIN:
+        if not comment:
+            article, hint = True, -1  # an advert that was never closed doesn't hold the article
+            if furniture and not closed(furniture):
+                furniture = ""
+        said = said if said == "comment" else ""
+    elif tag in FURNITURE and not (tag == "header" and article):
+        if closed(tag):
+            furniture = tag
+        else:
+            hinted(False)
+    elif tag == "form":
+        hinted(False)
+    if said == "comment":
+        comment = True
+    elif said == "aside":
+        if tag in BLOCK:
+            hinted(exact)
+        elif exact:
+            inline = max(inline, 2 if advert else 1)
+    elif said == "article" and not comment:
+        article, content = article or hint < 0, True
+    return _Open(tag, furniture, comment, article, up.link or tag == "a", up.dropped or tag in DROPPED, hint, content, inline)
+
+
+def _settled(blocks: list[Block], hints: list[_Hint]) -> list[Block]:
+    """The blocks with the hints decided; time is linear in both."""
+    if not hints:
+        return blocks
+    page_words = 0
+    for b in blocks:
+        if not b.aside:
+            own = b.words - b.link_words
+            page_words += own
+            if b.hint >= 0:
+                h = hints[b.hint]
+                h.words += own
+                h.content_words += own if b.content else 0
+                h.prose += b.words >= 20 and 3 * b.link_words < b.words
+                h.headings += b.heading
+    for h in reversed(hints):  # inner ones come after the outer ones
+        if h.parent >= 0:
+            outer = hints[h.parent]
+            outer.words += h.words
+            outer.content_words += h.content_words
+            outer.prose += h.prose
+            outer.headings += h.headings
+    aside: list[bool] = []
+    for h in hints:
+        aside.append(h.parent >= 0 and aside[h.parent] or not h.wrapper(page_words))
+    return [b._replace(aside=True) if b.hint >= 0 and aside[b.hint] else b for b in blocks]
 
 
 def blocks_of(html: str | None) -> list[Block]:
@@ -192,44 +271,65 @@ def blocks_of(html: str | None) -> list[Block]:
     pieces: list[str] = []
     linked: list[str] = []
     heading = False
-    ends_left: dict[str, int] = {}  # end tags of dropped elements that are still to come
+    ends_left: dict[str, int] = {}  # end tags of dropped elements and furniture that are still to come
+    begins_left: dict[str, int] = {}  # and their start tags
+    hints: list[_Hint] = []
+    inline = 0  # open elements that are no blocks
+    plainly = False  # whether the block has text outside of inline asides
+
+    def closed(tag: str) -> bool:
+        """Whether as many end tags as are needed are to come; called before the start tag at hand counts as open, and after it counts as seen."""
+        return ends_left.get(tag, 0) - begins_left.get(tag, 0) >= max(1, depth.get(tag, 0))
 
     def push(o: _Open) -> None:
+        nonlocal inline
         stack.append(o)
         depth[o.tag] = depth.get(o.tag, 0) + 1
+        inline += o.tag not in BLOCK
 
     def cut(k: int) -> None:
+        nonlocal inline
         for o in stack[k:]:
             depth[o.tag] -= 1
+            inline -= o.tag not in BLOCK
         del stack[k:]
 
     def topmost(tag: str) -> int:
         return next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag)
 
     def close() -> None:
-        nonlocal heading
+        nonlocal heading, plainly
         if pieces:
             raw = "".join(pieces)
             words = (html_entities.unescape(raw) if "&" in raw else raw).split()
             if words:
                 link_words = len(html_entities.unescape("".join(linked)).split()) if linked else 0
                 up = stack[-1]
-                out.append(Block(" ".join(words), len(words), min(link_words, len(words)), up.aside or up.comment, up.article, heading))
+                out.append(Block(" ".join(words), len(words), min(link_words, len(words)), bool(up.furniture) or up.comment or not plainly, up.article, heading, up.hint, up.content))
             pieces.clear()
             linked.clear()
-        heading = False
+        heading = plainly = False
 
     def text(piece: str) -> None:
-        if not stack[-1].dropped:
+        nonlocal plainly
+        up = stack[-1]
+        if not up.dropped and up.inline < 2:
             pieces.append(piece)
-            if stack[-1].link:
+            if up.link:
                 linked.append(piece)
+            plainly = plainly or not up.inline and not piece.isspace()
 
     tokens = list(tokens_of(html))
     for kind, tag, _ in tokens:
-        if kind == "close" and tag in DROPPED:
-            ends_left[tag] = ends_left.get(tag, 0) + 1
+        if tag in DROPPED or tag in FURNITURE:
+            if kind == "close":
+                ends_left[tag] = ends_left.get(tag, 0) + 1
+            elif kind == "open":
+                begins_left[tag] = begins_left.get(tag, 0) + 1
     for kind, tag, attributes in tokens:
+        if tag in FURNITURE and kind != "text":
+            left = ends_left if kind == "close" else begins_left
+            left[tag] = left.get(tag, 0) - 1
         if kind == "text":
             text(tag)
         elif kind == "raw":
@@ -243,7 +343,7 @@ def blocks_of(html: str | None) -> list[Block]:
                 if depth.get(tag):
                     cut(topmost(tag))
             elif ends_left.get(tag) and not attributes.endswith("/"):
-                push(_opened(tag, attributes, stack[-1]))
+                push(_opened(tag, attributes, stack[-1], hints, closed))
         elif tag not in BLOCK:
             if kind == "close":
                 if not depth.get(tag):
@@ -253,6 +353,7 @@ def blocks_of(html: str | None) -> list[Block]:
                         later = [o._replace(link=stack[k - 1].link) if tag == "a" else o for o in stack[k + 1 :]]  # what was opened inside a link is not in it any more
                         stack[k:] = later
                         depth[tag] -= 1
+                        inline -= 1
                         break
                     if stack[k].tag in BLOCK:
                         break
@@ -262,8 +363,9 @@ def blocks_of(html: str | None) -> list[Block]:
                     later = [o._replace(link=False) for o in stack[k + 1 :]]
                     stack[k:] = later
                     depth["a"] -= 1
-                if len(stack) < 512:  # the inline elements of a page that never closes them say nothing new
-                    push(_opened(tag, attributes, stack[-1]))
+                    inline -= 1
+                if inline < 512 or tag == "a":  # the inline elements of a page that never closes them say nothing new
+                    push(_opened(tag, attributes, stack[-1], hints, closed))
                 if tag == "a":
                     linked.append(" ")
         else:
@@ -280,10 +382,10 @@ def blocks_of(html: str | None) -> list[Block]:
                 while stack[-1].tag in ("a", "p") or tag == "body" and len(stack) > 1:
                     cut(len(stack) - 1)
                 if tag != "body":
-                    push(_opened(tag, attributes, stack[-1]))
+                    push(_opened(tag, attributes, stack[-1], hints, closed))
                     heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
     close()
-    return out
+    return _settled(out, hints)
 
 
 def features_of(blocks: list[Block]) -> np.ndarray:

@@ -44,7 +44,72 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
-BROKEN = ['<a "', '<a x="', "<a x='", "<a", "<!--", "<!-- >", "<button>", "<b>", '<p class="', "</p", "<div>", "<a>", "<noscript></b>", "<svg>", "<script>", "</div><div><b>", "<a><div>", "&", "<ul><li>"]
+def prose(seed: int, n: int = 45) -> str:
+    return " ".join(f"word{(seed * 31 + i * 7) % 97}" for i in range(n))
+
+
+PARAGRAPHS = [prose(k) for k in range(3)]
+BODY = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+MENU = '<ul class="menu">' + "".join(f'<li><a href="/{i}">item {i}</a></li>' for i in range(8)) + "</ul>"
+FOOT = '<div class="footer"><p>All rights reserved by someone.</p></div>'
+AROUND = [
+    ('<div class="wrapper no-sidebar"><div class="post">', "</div></div>"),
+    ('<div class="layout has-sidebar"><div class="content">', "</div></div>"),
+    ('<div class="page has-banner"><div class="entry-content">', "</div></div>"),
+    ('<form id="aspnetForm"><div class="content">', "</div></form>"),
+    ('<form id="aspnetForm" action="x">', "</form>"),
+    ('<div id="search-page">', "</div>"),
+    ('<div class="menu-open"><div>', "</div></div>"),
+    ('<div id="footer-sticky-theme-root">', "</div>"),
+    ('<div class="top-banner-frame">', "</div>"),
+    ('<div class="sidebar"><h1>A title of some words</h1>', "</div>"),
+    ('<div class="sidebar">Some words of it.<div class="content">', "</div></div>"),
+    ('<div class="ad">Buy now.', ""),
+    ("<nav>One two", ""),
+    ('<div class="ad">Buy.<nav>One<aside>Two', ""),
+]
+
+
+@pytest.mark.parametrize("around", AROUND)
+@pytest.mark.parametrize("outside", [("", ""), (MENU, FOOT)])
+def test_no_page_is_lost_to_a_wrapper(around, outside):
+    """All paragraphs stay, whatever the page's wrapper is named after; a menu and a footer around it go."""
+    text = main_text(f"<html><body>{outside[0]}{around[0]}{BODY}{around[1]}{outside[1]}</body></html>")
+    assert all(p in text for p in PARAGRAPHS), text
+    assert "item 3" not in text and "rights" not in text
+
+
+@pytest.mark.parametrize(
+    "aside",
+    [
+        '<div class="sidebar"><div class="content"><p>' + prose(9, 30) + "</p></div></div>", '<div class="cookie-banner"><div class="content">We use cookies on every page of ours.</div></div>', '<form><p>Tell us what you think of this page, please.</p></form>',
+        '<div class="newsletter"><h3>Subscribe</h3><p>Get one letter a week from us.</p></div>', '<div class="no-js ad">Buy this.</div>', "<aside><article><p>" + prose(8, 30) + "</p></article></aside>", "<nav><main><p>x y z</p></main></nav>",
+        '<div class="comments"><p>' + prose(7, 40) + "</p></div>", '<p><span class="ad">Buy this now</span></p>', '<footer><form><p>Your name</p></form></footer>',
+    ],
+)
+@pytest.mark.parametrize("page", ["<article>{body}</article>{aside}", '{aside}<div class="post">{body}</div>', '<div class="wrapper no-sidebar">{aside}<div class="content">{body}</div></div>', "<form>{body}{aside}</form>"])
+def test_asides_go(aside, page):
+    assert main_text(page.format(body=BODY, aside=aside)) == "\n".join(PARAGRAPHS)
+
+
+def test_adverts_within_a_line():
+    assert main_text(f'<article><p>{PARAGRAPHS[0]} <span class="ad">Buy this now</span> and more.</p></article>') == PARAGRAPHS[0] + " and more."
+    assert main_text(f'<article><p>{PARAGRAPHS[0]} <b class="notice">Mind</b> this.</p></article>') == PARAGRAPHS[0] + " Mind this."
+
+
+@pytest.mark.parametrize("n", [10, 600, 5000])
+def test_links_are_seen_at_any_depth(n):
+    menu = "<ul>" + "".join(f'<li><a href="/{i}">go to item {i}</a></li>' for i in range(12)) + "</ul>"
+    assert main_text("<div>" * n + menu + BODY) == "\n".join(PARAGRAPHS)
+    assert main_text("<div>" * n + menu + BODY + "</div>" * n) == "\n".join(PARAGRAPHS)
+
+
+def test_a_page_of_asides_alone_is_empty():
+    for page in ('<div class="ad"><p>' + prose(1, 60) + "</p></div>", MENU + FOOT, '<div class="cookie-notice"><p>We use cookies.</p></div>', "<form><label>Name</label><input></form>"):
+        assert main_text(page) == ""
+
+
+BROKEN = ['<a "', '<a x="', "<a x='", "<a", "<!--", "<!-- >", "<button>", "<b>", '<p class="', "</p", "<div>", "<a>", "<noscript></b>", "<svg>", "<script>", "</div><div><b>", "<a><div>", "&", "<ul><li>", '<div class="ad">', "<form>", "<nav>", "<aside><article>", '<span class="ad">', "<nav></nav>", '<div class="sidebar"><div class="content">']
 
 
 @pytest.mark.parametrize("end", ["", '"> </noscript></svg></button> -->'])
