@@ -274,6 +274,23 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate(docs, bench.limit(0)).count() == len(ROWS) and decontaminate(empty, bench).count() == 0
 
 
+def test_decontamination_of_large_items_and_shared_windows(spark):
+    """An item of very many words, a window that very many items have, a word that one item repeats; groups stay small, and many texts share a hit."""
+    long = " ".join(f"w{i % 9973}x{i // 9973}" for i in range(60_000))
+    passage = " ".join(f"shared{i}" for i in range(13))
+    items = [("long", long), ("same", "again " * 3000)] + [(f"s{i:05d}", passage) for i in range(20_000)]
+    bench = spark.createDataFrame(items, "item_id string, text string").repartition(4)
+    w = long.split()
+    texts = [" ".join(w[30_000:30_020]) + " end", passage + " and more", "again " * 20, "nothing of it", None] + [f"{passage} own{i % 7}" for i in range(500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in mark_contamination(docs, bench, block_windows=5000).collect()}
+    assert len(out) == len(texts)
+    assert (out[0].n_hit, out[0]["items"]) == (20, ["long"]) and (out[2].n_hit, out[2]["items"]) == (20, ["same"]) and (out[3].n_hit, out[3]["items"], out[4].n_words) == (0, [], 0)
+    for i in [1, *range(5, len(texts))]:
+        assert out[i].n_hit == 13 and out[i].contaminated and len(out[i]["items"]) == 20_000 and out[i].hit_spans == ["0:13"]
+    assert [r.doc_id for r in decontaminate(docs, bench, block_windows=5000).collect()] == [3, 4]
+
+
 def test_secrets(spark, docs, empty):
     patterns = [
         ("assign", re.compile(r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), lambda x: len(x[2]) >= 8),
