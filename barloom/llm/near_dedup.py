@@ -29,13 +29,12 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, split_hot_join
 
-#: 40 bands of 5 samples: a pair of similarity 0.8 shares none with a probability of about 1e-7.
-BANDS, ROWS = 40, 5
-SAMPLES = BANDS * ROWS
+SAMPLES = 200
+#: From the lowest percent down: samples in a band, and how far below the threshold a sketch's estimate may lie before the pair is dropped (six standard deviations).
+#: A pair at the lowest percent of a line shares no band with a probability of 1e-7, 1e-7 and 3e-8.
+SCHEMES = {80: (5, 0.2), 60: (3, 0.33), 40: (2, 0.33)}
 #: Bits of an odd sketch.
 BITS = 1024
-#: How far below the threshold a sketch's estimate may lie before the pair is dropped: six standard deviations.
-MARGIN = 0.2
 #: Members that are compared at once.
 BLOCK = 512
 
@@ -86,10 +85,19 @@ def min_hashes(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands_of(samples: np.ndarray) -> np.ndarray:
-    rows = samples.reshape(BANDS, ROWS).astype(np.uint64)
-    h = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
-    for j in range(ROWS):
+def scheme(percent: int) -> tuple[int, float]:
+    """Samples in a band and the sketch's margin for links at `percent` and more."""
+    for least, found in SCHEMES.items():
+        if percent >= least:
+            return found
+    raise ValueError(f"links under {min(SCHEMES)} % are out of reach of {SAMPLES} samples")
+
+
+def bands_of(samples: np.ndarray, width: int) -> np.ndarray:
+    n = SAMPLES // width
+    rows = samples[: n * width].reshape(n, width).astype(np.uint64)
+    h = np.arange(n, dtype=np.uint64) + np.uint64(1)
+    for j in range(width):
         h = _mix(h * _M1 + rows[:, j])
     return h.view(np.int64)
 
@@ -110,7 +118,7 @@ def most_differing(similarity: float) -> int:
     return math.ceil(BITS / 2 * -math.expm1((similarity - 1) * 4 * SAMPLES / BITS))
 
 
-def _sign(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], size: int, width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, digests, bands, sketches = [], [], [], []
         for text in batch.column("_text"):
@@ -119,7 +127,7 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             if len(s):
                 samples = min_hashes(s)
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-                bands.append(bands_of(samples))
+                bands.append(bands_of(samples, width))
                 sketches.append(odd_sketch(samples))
             else:
                 digests.append(None)
@@ -328,17 +336,18 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, broadcast_rows: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (the smallest id reachable over links, itself included) and kept (id = component_id) of every row.
 
-    Two documents are linked if 100 x intersection >= percent x union of their sets of `size`-word shingles. Null, empty and
+    Two documents are linked if 100 x intersection >= percent x union of their sets of `size`-word shingles; percent is 40 or more. Null, empty and
     wordless texts have empty sets and are linked with nothing. An id that repeats stands for one document with the links of all
     its texts, and all its rows have the same component_id. Rows without an id have no component_id and are kept. Repeated rows are repeated in
     the result, an empty table gives an empty one. Texts of any length are taken whole: one worker holds a few of them with their sets.
     Only the id and the text are read.
     """
     spark = docs.sparkSession
+    width, margin = scheme(percent)
     scratch = Scratch(spark, "near")
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = slim.schema["_id"].dataType.simpleString()
-    signed = slim.mapInArrow(partial(_sign, size=size), f"_id {kind}, n long, digest binary, bands array<long>, sketch binary")
+    signed = slim.mapInArrow(partial(_sign, size=size, width=width), f"_id {kind}, n long, digest binary, bands array<long>, sketch binary")
     signed = scratch.write(signed, "signed")
     full = signed.where("digest is not null and _id is not null")
 
@@ -350,10 +359,10 @@ def link_documents(docs: DataFrame, size: int = 5, percent: int = 80, broadcast_
     in_band = chosen.select("_id", F.explode("bands").alias("band"))
     shared = in_band.groupBy("band").agg(F.min("_id").alias("first"), F.max("_id").alias("last"), F.count("*").alias("size")).where("first < last")
     shared = scratch.write(shared, "shared")
-    n_rows = chosen.count() * BANDS
+    n_rows = chosen.count() * (SAMPLES // width)
     members = scratch.write(split_hot_join(in_band, shared.select("band", "first", "size"), "band", "size", n_rows), "members")
 
-    most = most_differing(percent / 100 - MARGIN)
+    most = most_differing(percent / 100 - margin)
     stars = members.where("_id != first").select(F.col("first").alias("a"), F.col("_id").alias("b")).distinct()
     stars = scratch.write(stars, "stars")
     alike = partial(_alike_sketches, most=most)

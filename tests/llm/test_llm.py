@@ -214,6 +214,32 @@ def test_near_dedup_joins_sets_on_either_side(docs, limit):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()) == near_by_hand(ROWS, 4)
 
 
+@pytest.mark.parametrize("percent", [50, 65, 80])
+def test_near_dedup_at_any_percent(spark, percent):
+    """150 pairs whose similarities lie around the threshold, most of them just over it: each pair is a family of its own, so every link counts."""
+    r = random.Random(percent)
+    rows = []
+    for i in range(150):
+        w = words(120, 5000 + i).split()
+        n = len(w) - 3
+        same = min(1.0, percent / 100 + r.choice([-0.05, 0.0, 0.01, 0.02, 0.05]))
+        new = round(n * (1 - same) / (1 + same))  # shingles to replace at the end of the text
+        rows += [(2 * i, " ".join(w), "a"), (2 * i + 1, " ".join(w[: len(w) - new] + [f"x{i}y{k}" for k in range(new)]), "a")]
+    out = link_documents(frame(spark, rows), size=4, percent=percent)
+    got = {x.doc_id: x.component_id for x in out.collect()}
+    want = {}
+    for i in range(150):
+        x, y = (frozenset(tuple(t[j : j + 4]) for j in range(len(t) - 3)) for t in (tokens(rows[2 * i][1]), tokens(rows[2 * i + 1][1])))
+        linked = 100 * len(x & y) >= percent * len(x | y)
+        want |= {2 * i: 2 * i, 2 * i + 1: 2 * i if linked else 2 * i + 1}
+    assert got == want and 30 <= sum(want[k] != k for k in want)
+
+
+def test_near_dedup_refuses_what_it_cannot_reach(docs):
+    with pytest.raises(ValueError):
+        link_documents(docs, percent=39)
+
+
 def test_near_dedup_of_a_large_family(spark):
     r = random.Random(5)
     base = words(70, 9).split()
