@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rng
+from ..functions.gauss import Moments, median_squared_difference, pair_sum
 from ..sources.shared import written
 
 METHODS = ("iid", "block", "circular", "stationary", "wild")
@@ -77,52 +78,79 @@ def wasserstein(series: DataFrame, samples: DataFrame) -> DataFrame:
 class _Kernel:
     """The part of the kernel distance that a series has with itself: the kernel's width, and the sum over its pairs."""
 
-    def __init__(self, x: np.ndarray, block: int = 1024):
-        self.x, self.block, n = x, block, len(x)
-        self.s2 = float(np.median(np.square(np.subtract.outer(x, x))[np.triu_indices(n, 1)])) / (2 * np.log(n)) if n > 1 else 1.0
-        self.s2 = self.s2 if self.s2 > 1e-9 else 1.0
-        self.own = self.total(x, x)
-
-    def total(self, a: np.ndarray, b: np.ndarray) -> float:
-        return sum(float(np.exp(-np.square(np.subtract.outer(a[i : i + self.block], b)) / (2 * self.s2)).sum()) for i in range(0, len(a), self.block))
+    def __init__(self, x: np.ndarray):
+        n = len(x)
+        s2 = median_squared_difference(x) / (2 * np.log(n)) if n > 1 else 1.0
+        self.length = float(np.sqrt(2 * s2)) if s2 > 1e-9 else np.sqrt(2.0)
+        self.moments = Moments(x, self.length)
+        self.own = pair_sum(self.moments, self.moments)
 
     def distance(self, y: np.ndarray) -> float:
-        n, k = len(self.x), len(y)
+        n, k = self.moments.n, len(y)
         if n < 2 or k < 2:
             return 0.0
-        value = (self.own - n) / (n * (n - 1)) + (self.total(y, y) - k) / (k * (k - 1)) - 2 * self.total(self.x, y) / (n * k)
+        other = Moments(y, self.length)
+        value = (self.own - n) / (n * (n - 1)) + (pair_sum(other, other) - k) / (k * (k - 1)) - 2 * pair_sum(self.moments, other) / (n * k)
         return float(np.sqrt(max(0.0, value)))
 
 
+#: Values of all series together that are broadcast, of 8 bytes each; past that they are joined to their paths.
+BROADCAST_VALUES = 4_000_000
+
+
 def mmd(series: DataFrame, samples: DataFrame) -> DataFrame:
-    """(series, sim, mmd) with a Gaussian kernel whose width comes from the series. Quadratic in its length, in blocks, one path at a time; what a series
-    has with itself is found once a task. Paths are dealt over the cluster, and each carries its own values only.
+    """(series, sim, mmd) with a Gaussian kernel whose width comes from the series: by fast Gauss transforms, in time proportional to a path's length.
+
+    Paths are dealt over the cluster; a task holds a path and its series, and what a series has with itself is found once a task. Nothing is collected.
     """
-    spark = series.sparkSession
-    originals = {r.series: np.sort(np.array(r.x)) for r in series.groupBy("series").agg(F.collect_list("ret").alias("x")).collect()}  # the series, which are few and short beside their paths
-    held = spark.sparkContext.broadcast(originals)
+    originals = series.where("ret is not null").groupBy("series").agg(F.collect_list("ret").alias("x"))
     paths = samples.groupBy("series", "sim").agg(F.collect_list("ret").alias("y"))
+    few = series.count() <= BROADCAST_VALUES
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kernels: dict[str, _Kernel] = {}
+        name, kernel = None, None
         for f in frames:
             out = []
-            for name, y in zip(f["series"], f["y"]):
-                if name not in kernels:
-                    kernels[name] = _Kernel(held.value[name])
-                out.append(kernels[name].distance(np.asarray(y)))
+            for own, x, y in zip(f["series"], f["x"], f["y"]):
+                if kernel is None or own != name:
+                    name, kernel = own, kernels.get(own) or kernels.setdefault(own, _Kernel(np.asarray(x)))
+                out.append(kernel.distance(np.asarray(y)))
             yield pd.DataFrame({"series": f["series"], "sim": f["sim"], "mmd": out})
 
-    return paths.mapInPandas(run, "series string, sim long, mmd double")
+    kernels: dict[str, _Kernel] = {}
+    return paths.join(F.broadcast(originals) if few else originals, "series").mapInPandas(run, "series string, sim long, mmd double")
+
+
+#: Flips of a row, by the draw that they come from.
+FLIPS = (22, 21, 21)
+
+
+def _heads(sim: Column, word: Column, left: Column, seed: int) -> Column:
+    """The heads of one row of 64 flips, or of the `left` that are still wanted: set bits of three draws."""
+    out, before = F.lit(0), 0
+    for k, bits in enumerate(FLIPS):
+        wanted = F.least(F.greatest(left - before, F.lit(0)), F.lit(bits)).cast("int")
+        out = out + F.bit_count(rng.draw(sim, word, seed + k * 15485863) % F.pow(F.lit(2.0), wanted).cast("long"))
+        before += bits
+    return out
+
+
+def flips_sql(sim: str, word: str, left: str, seed: int = 0) -> str:
+    parts, before = [], 0
+    for k, bits in enumerate(FLIPS):
+        parts.append(f"bit_count({rng.draw_sql(sim, word, seed + k * 15485863)} % (1::bigint << least(greatest({left} - {before}, 0), {bits})::int))")
+        before += bits
+    return f"({' + '.join(parts)})"
 
 
 def sign_permutation(series: DataFrame, n_sims: int, seed: int = 0) -> DataFrame:
-    """Whether positive returns are more, or fewer, than fair coins would give: observed count and p-values with the +1 correction."""
+    """Whether positive returns are more, or fewer, than fair coins would give: observed count and p-values with the +1 correction. A row is 64 flips."""
     signs = series.where("ret <> 0")
     observed = signs.groupBy("series").agg(F.count_if(F.col("ret") > 0).alias("positive"), F.count("*").alias("m"))
     flips = observed.crossJoin(F.broadcast(series.sparkSession.range(n_sims).withColumnRenamed("id", "sim")))
-    flips = flips.withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
-    heads = flips.groupBy("series", "sim", "positive", "m").agg(F.sum(rng.draw("sim", "t", seed) % 2).alias("heads"))
+    size = sum(FLIPS)
+    flips = flips.withColumn("w", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / size))))
+    heads = flips.groupBy("series", "sim", "positive", "m").agg(F.sum(_heads(F.col("sim"), F.col("w"), F.col("m") - F.col("w") * size, seed)).alias("heads"))
     p = lambda c: (F.count_if(c) + 1) / (F.count("*") + 1)
     h, x, m = F.col("heads"), F.col("positive"), F.col("m")
     return heads.groupBy("series", "positive", "m").agg(p(h >= x).alias("p_greater"), p(h <= x).alias("p_less"), p(F.abs(h - m / 2) >= F.abs(x - m / 2)).alias("p_two_sided"))

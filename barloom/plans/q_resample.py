@@ -109,8 +109,8 @@ def _(spark, sf):
     return rd(rs.mmd(series(spark, sf), paths(spark, sf, "iid", KERNEL)), ["series", "sim"])
 
 
-_FLIPS = f"""sg as (select series, count(*) filter (where ret > 0) as positive, count(*) as m from s where ret <> 0 group by 1), fl as (select series, sim, positive, m, sum({rng.draw_sql('sim', 't', 11)} % 2) as heads
-    from sg, (select unnest(range({FLIPS})) as sim), (select unnest(range(2000)) as t) where t < m group by 1, 2, 3, 4)"""
+_FLIPS = f"""sg as (select series, count(*) filter (where ret > 0) as positive, count(*) as m from s where ret <> 0 group by 1), fl as (select series, sim, positive, m, sum({rs.flips_sql('sim', 'w', '(m - w * 64)', 11)}) as heads
+    from sg, (select unnest(range({FLIPS})) as sim), (select unnest(range(32)) as w) where w * 64 < m group by 1, 2, 3, 4)"""
 
 
 @query("prm01_sign_permutation", sql.bars("y", SERIES + ", " + _FLIPS) + "select series, positive, m, round((count(*) filter (where heads >= positive) + 1) / (count(*) + 1), 6) as p_greater, round((count(*) filter (where heads <= positive) + 1) / (count(*) + 1), 6) as p_less, round((count(*) filter (where abs(heads - m / 2) >= abs(positive - m / 2)) + 1) / (count(*) + 1), 6) as p_two_sided from fl group by 1, 2, 3")
