@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,7 +10,7 @@ from ..functions import rng
 from ..operators import indicators as ind
 from ..sources import bars as src
 from ..sources import reports, synthetic
-from ..sources.shared import shared_dir
+from ..sources.shared import folder
 from ..streaming import bars as streaming
 from . import sql
 from .q_metrics import rd
@@ -20,10 +19,6 @@ from .q_signals import _ALGEBRA
 from .registry import query
 
 
-def folder(spark, name):
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query("src01_02_snk01_partitioned_parquet", sql.bars("d") + f"select {rounded_sql(['symbol', 'ts'], {c: c for c in _OHLCV})} from bars where symbol in ('A', 'N') and ts >= timestamp '1996-02-10' and ts < timestamp '1997-03-06'")
 def _(spark, sf):
     path = folder(spark, "bars")

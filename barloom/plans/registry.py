@@ -28,7 +28,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 #: The modules that register queries.
-MODULES = ("q_windows", "q_metrics", "q_signals", "q_resample", "q_portfolio", "q_sources", "q_analysis", "q_blocks")
+MODULES = ("q_windows", "q_metrics", "q_signals", "q_resample", "q_portfolio", "q_sources", "q_analysis", "q_blocks", "q_extensions")
 
 
 def _load() -> None:
