@@ -1,4 +1,4 @@
-"""User metrics, and rules folded over a stream."""
+"""User metrics, rules folded over a stream, searches with tree surrogates."""
 
 from __future__ import annotations
 
@@ -6,11 +6,13 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import rng
+from ..operators import surrogates as su
 from ..operators import user_metrics as um
-from ..sources.shared import folder
+from ..sources.shared import folder, written
 from ..streaming.fold import STORE, DonchianAccount, fold_stream
 from . import sql
 from .q_metrics import rd
+from .q_portfolio import _score, scored
 from .q_resample import N, SERIES, samples, series
 from .q_signals import _DC, loop, machine
 from .q_windows import damped_hourly, damped_weekly, r, rounded
@@ -91,3 +93,29 @@ def _(spark, sf):
         fold_stream(stream, DonchianAccount()).writeStream.outputMode("append").option("checkpointLocation", marks).option("path", path).format("parquet").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.parquet(path).where("symbol <> 'end'").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     return out.select("symbol", "ts", "position", "signal", "direction", r(F.col("equity"), 4).alias("equity"), F.col("epoch").cast("int").alias("epoch"))
+
+
+_POINTS = [(k, lookback, threshold) for k, (lookback, threshold) in enumerate((a, round(0.004 * b, 3)) for a in range(4, 40, 4) for b in range(1, 9))]
+_SURFACE = f"""g as (select * from (values {', '.join(f'({k}, {a}, {b}::double)' for k, a, b in _POINTS)}) v(params_id, lookback, threshold)), mo as (select a.symbol, a.ts, a.ret, params_id, a.close / b.close - 1 as mo, threshold from r a cross join g left join r b on b.symbol = a.symbol and b.t = a.t - lookback),
+    sg as (select *, case when mo > threshold then 1 when mo < -threshold then -1 else 0 end as sig from mo), sv as (select symbol, params_id, coalesce(lag(sig) over (partition by symbol, params_id order by ts), 0) * coalesce(ret, 0) as sr from sg),
+    so as (select symbol, params_id, avg(sr) / nullif(stddev_samp(sr), 0) * sqrt(252) as score from sv group by 1, 2), sc as (select params_id, avg(score) as score from so group by 1)"""
+
+
+@query(
+    "opt03_surrogate_searches",
+    sql.bars("x", _SURFACE) + "select surrogate, params_id, lookback, threshold, round(score, 6) as score from (select * from sc join g using (params_id) order by score desc, params_id limit 1), (select unnest(['gaussian', 'forest', 'boosted']) as surrogate)",
+)
+def _(spark, sf):
+    """The best of 72 candidates, found by each surrogate with 48 of them scored."""
+    bars = written(damped_hourly(spark, sf), "search-bars")
+
+    def evaluate(chosen):
+        params = spark.createDataFrame([_POINTS[k] for k in chosen], "params_id int, lookback int, threshold double")
+        found = {x.params_id: x.s for x in _score(scored(bars, params)).groupBy("params_id").agg(F.avg("score").alias("s")).collect()}
+        return [found.get(k) if found.get(k) is not None else float("-inf") for k in chosen]
+
+    rows = []
+    for name in su.SURROGATES:
+        k, score = max(su.search(evaluate, np.array([p[1:] for p in _POINTS], float), name, rounds=6, batch=8, seed=1), key=lambda x: (x[1], -x[0]))
+        rows.append((name, *_POINTS[k], round(score, 6)))
+    return spark.createDataFrame(rows, "surrogate string, params_id int, lookback int, threshold double, score double")
