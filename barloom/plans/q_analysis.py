@@ -197,7 +197,7 @@ def _(spark, sf):
     return rd(opt.stability(chosen, ["lookback", "threshold", "oos"], "oos"), ["symbol", "subject", "folds", "positive_folds"])
 
 
-_SOLVED = ("minimum_variance", "target_return", "target_return_mean", "risk_parity", "risk_budget", "maximum_sharpe", "maximum_diversification", "weights")
+_SOLVED = ("minimum_variance", "target_return", "target_return_mean", "risk_parity", "risk_budget", "maximum_sharpe", "maximum_diversification", "weights", "frontier", "black_litterman", "hierarchical")
 
 
 @query("ptf02_03_04_05_06_optimality", "select * from (values " + ", ".join(f"('{n}', 0.0::double)" for n in _SOLVED) + ') v("check", excess)')
@@ -232,6 +232,23 @@ def _(spark, sf):
         "maximum_diversification": max(0.0, float((drawn @ np.sqrt(np.diag(cov)) / risk).max()) - float(md @ np.sqrt(np.diag(cov))) / risk_of(md)),
         "weights": max(abs(float(w.sum()) - 1) + max(0.0, -float(w.min())) for w in (mv, ms, md, rp, rb, tr)),
     }
+    points = [w for _, w in pf.frontier(cov, mu, 40)]
+    means, variances = np.array([w @ mu for w in points]), np.array([w @ cov @ w for w in points])
+    # Means and variances rise together, and no mixture of two neighbours of a point beats it.
+    between = [np.interp(means[k], means[[k - 1, k + 1]], variances[[k - 1, k + 1]]) for k in range(1, len(points) - 1)]
+    fall = max(0.0, -np.diff(means).min() / abs(mu).max(), -np.diff(variances).min() / variances.max())
+    found["frontier"] = max(fall, float((variances[1:-1] - between).max()) / variances.max())
+    market, pick, view = np.full(n, 1 / n), np.eye(1, n), np.array([mu.mean()])
+    posterior, prior = pf.black_litterman(cov, market, pick, view), 2.5 * cov @ market
+    pull = np.linalg.solve(cov, posterior - prior) + pick.T @ np.linalg.solve(np.diag(np.diag(0.5 * pick @ cov @ pick.T)), pick @ posterior - view)
+    found["black_litterman"] = float(np.abs(pull).max() / np.abs(np.linalg.solve(cov, prior)).max())
+    hrp, s = pf.hierarchical_risk_parity(cov), np.sqrt(np.diag(cov))
+    order = pf.ward_order(np.sqrt(np.clip(0.5 * (1 - cov / np.outer(s, s)), 0, 1)))
+    risks = []
+    for part in (order[: n // 2], order[n // 2 :]):  # either half's weight is in proportion to the other's variance under inverse variances
+        inverse = 1 / np.diag(cov)[part]
+        risks.append(float(inverse @ cov[np.ix_(part, part)] @ inverse / inverse.sum() ** 2))
+    found["hierarchical"] = abs(float(hrp[order[: n // 2]].sum()) - risks[1] / sum(risks))
     return spark.createDataFrame([(k, abs(round(float(v), 3))) for k, v in found.items()], "check string, excess double")
 
 

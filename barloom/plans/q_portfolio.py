@@ -75,6 +75,30 @@ def _(spark, sf):
     return pf.weights_frame(spark, names, {"x": pf.minimum_variance(cov)}).select("symbol", r(F.col("w"), 5).alias("w"))
 
 
+_THREE = _COV + """, mn as (select symbol, avg(ret) * 252 as mu from r where ret is not null group by 1),
+    c as (select max(cov) filter (where i = 'A' and j = 'A') as aa, max(cov) filter (where i = 'A' and j = 'N') as an, max(cov) filter (where i = 'A' and j = 'R') as ar, max(cov) filter (where i = 'N' and j = 'N') as nn, max(cov) filter (where i = 'N' and j = 'R') as nr, max(cov) filter (where i = 'R' and j = 'R') as rr,
+        (select mu from mn where symbol = 'A') as ma, (select mu from mn where symbol = 'N') as mn_, (select mu from mn where symbol = 'R') as mr from cv),
+    k as (select ma * (nn * rr - nr * nr) - an * (mn_ * rr - nr * mr) + ar * (mn_ * nr - nn * mr) as xa, aa * (mn_ * rr - nr * mr) - ma * (an * rr - nr * ar) + ar * (an * mr - mn_ * ar) as xn, aa * (nn * mr - mn_ * nr) - an * (an * mr - mn_ * ar) + ma * (an * nr - nn * ar) as xr,
+        sign(aa * (nn * rr - nr * nr) - an * (an * rr - nr * ar) + ar * (an * nr - nn * ar)) as det from c),
+    b as (select *, 2.5 / 3 * (aa + an + ar) as pa, 2.5 / 3 * (an + nn + nr) as pn, 2.5 / 3 * (ar + nr + rr) as pr_, (ma + mn_ + mr) / 3 as view from c),
+    h as (select *, aa as v1, (1 / nn + 1 / rr + 2 * nr / (nn * rr)) / pow(1 / nn + 1 / rr, 2) as v2 from c), w as (select v2 / (v1 + v2) as wa, v1 / (v1 + v2) * rr / (nn + rr) as wn, v1 / (v1 + v2) * nn / (nn + rr) as wr from h)"""
+_VALUES = {
+    "kelly": ("k", ("det * xa / (abs(xa) + abs(xn) + abs(xr))", "det * xn / (abs(xa) + abs(xn) + abs(xr))", "det * xr / (abs(xa) + abs(xn) + abs(xr))")),
+    "black_litterman_mean": ("b", ("pa + aa / (1.5 * aa) * (view - pa)", "pn + an / (1.5 * aa) * (view - pa)", "pr_ + ar / (1.5 * aa) * (view - pa)")),
+    "hierarchical": ("w", ("wa", "wn", "wr")),
+}
+
+
+@query("ptf04_06_11_closed_forms", sql.bars("y", _THREE) + " union all ".join(f"select '{k}' as portfolio, '{s}' as symbol, round({e}, 5) + 0.0 as w from {source}" for k, (source, es) in _VALUES.items() for s, e in zip("ANR", es)))
+def _(spark, sf):
+    """Three assets, for which SQL can write the inverse, the posterior and the bisection out."""
+    base = rets(spark, sf)
+    names, cov = pf.matrix(m.covariance(base))
+    mu = pf.means(base, names)
+    solved = {"kelly": pf.kelly(cov, mu), "black_litterman_mean": pf.black_litterman(cov, np.full(3, 1 / 3), np.eye(1, 3), np.array([mu.mean()])), "hierarchical": pf.hierarchical_risk_parity(cov)}
+    return rd(pf.weights_frame(spark, names, solved), ["portfolio", "symbol"], 5)
+
+
 @query("ptf03_efficient_frontier")
 def _(spark, sf):
     base = rets(spark, sf)
