@@ -6,14 +6,17 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import rng
+from ..operators import optimize as opt
+from ..operators import resample as rs
 from ..operators import surrogates as su
 from ..operators import user_metrics as um
+from ..sources import config
 from ..sources.shared import folder, written
 from ..streaming.fold import STORE, DonchianAccount, fold_stream
 from . import sql
 from .q_metrics import rd
-from .q_portfolio import _score, scored
-from .q_resample import N, SERIES, samples, series
+from .q_portfolio import _SC, _score, grid_of, scored
+from .q_resample import N, SERIES, _stats_sql, path_stats, samples, series
 from .q_signals import _DC, loop, machine
 from .q_windows import damped_hourly, damped_weekly, r, rounded
 from .registry import query
@@ -119,3 +122,22 @@ def _(spark, sf):
         k, score = max(su.search(evaluate, np.array([p[1:] for p in _POINTS], float), name, rounds=6, batch=8, seed=1), key=lambda x: (x[1], -x[0]))
         rows.append((name, *_POINTS[k], round(score, 6)))
     return spark.createDataFrame(rows, "surrogate string, params_id int, lookback int, threshold double, score double")
+
+
+@query("win32_ranked_candidates", sql.bars("x", _SC) + "select symbol, params_id, round(score, 6) as score, row_number() over (partition by symbol order by score desc nulls last, params_id)::int as rank from so")
+def _(spark, sf):
+    out = opt.ranked(_score(scored(damped_hourly(spark, sf), grid_of(spark))), ["symbol"])
+    return out.select("symbol", "params_id", r(F.col("score")).alias("score"), "rank")
+
+
+_PROFILES = """
+short: {n_sims: 250, batch_size: 50, block_length: 5, method: IID}
+"""
+
+
+@query("snk09_bst01_profile_from_yaml", sql.bars("y", samples("iid", 50) + ", " + _stats_sql()) + "select series, sim, round(total_return, 6) as total_return, round(volatility, 6) as volatility, round(sharpe, 6) as sharpe, round(max_drawdown, 6) as max_drawdown from st")
+def _(spark, sf):
+    """A profile of a user's file, cut to its validation profile, decides how the series are resampled."""
+    profile = config.validation_profile(config.load_profiles(_PROFILES)["short"])
+    paths = rs.resample(series(spark, sf), profile.n_sims, profile.method, profile.block_length, 7)
+    return rd(path_stats(paths), ["series", "sim"])
