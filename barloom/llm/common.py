@@ -91,6 +91,62 @@ def split_hot_join(left: DataFrame, right: DataFrame, key: str, copies: str, row
     return common.unionByName(others)
 
 
+#: Rows of one key that a task may hold, and copies that one row is written out to at a time.
+FEW = 10_000
+
+
+class Copies:
+    """Rows that are alike in the columns `same` have one row in `counted`, with their number as _copies.
+
+    Rows that agree in the columns are interchangeable, so the k-th of them may take the k-th of anything that the group has.
+    """
+
+    def __init__(self, scratch: Scratch, counted: DataFrame, same: list[str], few: int | None = None):
+        self.scratch, self.counted, self.same, self.few = scratch, counted, same, few or FEW
+        n = counted.agg(F.sum("_copies").alias("rows"), F.max("_copies").alias("most")).first()
+        self.most, self.limit = n["most"] or 0, max(self.few, (n["rows"] or 0) // 4096)
+
+    def write_out(self, df: DataFrame) -> DataFrame:
+        """A row for each of _copies, numbered from 1 in _nth. A row of many copies is dealt in ranges, so that no task writes out all of it."""
+        if self.most <= self.few:
+            return df.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).drop("_copies")
+        df = self.scratch.write(df, "groups")
+        few = df.where(F.col("_copies") <= self.few).withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), "_copies")))
+        many = df.where(F.col("_copies") > self.few).withColumn("_range", F.explode(F.expr(f"sequence(0L, (_copies - 1) div {self.few})")))
+        first = F.col("_range") * self.few + 1
+        many = many.repartition(*self.same, "_range").withColumn("_nth", F.explode(F.sequence(first, F.least(F.col("_copies"), first + (self.few - 1)))))
+        return few.unionByName(many.drop("_range")).drop("_copies")
+
+    def fetch(self, docs: DataFrame, keys: list[Column], found: DataFrame, value: Column) -> DataFrame:
+        """Each row of docs as _row, with the _value that the row of its number has in found(same, _nth).
+
+        keys are the columns `same` as docs gives them. found has the numbers of a group from 1 without a gap; rows past them are left out. Groups of up to
+        max(few, rows / 4096) rows meet in a task. Larger ones are fewer than 4096, whatever the data: they are told apart by a broadcast, their rows are written
+        once more with the number of the task that did so, and take their numbers by it.
+        """
+        # A map can't be hashed; rows that differ in maps alone keep the order in which they are read.
+        plain = [f"`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+        rows = docs.select(F.struct(*docs.columns).alias("_row"), *[k.alias(n) for n, k in zip(self.same, keys)], F.xxhash64(*plain).alias("_order"))
+        nth = F.row_number().over(Window.partitionBy(*self.same).orderBy("_order"))
+        found = found.select(*self.same, "_nth", value.alias("_value"))
+        if self.most <= self.limit:
+            return self._by_list(rows.withColumn("_at", nth), found)
+        hot = self.counted.where(F.col("_copies") > self.limit).select(*self.same, F.lit(True).alias("_hot"))
+        marked, found = (d.join(F.broadcast(hot), self.same, "left") for d in (rows, found))
+        rest = self._by_list(marked.where("_hot is null").drop("_hot").withColumn("_at", nth), found.where("_hot is null").drop("_hot"))
+        many = self.scratch.write(marked.where("_hot").drop("_hot").withColumn("_task", F.spark_partition_id()), "hot")
+        by = [*self.same, "_task"]
+        before = F.sum("_n").over(Window.partitionBy(*self.same).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+        tasks = many.groupBy(*by).agg(F.count("*").alias("_n")).select(*by, F.coalesce(before, F.lit(0)).alias("_before"))
+        many = many.withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy("_order"))).join(tasks, by)
+        many = many.withColumn("_nth", F.col("_before") + F.col("_at")).join(found.where("_hot").drop("_hot"), [*self.same, "_nth"])
+        return rest.unionByName(many.select("_row", "_value"))
+
+    def _by_list(self, rows: DataFrame, found: DataFrame) -> DataFrame:
+        lists = found.groupBy(*self.same).agg(F.array_sort(F.collect_list(F.struct("_nth", "_value"))).alias("_values"))
+        return rows.join(lists, self.same).where(F.col("_at") <= F.size("_values")).select("_row", F.element_at("_values", F.col("_at"))["_value"].alias("_value"))
+
+
 def least_count(counts: DataFrame, most: int) -> int:
     """The lowest n that at most `most` rows reach; found from a few thousand sums at most. counts: (n)."""
     step = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(F.pow(F.lit(2.0), F.floor(F.log2("n") * 16) / 16)))

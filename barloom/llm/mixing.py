@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, bucket_offsets, stratum
-from .sharding import shuffle_key
+from .common import Copies, Scratch, bucket_offsets, stratum
+from .sharding import SAME, same_rows
 
 #: A document of more than this part of its source counts as long.
 LONG = 1000
@@ -58,22 +58,32 @@ def mix_counts(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    few: int | None = None,
 ) -> DataFrame:
     """How often each document is taken: id, _stratum, _key, size, source_size, target, times, taken.
 
     weights(source, weight double) defaults to 1, 2, 3, 1, ... by code point of the source, null last. A source
     that weights lacks, or names with null or nothing above 0, has target 0 and is not taken; weights of a source that is named twice are added up. Null or
     empty texts have size 0 and are not taken, nor is a source of size 0 (target 0).
-    Rows of one id are separate documents; equal rows are interchangeable (their slim keys meet in one task). An empty table gives an empty one. Other
-    columns are not read; texts of any length are only counted and hashed.
+    Rows of one id are separate documents; equal rows are interchangeable: they are counted, and more than `few` of them are written out in ranges by several
+    tasks. An empty table gives an empty one. Other columns are not read; texts of any length are only counted and hashed.
     """
+    _, counts = _counts(docs, weights, max_epochs, seed, id_col, text_col, source_col, few)
+    return counts.select(F.col("_id").alias(id_col), "_stratum", "_key", F.col("_size").alias("size"), "source_size", "target", "times", (F.col("times") * F.col("_size")).alias("taken"))
+
+
+def _counts(docs: DataFrame, weights: DataFrame | None, max_epochs: int, seed: int, id_col: str, text_col: str, source_col: str, few: int | None) -> tuple[Copies, DataFrame]:
+    """Copies of equal rows, and for each row _id, SAME, _nth (among its equals; times don't rise with it), _size, source_size, target and times."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    sized = docs.select(
-        F.col(id_col).alias("_id"), stratum(source_col).alias("_stratum"), n_words(text_col).alias("_size"), shuffle_key(seed, id_col, text_col).alias("_key")
-    ).withColumn("_bucket", F.substring("_key", 1, 3))
+    same = [c.alias(n) for n, c in zip(SAME, same_rows(id_col, text_col, source_col, seed))]
+    sized = docs.select(F.col(id_col).alias("_id"), n_words(text_col).alias("_size"), *same)
+    # Equal rows are counted before they meet; groups and not rows are then put in order.
+    sized = sized.groupBy("_id", "_size", *SAME).agg(F.count("*").alias("_copies")).withColumn("_bucket", F.substring("_key", 1, 3))
     sized = scratch.write(sized, "sized")
+    copies = Copies(scratch, sized, SAME, few)
+    words = F.col("_size") * F.col("_copies")
 
-    buckets = scratch.write(sized.groupBy("_stratum", "_bucket").agg(F.sum("_size").alias("_words")), "buckets")
+    buckets = scratch.write(sized.groupBy("_stratum", "_bucket").agg(F.sum(words).alias("_words")), "buckets")
     sources = buckets.groupBy("_stratum").agg(F.sum("_words").alias("source_size"))
     if weights is None:
         order = F.row_number().over(Window.orderBy("_stratum"))
@@ -90,35 +100,38 @@ def mix_counts(
     by_bucket = buckets.select("_stratum", "_bucket").join(plan, "_stratum")
     known = sized.join(by_bucket, ["_stratum", "_bucket"]).withColumn("_long", F.col("_size") * LONG > F.col("source_size"))
     known = scratch.write(known, "known")
-    offsets = bucket_offsets(known, ["_stratum", "_long"], "_bucket", F.col("_size"), "_kind_size", "_before")
-    inside = Window.partitionBy("_stratum", "_long", "_bucket").orderBy("_key", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    run = known.join(offsets, ["_stratum", "_long", "_bucket"])
-    run = run.withColumn("_middle", F.col("_before") + F.coalesce(F.sum("_size").over(inside), F.lit(0)) + F.col("_size") / 2)
+    offsets = bucket_offsets(known, ["_stratum", "_long"], "_bucket", words, "_kind_size", "_before")
+    inside = Window.partitionBy("_stratum", "_long", "_bucket").orderBy("_key", "_size", "_none").rowsBetween(Window.unboundedPreceding, -1)
+    groups = known.withColumn("_inside", F.coalesce(F.sum(words).over(inside), F.lit(0))).join(offsets, ["_stratum", "_long", "_bucket"])
+    middle = F.col("_before") + F.col("_inside") + (F.col("_nth") - 1) * F.col("_size") + F.col("_size") / 2
+    run = copies.write_out(groups).withColumn("_middle", middle)
     long_share = F.col("_rest") * F.col("_kind_size") / F.greatest(F.col("source_size"), F.lit(1))
     run = run.withColumn("_extra", F.col("_long") & (F.col("_size") > 0) & (F.col("_middle") <= long_share))
-    run = scratch.write(run.drop("_before", "_kind_size"), "run")
+    run = scratch.write(run.drop("_before", "_inside", "_kind_size"), "run")
 
     got = run.where("_extra").groupBy("_stratum").agg(F.sum("_size").alias("_got"))
     got = buckets.select("_stratum", "_bucket").join(got, "_stratum")
     left = run.join(got, ["_stratum", "_bucket"], "left").withColumn("_left", F.col("_rest") - F.coalesce("_got", F.lit(0)))
     extra = F.col("_extra") | (~F.col("_long") & (F.col("_size") > 0) & (F.col("_middle") <= F.col("_left")))
     times = F.when(F.col("_size") > 0, F.least(F.col("_times") + extra.cast("long"), F.lit(max_epochs))).otherwise(0).cast("long")
-    out = left.withColumn("times", times)
-    return out.select(
-        F.col("_id").alias(id_col), "_stratum", "_key", F.col("_size").alias("size"), "source_size", "target", "times", (F.col("times") * F.col("_size")).alias("taken")
-    )
+    return copies, left.withColumn("times", times)
 
 
-def mix_documents(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_documents(
+    docs: DataFrame,
+    weights: DataFrame | None = None,
+    max_epochs: int = 3,
+    seed: int = 0,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    few: int | None = None,
+) -> DataFrame:
     """The mixture itself: docs, each row as often as it is taken, all columns kept, whatever they are called.
 
-    Rows of one id, source and text are interchangeable: the k-th of them is taken as often as their k-th count says (they meet in one task). Nulls, weights
-    and empty tables are handled as in mix_counts.
+    Rows of one id, source and text are interchangeable: the k-th of them is taken as often as their k-th count says; groups of more than `few` of them (or
+    1/4096 of all) are numbered by several tasks. Nulls, weights and empty tables are handled as in mix_counts.
     """
-    counts = mix_counts(docs, weights, max_epochs, seed, id_col, text_col, source_col).where("times > 0")
-    same = ["_in", "_key"]
-    counts = counts.groupBy(F.col("_stratum").alias("_in"), "_key").agg(F.reverse(F.array_sort(F.collect_list("times"))).alias("_times"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), stratum(source_col).alias("_in"), shuffle_key(seed, id_col, text_col).alias("_key"))
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*same).orderBy("_key"))).join(counts, same)
-    rows = rows.withColumn("_copies", F.when(F.col("_nth") <= F.size("_times"), F.element_at("_times", F.col("_nth"))).otherwise(0))
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select("_row.*")
+    copies, counts = _counts(docs, weights, max_epochs, seed, id_col, text_col, source_col, few)
+    rows = copies.fetch(docs, same_rows(id_col, text_col, source_col, seed), counts.where("times > 0"), F.col("times"))
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_value").cast("int")))).select("_row.*")

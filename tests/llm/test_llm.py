@@ -112,6 +112,34 @@ def test_mixing_leaves_what_nobody_may_take(spark):
         assert dict(taken) == {s: round(t / 10) * 10 for s, t in want.items()}
 
 
+def test_many_equal_rows_are_dealt(spark):
+    """Thousands of rows without id and text, and of one id and text, beside others; few=50 makes ranges and numbers by task of them, with the same results."""
+    rows = [(None, None, "a")] * 3000 + [(7, "same words here", "b")] * 2000 + [(i, f"own text {i}", "ab"[i % 2]) for i in range(100, 400)] + [(8, "twice", "a")] * 2
+    docs = frame(spark, rows).withColumn("n_chars", F.monotonically_increasing_id()).repartition(7).cache()
+    plain = lambda df: Counter(tuple(r) for r in df.collect())
+    placed = shard_rows(docs, 4, few=50)
+    assert plain(placed) == plain(shard_rows(docs, 4)) and placed.count() == len(rows)
+    full = shard_documents(docs, 4, few=50)
+    slots = full.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert all(r.n == r.d == r.m + 1 for r in slots) and sum(r.n for r in slots) == len(rows)
+    assert full.select("n_chars").distinct().count() == len(rows)
+    assert plain(full.select("doc_id", "shard", "slot")) == plain(placed.select("doc_id", "shard", "slot"))
+    given = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "source string, weight double")
+    counts = mix_counts(docs, given, few=50)
+    assert plain(counts) == plain(mix_counts(docs, given)) and counts.count() == len(rows)
+    mixed = mix_documents(docs, given, few=50)
+    assert plain(mixed.select("doc_id", "text")) == plain(mix_documents(docs, given).select("doc_id", "text"))
+    times = Counter(r.n_chars for r in mixed.collect())
+    want = counts.where("times > 0").groupBy("times").count().collect()
+    assert Counter(times.values()) == {r.times: r["count"] for r in want} and len(want) > 1
+
+
+def test_an_id_that_looks_like_none(spark):
+    rows = spark.createDataFrame([("-", "x y", "a"), (None, "x y", "a"), (None, "x y", "a"), ("b", None, "a"), ("b", "", "a")], "doc_id string, text string, source string")
+    assert Counter(r.doc_id for r in shard_documents(rows, 2).collect()) == {"-": 1, None: 2, "b": 2}
+    assert len({(r.shard, r.slot) for r in shard_documents(rows, 2).collect()}) == 5
+
+
 @pytest.mark.parametrize("limit", [1_000_000, 0])
 def test_line_dedup(docs, empty, limit):
     key = lambda x: re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x).translate(ASCII_LOWER)
