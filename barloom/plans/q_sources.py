@@ -12,6 +12,7 @@ from ..sources import bars as src
 from ..sources import reports, synthetic
 from ..sources.shared import folder
 from ..streaming import bars as streaming
+from ..streaming.fold import BOUNDED, STORE
 from . import sql
 from .q_metrics import rd
 from .q_windows import _OHLCV, daily, damped_hourly, hourly, r, rounded, rounded_sql
@@ -122,17 +123,26 @@ def _(spark, sf):
     return rounded(out, ["symbol", "ts"], _OHLCV)
 
 
+#: What a task of a stream reads or merges at most, about.
+_TASK_ROWS = 500_000
+
+
 def _streamed(spark, sf, made):
-    """What a finished stream over the events has handed over in append mode, so that state is dropped behind the watermark. A last row far ahead moves the watermark past all others."""
+    """What a finished stream over the events has handed over in append mode, so that state is dropped behind the watermark. A last row far ahead moves the watermark past all others.
+
+    All events are one batch, since later files may hold earlier times. It is dealt over more tasks the more rows there are, and its state lies on disk: no task's memory grows with the table.
+    """
     place, path, marks = folder(spark, "stream-in"), folder(spark, "stream-out"), folder(spark, "stream-marks")
     events = src.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_id", "user_id", F.col("event_type").alias("symbol"), F.col("value").alias("price"), "value")
     end = events.agg((F.max("ts") + F.expr("interval 30 days")).alias("ts")).select("ts", F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("long").alias("user_id"), F.lit("end").alias("symbol"), F.lit(0.0).alias("price"), F.lit(0.0).alias("value"))
-    events.coalesce(1).write.mode("append").parquet(place)
-    ticks = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(place)
-    run = lambda: made(ticks).writeStream.outputMode("append").option("checkpointLocation", marks).option("path", path).format("parquet").trigger(availableNow=True).start().awaitTermination()
-    run()
-    end.coalesce(1).write.mode("append").parquet(place)  # comes after all others
-    run()
+    session = spark.newSession()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-events.count() // _TASK_ROWS))
+    for name, value in (STORE, BOUNDED, ("spark.sql.shuffle.partitions", tasks), ("spark.sql.files.openCostInBytes", "1g")):  # each file is a task's
+        session.conf.set(name, value)
+    for part in (events, end.coalesce(1)):  # the end comes after all others
+        part.write.mode("append").option("maxRecordsPerFile", _TASK_ROWS).parquet(place)
+        ticks = session.readStream.schema(events.schema).parquet(place)
+        made(ticks).writeStream.outputMode("append").option("checkpointLocation", marks).option("path", path).format("parquet").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(path)
 
 

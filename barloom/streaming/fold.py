@@ -18,6 +18,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: The session setting that such streams need, and its value.
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: One bound (500 MB if not set otherwise) on what the stores of an executor hold in memory, however many they are.
+BOUNDED = ("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
 
 State = tuple
 
